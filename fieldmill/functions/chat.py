@@ -125,13 +125,14 @@ def truncate_tokens(tokens: Column, max_len: int) -> Column:
 
 def label_mask(ids: Column, prompt_len: Column) -> Column:
     """Labels equal the ids; the prompt's positions are ignored."""
-    return F.transform(
-        ids, lambda x, i: F.when(i < prompt_len, F.lit(IGNORE_INDEX)).otherwise(x)
+    masked = F.least(prompt_len, F.size(ids))
+    return F.concat(
+        F.array_repeat(F.lit(IGNORE_INDEX), masked), F.slice(ids, masked + 1, F.size(ids))
     )
 
 
 def attention_mask(ids: Column) -> Column:
-    return F.transform(ids, lambda x: F.lit(1))
+    return F.array_repeat(F.lit(1), F.size(ids))
 
 
 def pad_id(pad: Column | None, eos: Column) -> Column:

@@ -25,16 +25,21 @@ def draw(hex_text: Column, start: int | Column, width: int, bound: int | Column)
     return value % (F.lit(bound) if isinstance(bound, int) else bound)
 
 
+def cut(hex_text: Column, width: int) -> Column:
+    """The digits in pieces of ``width``, for lambdas to draw from.
+
+    A lambda that refers to a digest column may have its md5 inlined and run per
+    element; the elements of an array are computed once.
+    """
+    return F.regexp_extract_all(hex_text, F.lit(f".{{{width}}}"), F.lit(0))
+
+
 def shuffled(hex_text: Column, size: int) -> Column:
-    """The numbers ``0..size-1`` (two-digit text) ordered by six hex digits each."""
+    """The numbers ``0..size-1`` ordered by six hex digits each."""
+    keyed = F.transform(
+        F.slice(cut(hex_text, 6), 1, size),
+        lambda piece, i: F.concat(piece, F.lpad(i.cast("string"), 2, "0")),
+    )
     return F.transform(
-        F.array_sort(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(size - 1)),
-                lambda i: F.concat(
-                    F.substring(hex_text, i * 6 + 1, F.lit(6)), F.lpad(i.cast("string"), 2, "0")
-                ),
-            )
-        ),
-        lambda entry: F.substring(entry, F.lit(7), F.lit(2)).cast("int"),
+        F.array_sort(keyed), lambda entry: F.substring(entry, F.lit(7), F.lit(2)).cast("int")
     )

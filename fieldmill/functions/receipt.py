@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmill.functions.draws import digest, draw, shuffled
+from fieldmill.functions.draws import cut, digest, draw, shuffled
 from fieldmill.functions.text import normalize_value, strip_thousands
 
 # Vocabulary, tax rates, page size and ranges of the synthetic domain.
@@ -94,14 +94,18 @@ def with_receipt(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     )
     head, order, lines = F.col("_head"), F.col("_order"), F.col("_lines")
     count = F.lit(FEWEST_ITEMS) + draw(head, 19, 4, MOST_ITEMS - FEWEST_ITEMS + 1)
+    picks = F.arrays_zip(
+        F.slice(shuffled(order, len(PRODUCTS)), F.lit(1), count.cast("int")).alias("product"),
+        F.slice(cut(lines, 10), F.lit(1), count.cast("int")).alias("digits"),
+    )
     priced = drawn.withColumn(
         "_items",
         F.transform(
-            F.slice(shuffled(order, len(PRODUCTS)), F.lit(1), count.cast("int")),
-            lambda product, i: F.struct(
-                product.alias("product"),
-                (F.lit(1) + draw(lines, i * 10 + 1, 4, MOST_COUNT)).alias("count"),
-                (F.lit(LOWEST_CENTS) + draw(lines, i * 10 + 5, 6, span)).alias("unit"),
+            picks,
+            lambda pick: F.struct(
+                pick["product"].alias("product"),
+                (F.lit(1) + draw(pick["digits"], 1, 4, MOST_COUNT)).alias("count"),
+                (F.lit(LOWEST_CENTS) + draw(pick["digits"], 5, 6, span)).alias("unit"),
             ),
         ),
     ).withColumn(
@@ -174,55 +178,69 @@ def layout_lines(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     def right(text: Column, width: int) -> Column:
         return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(text))), text)
 
-    def line(text: Column, dy: int, dx: Column | int = 0) -> Column:
-        shift = dx.cast("int") if isinstance(dx, Column) else F.lit(dx)
-        return F.struct(text.alias("text"), F.lit(dy).alias("dy"), shift.alias("dx"))
+    def line(text: Column, y: Column | int, dx: Column | int = 0) -> Column:
+        down = F.lit(y) if isinstance(y, int) else y
+        shift = F.lit(dx) if isinstance(dx, int) else dx
+        return F.struct(
+            text.alias("text"), down.cast("int").alias("y"), shift.cast("int").alias("x")
+        )
 
     r = F.col("receipt")
     drawn = df.withColumn("_page", digest(f"receipt|{seed}|page", F.col(key), blocks=2))
     page = F.col("_page")
     x0 = F.lit(18) + draw(page, 1, 4, 23)
     y0 = F.lit(16) + draw(page, 5, 4, 21)
+    count = F.size(r["items"])
+    top = 28 + 22 + 22
+    below = F.lit(top) + count * 42
+    # One jitter of four hex digits per item; the page's digits hold twelve of them.
+    priced = F.arrays_zip(
+        r["items"].alias("item"),
+        F.slice(cut(F.substring(page, 13, 48), 4), F.lit(1), count).alias("digits"),
+    )
     items = F.flatten(
         F.transform(
-            r["items"],
-            lambda item, i: F.array(
+            priced,
+            lambda z, i: F.array(
                 line(
-                    F.concat(left(F.substring(item["name"], 1, 18), 18), F.lit(" x"), item["count"]),
-                    22,
+                    F.concat(
+                        left(F.substring(z["item"]["name"], 1, 18), 18),
+                        F.lit(" x"),
+                        z["item"]["count"],
+                    ),
+                    F.lit(top) + i * 42,
+                ),
+                line(
+                    right(z["item"]["price"], 28),
+                    F.lit(top + 22) + i * 42,
+                    F.coalesce(draw(z["digits"], 1, 4, 9), F.lit(0)),
                 ),
-                line(right(item["price"], 28), 20, draw(page, i * 4 + 13, 4, 9)),
             ),
         )
     )
-    rule = line(F.lit("-" * 34), 22)
+    rule = F.lit("-" * 34)
     lines = F.concat(
-        F.array(line(r["vendor"], 28), line(F.concat(F.lit("DATE: "), r["date"]), 22), rule),
+        F.array(
+            line(r["vendor"], 0),
+            line(F.concat(F.lit("DATE: "), r["date"]), 28),
+            line(rule, 50),
+        ),
         items,
         F.array(
-            rule,
-            line(F.concat(F.lit("SUBTOTAL"), right(r["subtotal"], 20)), 22),
-            line(F.concat(F.lit("TAX"), right(r["tax"], 25)), 22),
-            line(F.concat(F.lit("TOTAL"), right(r["total"], 23)), 28),
-            line(F.lit("THANK YOU!"), 22, draw(page, 9, 4, 61)),
+            line(rule, below),
+            line(F.concat(F.lit("SUBTOTAL"), right(r["subtotal"], 20)), below + 22),
+            line(F.concat(F.lit("TAX"), right(r["tax"], 25)), below + 44),
+            line(F.concat(F.lit("TOTAL"), right(r["total"], 23)), below + 66),
+            line(F.lit("THANK YOU!"), below + 94, draw(page, 9, 4, 61)),
         ),
     )
-    placed = drawn.withColumns({"_x0": x0, "_y0": y0, "_lines": lines})
+    placed = drawn.select(key, x0.alias("_x0"), y0.alias("_y0"), F.posexplode(lines))
     return placed.select(
-        key, "_x0", "_y0", "_lines", F.posexplode("_lines").alias("line_no", "_line")
-    ).select(
         key,
-        "line_no",
-        (F.col("_x0") + F.col("_line.dx")).cast("int").alias("x"),
-        (
-            F.col("_y0")
-            + F.aggregate(
-                F.slice("_lines", F.lit(1), F.col("line_no")), F.lit(0), lambda a, e: a + e["dy"]
-            )
-        )
-        .cast("int")
-        .alias("y"),
-        F.col("_line.text").alias("text"),
+        F.col("pos").alias("line_no"),
+        (F.col("_x0") + F.col("col.x")).cast("int").alias("x"),
+        (F.col("_y0") + F.col("col.y")).cast("int").alias("y"),
+        F.col("col.text").alias("text"),
     )
 
 
@@ -256,11 +274,18 @@ def flatten_struct(col: Column, dtype: T.DataType) -> Column:
     )
 
 
+def _objects(text: Column) -> Column:
+    """The objects of a JSON list, or the one object there is, each as JSON text."""
+    lone = F.startswith(F.ltrim(text), F.lit("{"))
+    listed = F.when(lone, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    return F.filter(
+        F.from_json(listed, "array<string>"), lambda part: F.startswith(part, F.lit("{"))
+    )
+
+
 def merge_objects(text: Column) -> Column:
     """JSON object, or list of objects, as one ``map<string,string>``; the last key wins."""
-    parts = F.filter(
-        F.from_json(text, "array<string>"), lambda part: F.startswith(part, F.lit("{"))
-    )
+    parts = _objects(text)
     maps = F.transform(parts, lambda part: F.from_json(part, "map<string,string>"))
     empty = F.create_map().cast("map<string,string>")
     merged = F.aggregate(
@@ -275,9 +300,7 @@ def merge_objects(text: Column) -> Column:
 
 def menu_items(text: Column) -> Column:
     """JSON list (or one object) of raw menu lines -> ``array<struct<name,count,price>>``."""
-    parts = F.filter(
-        F.from_json(text, "array<string>"), lambda part: F.startswith(part, F.lit("{"))
-    )
+    parts = _objects(text)
 
     def item(part: Column) -> Column:
         line = F.from_json(part, "nm string, cnt string, price string")

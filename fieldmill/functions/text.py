@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldmill.functions.binding import let
+
 # Every character Python's str.strip() removes; built from the rule itself.
 BLANKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
@@ -128,18 +130,25 @@ def normalize_value(col: Column) -> Column:
     Currency signs, thousands separators and words around a number vanish:
     ``"$1,200.00"`` -> ``"1200"``, ``"2 cokes"`` -> ``"2"``, ``" Coke "`` -> ``"coke"``.
     """
-    text = strip_blanks(col)
-    ascii_digits = F.when(
-        text.rlike(r"[^\x00-\x7F]"),
-        F.translate(text, "".join(_SCRIPT_DIGITS), _ASCII_DIGITS),
-    ).otherwise(text)
-    cleaned = F.regexp_replace(ascii_digits, r"[^0-9.\-]", "")
-    with_zero = F.regexp_replace(cleaned, r"^(-?)\.", "$10.")
-    short = _drop_trailing_zeros(F.regexp_replace(with_zero, r"^(-?)0+(?=[0-9])", "$1"))
-    number = F.when(cleaned.rlike(_SHORT_NUMBER), short).otherwise(
-        _drop_trailing_zeros(fixed4(cleaned.try_cast("double")))
+
+    def clean(text: Column) -> Column:
+        ascii_digits = F.when(
+            text.rlike(r"[^\x00-\x7F]"),
+            F.translate(text, "".join(_SCRIPT_DIGITS), _ASCII_DIGITS),
+        ).otherwise(text)
+        return F.regexp_replace(ascii_digits, r"[^0-9.\-]", "")
+
+    def canonical(text: Column, cleaned: Column) -> Column:
+        with_zero = F.regexp_replace(cleaned, r"^(-?)\.", "$10.")
+        short = _drop_trailing_zeros(F.regexp_replace(with_zero, r"^(-?)0+(?=[0-9])", "$1"))
+        number = F.when(cleaned.rlike(_SHORT_NUMBER), short).otherwise(
+            _drop_trailing_zeros(fixed4(cleaned.try_cast("double")))
+        )
+        return F.when(cleaned.rlike(_NUMBER), number).otherwise(F.lower(text))
+
+    return let(
+        lambda text: let(canonical, text=text, cleaned=clean(text)), text=strip_blanks(col)
     )
-    return F.when(cleaned.rlike(_NUMBER), number).otherwise(F.lower(text))
 
 
 def plan_downscale(width: Column, height: Column, cap: int | None) -> Column:

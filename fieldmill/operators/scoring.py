@@ -297,15 +297,20 @@ def compare_models(metrics: DataFrame) -> DataFrame:
 def leakage(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
     """Texts both sides hold, with their number of rows on each side.
 
-    Each side collapses to one row per content hash before the join, so a text with
-    very many copies costs no more than any other.
+    Both sides go through one aggregation by content hash that is combined before
+    the shuffle, so a text with very many copies costs no more than any other.
     """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return (
-            df.select(F.sha2(F.col(text), 256).alias("content"))
-            .groupBy("content")
-            .agg(F.count("*").alias(name))
+    def side(df: DataFrame, train_row: int) -> DataFrame:
+        return df.select(
+            F.sha2(F.col(text), 256).alias("content"),
+            F.lit(train_row).cast("bigint").alias("t"),
         )
 
-    return side(train, "n_train").join(side(held_out, "n_eval"), "content")
+    counts = (
+        side(train, 1)
+        .unionByName(side(held_out, 0))
+        .groupBy("content")
+        .agg(F.sum("t").alias("n_train"), F.sum(1 - F.col("t")).alias("n_eval"))
+    )
+    return counts.where((F.col("n_train") > 0) & (F.col("n_eval") > 0))

@@ -274,7 +274,7 @@ seeds AS (
      {sql_member('tax', "'\"' || tax || '\"'")}, {sql_member('total', "'\"' || total || '\"'")}
     ] AS members
   FROM membered
-), receipts AS (
+), receipts AS MATERIALIZED (
   SELECT *, {sql_join('members')} AS target_json FROM listed
 )"""
 
@@ -394,7 +394,7 @@ def scored_sql(source: str = "answers", keep: str = '"index"') -> str:
     return f"""
 blocks AS (
   SELECT *, nullif(regexp_extract(raw, '\\{{.*\\}}', 0, 's'), '') AS block FROM {source}
-), judged AS (
+), judged AS MATERIALIZED (
   SELECT * EXCLUDE (block), CASE WHEN json_valid(block) THEN block END AS pred FROM blocks
 ), {fields_sql('judged', 'gold', 'gold_fields', keep)}, {fields_sql('judged', 'pred', 'pred_fields', keep)},
 cells AS (
