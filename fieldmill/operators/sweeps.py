@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from math import prod
 from typing import Any
 
@@ -22,13 +23,12 @@ def _json_map(values: dict[str, Any]) -> Column:
 
 def merge_overrides(*layers: Column) -> Column:
     """Maps merged left to right; a later layer replaces an earlier key."""
-    merged = layers[0]
-    for layer in layers[1:]:
-        later = F.map_keys(layer)
-        merged = F.map_concat(
-            F.map_filter(merged, lambda k, v, later=later: ~F.array_contains(later, k)), layer
-        )
-    return merged
+
+    def over(early: Column, late: Column) -> Column:
+        kept = F.map_filter(early, lambda k, v: ~F.array_contains(F.map_keys(late), k))
+        return F.map_concat(kept, late)
+
+    return reduce(over, layers)
 
 
 def variant_label(label: Column, parts: Column) -> Column:
@@ -149,6 +149,12 @@ def rank_runs(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("field_f1"), "run_no")
 
 
+def with_place(results: DataFrame) -> DataFrame:
+    """Adds the rank as a column; the table has one row per run of the spec."""
+    order = Window.orderBy(F.desc("field_f1"), "run_no")
+    return results.withColumn("place", F.row_number().over(order))
+
+
 def metrics_long(summary: DataFrame, model: str = "model") -> DataFrame:
     """Wide summary rows -> ``(model, metric, value)``."""
     cells = F.array(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("scoring", "records", "chat", "pairs")
+MODULES = ("scoring", "records", "chat", "pairs", "sweeps", "vectors", "streams")
 
 
 def registered() -> tuple[dict[str, Callable], dict[str, str]]:

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldmill.functions.draws import digest, draw
 from fieldmill.functions.perturb import (
@@ -69,26 +68,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- Spark views
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One receipt per order: ``split, index, seed, receipt, target_json, members, ...``."""
+def receipts_of(orders: DataFrame) -> DataFrame:
+    """One receipt per order row, batch or stream; other columns stay."""
     key = F.col("o_orderkey")
-    seeds = spread(table(spark, sf_dir, "orders").select(key)).select(
+    seeds = orders.select(
         F.when(key % 2 == 0, "train").otherwise("validation").alias("split"),
         F.floor(key / 2).cast("bigint").alias("index"),
         key.alias("seed"),
+        *[c for c in orders.columns if c != "o_orderkey"],
     )
     rows = generate_receipts(seeds, "seed")
-    shape = rows.schema["receipt"].dataType
     return rows.withColumns(
         {
-            "members": struct_members(F.col("receipt"), shape),
+            "members": struct_members(F.col("receipt"), rows.schema["receipt"].dataType),
             "image_ref": F.concat(F.lit("receipt/"), F.col("seed").cast("string")),
         }
     )
 
 
-def receipt_type(spark: SparkSession, sf_dir: str) -> T.StructType:
-    return receipts(spark, sf_dir).schema["receipt"].dataType
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One receipt per order: ``split, index, seed, receipt, target_json, members, ...``."""
+    return receipts_of(spread(table(spark, sf_dir, "orders").select("o_orderkey")))
 
 
 def with_answer(rows: DataFrame, salt: str | Column = "0") -> DataFrame:
