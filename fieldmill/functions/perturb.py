@@ -31,12 +31,14 @@ KEPT_SHARE = 0.7
 
 
 def _digit_class() -> str:
-    """Regex class of every character that counts as a digit, as code point ranges."""
+    """Pattern of every character that counts as a digit, as code point ranges."""
     points = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit()]
     runs = [
         [c for _, c in run] for _, run in groupby(enumerate(points), key=lambda e: e[1] - e[0])
     ]
-    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]"
+    others = "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs if r[0] > 127)
+    # ASCII is decided first: the long class is only tried on other characters.
+    return f"(?:[0-9]|(?=[^\\x00-\\x7F])[{others}])"
 
 
 DIGIT = _digit_class()

@@ -31,11 +31,6 @@ class _MISSING:
     """Marks text that is no JSON.  A class, so that it stays itself in every worker."""
 
 
-PARSED_TYPE = (
-    "valid boolean, schema_valid boolean, canonical string, minified string, "
-    "pairs array<struct<path:string,value:string>>, "
-    "members array<struct<key:string,value:string>>"
-)
 SCORED_TYPE = (
     "gold_valid boolean, json_valid boolean, schema_valid boolean, exact_match boolean, "
     "gold_fields array<string>, pred_fields array<string>"
@@ -121,49 +116,74 @@ def _canonical(value: Any) -> str:
     return json.dumps(_comparable(value), sort_keys=True, separators=(",", ":"))
 
 
+def _struct(rows: list[tuple], kind: pa.StructType) -> pa.StructArray:
+    """Rows of plain values as an Arrow struct array, column by column."""
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    return pa.StructArray.from_arrays(
+        [pa.array(list(c), type=f.type) for c, f in zip(columns, fields)], fields=fields
+    )
+
+
 def _arrow_type(ddl: str) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(T.StructType.fromDDL(ddl))
 
 
-def parse_json(col: Column, schema: dict | None = None, block: bool = False) -> Column:
-    """One strict parse of a JSON column.
+def _pairs(value: Any) -> list[dict[str, str]]:
+    return [{"path": _utf8(p), "value": _utf8(v)} for p, v in sorted(_leaves(value))]
+
+
+def _members(value: Any) -> list[dict[str, str]] | None:
+    if not isinstance(value, dict):
+        return None
+    return [{"key": _utf8(key), "value": _compact(child)} for key, child in value.items()]
+
+
+# What a parse can give: type and function of the parsed value.
+_PARTS = {
+    "canonical": ("string", _canonical),
+    "minified": ("string", _compact),
+    "pairs": ("array<struct<path:string,value:string>>", _pairs),
+    "members": ("array<struct<key:string,value:string>>", _members),
+}
+
+
+def parse_json(
+    col: Column,
+    *parts: str,
+    schema: dict | None = None,
+    block: bool = False,
+) -> Column:
+    """One strict parse of a JSON column: ``struct<valid, schema_valid, part...>``.
 
     ``block=True`` first cuts the ``{...}`` block out of a raw answer and wants an
     object; otherwise the whole text must be JSON.  Without a schema every parsed
-    value conforms.  ``members`` are the top-level keys in their own order with
-    compact JSON text as value (NULL unless the value is an object).
+    value conforms.  Parts: ``canonical`` (equal for equal values), ``minified``
+    (keys in their own order), ``pairs`` (set of path and value), ``members``
+    (top-level keys with compact JSON text; NULL unless the value is an object).
     """
     conforms = compile_schema(schema)
-    kind = _arrow_type(PARSED_TYPE)
     read = _parse_block if block else _parse
-
-    @F.arrow_udf(PARSED_TYPE)
+    ddl = ", ".join(
+        ["valid boolean", "schema_valid boolean", *[f"{p} {_PARTS[p][0]}" for p in parts]]
+    )
+    kind = _arrow_type(ddl)
+    makers = [_PARTS[p][1] for p in parts]
+    failed = (False, False, *[None] * len(parts))
+
+    @F.arrow_udf(ddl)
     def parse(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts.to_pylist():
             value = read(text)
-            if value is _MISSING:
-                rows.append({"valid": False, "schema_valid": False})
-                continue
             rows.append(
-                {
-                    "valid": True,
-                    "schema_valid": conforms(value),
-                    "canonical": _canonical(value),
-                    "minified": _compact(value),
-                    "pairs": [
-                        {"path": _utf8(p), "value": _utf8(v)} for p, v in sorted(_leaves(value))
-                    ],
-                    "members": [
-                        {"key": _utf8(k), "value": _compact(v)} for k, v in value.items()
-                    ]
-                    if isinstance(value, dict)
-                    else None,
-                }
+                failed
+                if value is _MISSING
+                else (True, conforms(value), *[make(value) for make in makers])
             )
-        return pa.array(rows, type=kind)
+        return _struct(rows, kind)
 
     return parse.asNondeterministic()(col)
 
@@ -180,10 +200,10 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
             gold, pred = _parse(gold_text), _parse_block(raw_text)
             gold_fields = [] if gold is _MISSING else _tokens(gold)
             same = pred is not _MISSING and gold is not _MISSING and pred == gold
-            if pred is _MISSING:
-                pred_fields = []
+            if same:
+                pred_fields = gold_fields
             else:
-                pred_fields = _tokens(pred)
+                pred_fields = [] if pred is _MISSING else _tokens(pred)
             rows.append(
                 (
                     gold is not _MISSING,
@@ -194,23 +214,19 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
                     pred_fields,
                 )
             )
-        columns = list(zip(*rows)) if rows else [[] for _ in range(kind.num_fields)]
-        return pa.StructArray.from_arrays(
-            [pa.array(c, type=kind.field(i).type) for i, c in enumerate(columns)],
-            fields=[kind.field(i) for i in range(kind.num_fields)],
-        )
+        return _struct(rows, kind)
 
     return parse.asNondeterministic()(gold, raw)
 
 
 def extract_json(raw: Column) -> Column:
     """Minified object inside a raw answer, keys in their own order; NULL if none."""
-    return parse_json(raw, block=True)["minified"]
+    return parse_json(raw, "minified", block=True)["minified"]
 
 
 def flatten_fields(col: Column) -> Column:
     """Set of ``struct<path,value>`` of a JSON text; list positions are erased."""
-    return parse_json(col)["pairs"]
+    return parse_json(col, "pairs")["pairs"]
 
 
 TARGET_TYPE = "target_json string, bad_reason string"

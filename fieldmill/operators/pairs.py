@@ -34,7 +34,7 @@ def pairs_from_gold(
     stored = "train" if split == "train" else "validation"
     chosen = first_n(samples.where(F.col("split") == stored), n)
     if "members" not in samples.columns:
-        chosen = chosen.withColumn("members", parse_json(F.col("target_json"))["members"])
+        chosen = chosen.withColumn("members", parse_json(F.col("target_json"), "members")["members"])
     text, members, draws = F.col("target_json"), F.col("members"), F.col("_draws")
     drawn = chosen.withColumn("_draws", key_digest(seed, F.lit(split), F.col("index"))).withColumn(
         "mode", choose_mode(text, members, draws)

@@ -448,7 +448,7 @@ def flatten_json_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{SCORED} SELECT json_valid, schema_valid, count(*) AS rows FROM scored GROUP BY ALL""",
 )
 def schema_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parse_json(F.col("raw"), SYNTHETIC_SCHEMA, block=True)
+    parsed = parse_json(F.col("raw"), schema=SYNTHETIC_SCHEMA, block=True)
     return (
         answers(spark, sf_dir)
         .select(parsed.alias("p"))
@@ -487,7 +487,7 @@ def schema_valid_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def key_conformance_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic answers held against the other receipt schema."""
-    members = parse_json(F.col("raw"), block=True)["members"]
+    members = parse_json(F.col("raw"), "members", block=True)["members"]
     keys = answers(spark, sf_dir).select(F.explode(members).alias("m")).select("m.key")
     return key_conformance(keys, top_level_keys(ANNOTATED_SCHEMA))
 

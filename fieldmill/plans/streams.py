@@ -33,7 +33,9 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).select("o_orderkey", "o_orderpriority").schema
     # A pattern, so that the table may be one file or a folder of files.
     orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{orders}}.parquet")
-    return with_answer(receipts_of(orders)).select(
+    # Key rows are small: spreading them keeps all cores busy on a few-file batch.
+    spread = orders.repartition(spark.sparkContext.defaultParallelism)
+    return with_answer(receipts_of(spread)).select(
         F.col("o_orderpriority").alias("run_id"),
         ((F.col("seed") % 4 + 1) * 100).alias("step"),
         F.col("seed").alias("index"),

@@ -69,9 +69,14 @@ def expand_runs_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         ";",
     )
-    return (
-        rows.groupBy(F.col("run_no").cast("bigint").alias("run_no"), "label", text.alias("overrides"))
-        .agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+    runs = expand_runs(spark, GRID, VARIANTS, FIXED)
+    counts = rows.groupBy("run_no").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+    return counts.join(runs, "run_no").select(
+        F.col("run_no").cast("bigint").alias("run_no"),
+        "label",
+        text.alias("overrides"),
+        "rows",
+        "keys",
     )
 
 

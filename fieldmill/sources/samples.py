@@ -145,7 +145,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def parse_prediction_lines(lines: DataFrame) -> DataFrame:
     """Works on batches and streams of ``value`` lines alike."""
     kept = [c for c in lines.columns if c != "value"]
-    members = lines.withColumn("_members", parse_json(F.col("value"))["members"])
+    members = lines.withColumn("_members", parse_json(F.col("value"), "members")["members"])
     cells = members.withColumn(
         "_cells",
         F.map_from_entries(
@@ -181,8 +181,8 @@ def parse_prediction_lines(lines: DataFrame) -> DataFrame:
 
 def write_predictions(scored: DataFrame, path: str, mode: str = "error") -> None:
     """Scored rows as JSON lines; gold and prediction stay JSON objects, in key order."""
-    prediction = parse_json(F.col("raw"), block=True)["minified"]
-    gold = parse_json(F.col("gold"))["minified"]
+    prediction = parse_json(F.col("raw"), "minified", block=True)["minified"]
+    gold = parse_json(F.col("gold"), "minified")["minified"]
     flags = F.to_json(
         F.struct(
             "raw", "json_valid", "schema_valid", round4(F.col("field_f1")).alias("field_f1")
