@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +122,46 @@ def tokenize(
     )
 
 
+def tokenize_with(
+    text: Column,
+    make_encoder: Callable[[], Callable[[str], list[int]]],
+    image_tokens: int | Column = IMAGE_TOKENS,
+    image: str = "<img>",
+) -> Column:
+    """Token ids of a tokenizer the caller brings, same result type as ``tokenize``.
+
+    The encoder is made once per task and sees Arrow batches of text pieces; image
+    placeholders between the pieces are expanded natively.
+    """
+
+    @F.pandas_udf("array<array<int>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for pieces in batches:
+            yield pieces.map(
+                lambda row: None if row is None else [list(encoder(p)) if p else [] for p in row]
+            )
+
+    pieces = encode(F.split(text, re.escape(image)))
+    count = F.lit(image_tokens) if isinstance(image_tokens, int) else image_tokens
+    picture = F.transform(
+        F.sequence(F.lit(0), count.cast("int") - 1),
+        lambda j: F.struct((F.lit(IMAGE_ID) + j).cast("int").alias("id"), F.lit(1).alias("kind")),
+    )
+    none = F.array().cast("array<struct<id:int,kind:int>>")
+    return F.flatten(
+        F.transform(
+            pieces,
+            lambda ids, i: F.concat(
+                F.when(i > 0, picture).otherwise(none),
+                F.transform(
+                    ids, lambda x: F.struct(x.alias("id"), F.lit(0).alias("kind"))
+                ),
+            ),
+        )
+    )
+
+
 def truncate_tokens(tokens: Column, max_len: int) -> Column:
     return F.slice(tokens, F.lit(1), F.lit(max_len))
 

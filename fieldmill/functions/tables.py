@@ -21,6 +21,20 @@ class FlattenJson:
                 yield _utf8(path), _utf8(value)
 
 
+# Scalar functions as native SQL expressions.
+_SQL_FUNCTIONS = {
+    "top_key(path STRING) RETURNS STRING": r"regexp_extract(path, r'^[^.\[]*', 0)",
+    "json_block(raw STRING) RETURNS STRING": (
+        r"nullif(regexp_extract(raw, r'(?s)\{.*\}', 0), '')"
+    ),
+    "field_f1(tp BIGINT, fp BIGINT, fn BIGINT) RETURNS DOUBLE": (
+        "CASE WHEN tp > 0 THEN 2.0D * tp / (2 * tp + fp + fn) ELSE 0.0D END"
+    ),
+}
+
+
 def register_sql(spark: SparkSession) -> None:
-    """Makes ``flatten_json`` known to SQL in this session."""
+    """Makes ``flatten_json`` and the scalar functions known to SQL in this session."""
     spark.udtf.register("flatten_json", FlattenJson)
+    for signature, body in _SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from fieldmill.functions.chat import (
 from fieldmill.session import work_folder
 
 
+# (text, image tokens) -> array of (id, kind)
+Tokenizer = Callable[[Column, "int | Column"], Column]
+
+
 def dense_index(df: DataFrame, *by: str, name: str = "index") -> DataFrame:
     """Adds 0, 1, 2, ... in the order of ``by`` (unique), without a single-task window.
 
@@ -58,15 +64,15 @@ def assign_batches(df: DataFrame, size: int, index: str = "index") -> DataFrame:
 
 
 def prompt_lengths(
-    df: DataFrame,
     instruction: str | Column,
     image_tokens: int | Column = IMAGE_TOKENS,
     template: ChatTemplate | None = None,
     max_len: int | None = None,
+    tokenizer: Tokenizer = tokenize,
 ) -> Column:
     """Tokens of the prompt alone, cut at the sequence budget as the full text is."""
     prompt = render_chat(build_messages(instruction), template, add_generation_prompt=True)
-    length = F.size(tokenize(prompt, image_tokens))
+    length = F.size(tokenizer(prompt, image_tokens))
     return length if max_len is None else F.least(length, F.lit(max_len))
 
 
@@ -89,6 +95,7 @@ def encode(
     image_tokens: int | Column = IMAGE_TOKENS,
     template: ChatTemplate | None = None,
     prompt_len: str | None = None,
+    tokenizer: Tokenizer = tokenize,
 ) -> DataFrame:
     """Adds ``input_ids, mm_token_type_ids, labels, attention_mask, prompt_len, n_tokens``.
 
@@ -99,9 +106,9 @@ def encode(
     length = (
         F.col(prompt_len)
         if prompt_len
-        else prompt_lengths(df, instruction, image_tokens, template, max_len)
+        else prompt_lengths(instruction, image_tokens, template, max_len, tokenizer)
     )
-    tokens = df.withColumn("_tokens", tokenize(full, image_tokens))
+    tokens = df.withColumn("_tokens", tokenizer(full, image_tokens))
     cut = tokens.withColumns(
         {"n_tokens": F.size("_tokens"), "_kept": truncate_tokens(F.col("_tokens"), max_len)}
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions.strict_json import parse_pair
 from fieldmill.functions.text import round4, top_key
+from fieldmill.registry import register_metric
 
 RATES = ("json_valid_rate", "schema_valid_rate", "field_f1", "exact_match")
 
@@ -45,6 +46,7 @@ def zip_strict(preds: DataFrame, golds: DataFrame, on: str = "index") -> DataFra
     ).drop("_pred", "_gold")
 
 
+@register_metric("field_prf")
 def prf(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """Precision, recall and F1 of counts; 0 where a denominator is 0."""
     zero = F.lit(0.0)
@@ -274,18 +276,21 @@ def match_fields(pred_fields: DataFrame, gold_fields: DataFrame, on: str = "inde
 def key_conformance(pred_keys: DataFrame, schema_keys: list[str], key: str = "key") -> DataFrame:
     """Keys a schema does not know and schema keys nobody predicted, with row counts.
 
-    The schema's keys are literals of the query, so the only shuffle is the count.
+    The keys are counted once, combined before the shuffle; the join sees one row per
+    distinct key.
     """
-    counts = pred_keys.groupBy(key).agg(F.count("*").alias("rows"))
-    unknown = counts.where(~F.col(key).isin(*schema_keys)).select(
-        F.lit("unknown").alias("status"), key, "rows"
+    declared = (
+        pred_keys.sparkSession.range(1)
+        .select(F.explode(F.array(*[F.lit(k) for k in schema_keys])).alias(key))
+        .withColumn("_declared", F.lit(True))
     )
-    spark = pred_keys.sparkSession
-    declared = spark.createDataFrame([(k,) for k in schema_keys], f"{key} string")
-    never = declared.join(counts, key, "left_anti").select(
-        F.lit("never").alias("status"), key, F.lit(0).cast("bigint").alias("rows")
+    counts = pred_keys.groupBy(key).agg(F.count("*").alias("rows"))
+    status = F.when(F.col("rows").isNull(), "never").when(F.col("_declared").isNull(), "unknown")
+    return (
+        counts.join(declared, key, "full_outer")
+        .select(status.alias("status"), key, F.coalesce("rows", F.lit(0)).alias("rows"))
+        .where(F.col("status").isNotNull())
     )
-    return unknown.unionByName(never)
 
 
 def compare_models(metrics: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ NAME_CLASSES = {
 }
 OTHER_CLASS = "other"
 ENERGY_SHARE = 0.9
-_OPEN_GROUPS = 64
+
+# Memory a task may hold in Gram matrices before it passes them on.
+_OPEN_BYTES = 128 << 20
 
 
 def group_norms(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -72,7 +74,7 @@ def energy_spectrum(df: DataFrame, vector: str, group: str) -> DataFrame:
                 matrix = np.stack(rows[vector].to_numpy()).astype(np.float64)
                 gram = matrix.T @ matrix
                 grams[name] = grams[name] + gram if name in grams else gram
-            if len(grams) > _OPEN_GROUPS:
+            if sum(gram.nbytes for gram in grams.values()) > _OPEN_BYTES:
                 yield from flush()
         yield from flush()
 

@@ -103,10 +103,12 @@ def joined(name: str) -> Column:
     return F.array_join(F.col(name).cast("array<string>"), " ")
 
 
+def encoded(rows: DataFrame) -> DataFrame:
+    return encode(rows, INSTRUCTION, max_len=BUDGET, image_tokens=image_tokens())
+
+
 def encoded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(
-        spread(samples(spark, sf_dir)), INSTRUCTION, max_len=BUDGET, image_tokens=image_tokens()
-    )
+    return encoded(spread(samples(spark, sf_dir)))
 
 
 
@@ -225,7 +227,7 @@ def label_mask_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_lengths_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt length by image size, looked up once per size."""
     rows = samples(spark, sf_dir)
-    length = prompt_lengths(rows, INSTRUCTION, image_tokens(), max_len=BUDGET)
+    length = prompt_lengths(INSTRUCTION, image_tokens(), max_len=BUDGET)
     return (
         prompt_len_lookup(rows, ["width", "height"], length)
         .groupBy("width", "height", F.col("prompt_len").cast("bigint").alias("prompt_len"))
@@ -246,7 +248,9 @@ def supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_batches(dense_index(encoded_samples(spark, sf_dir), "conv_id", "turn"), BATCH)
+    """Indexed first, while the rows are still plain text, then encoded."""
+    rows = spread(dense_index(samples(spark, sf_dir), "conv_id", "turn"))
+    return assign_batches(encoded(rows), BATCH)
 
 
 _BATCHED = f"""

@@ -437,10 +437,10 @@ def flatten_json_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function in SQL."""
     register_sql(spark)
     answers(spark, sf_dir).createOrReplaceTempView("fieldmill_answers")
-    rows = spark.sql(
-        "SELECT a.index, f.path, f.value FROM fieldmill_answers a, LATERAL flatten_json(a.gold) f"
+    return spark.sql(
+        "SELECT a.index, f.path, f.value, top_key(f.path) AS top_key "
+        "FROM fieldmill_answers a, LATERAL flatten_json(a.gold) f"
     )
-    return rows.withColumn("top_key", top_key(F.col("path")))
 
 
 @query(
