@@ -19,6 +19,9 @@ _SCRIPT_DIGITS = [
 ]
 _ASCII_DIGITS = "".join(str(unicodedata.decimal(d)) for d in _SCRIPT_DIGITS)
 
+# Already canonical numbers, and ASCII texts without a digit: most leaves are one or the other.
+_CANONICAL = r"^(0|[1-9][0-9]{0,10})(\.[0-9]{0,3}[1-9])?$"
+_PLAIN_TEXT = r"^[\x00-\x2F\x3A-\x7F]*$"
 _NUMBER = r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 # Short enough that the decimal text itself equals the rounded double.
 _SHORT_NUMBER = r"^-?[0-9]{0,11}(\.[0-9]{0,4})?$"
@@ -154,9 +157,14 @@ def normalize_value(col: Column) -> Column:
         )
         return F.when(cleaned.rlike(_NUMBER), number).otherwise(F.lower(text))
 
-    return let(
-        lambda text: let(canonical, text=text, cleaned=clean(text)), text=strip_blanks(col)
-    )
+    def shortest(text: Column) -> Column:
+        return (
+            F.when(text.rlike(_CANONICAL), text)
+            .when(text.rlike(_PLAIN_TEXT), F.lower(text))
+            .otherwise(let(canonical, text=text, cleaned=clean(text)))
+        )
+
+    return let(shortest, text=strip_blanks(col))
 
 
 def plan_downscale(width: Column, height: Column, cap: int | None) -> Column:

@@ -308,7 +308,7 @@ def leakage(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
 
     def side(df: DataFrame, train_row: int) -> DataFrame:
         return df.select(
-            F.sha2(F.col(text), 256).alias("content"),
+            F.unhex(F.sha2(F.col(text), 256)).alias("content"),
             F.lit(train_row).cast("bigint").alias("t"),
         )
 
@@ -318,4 +318,6 @@ def leakage(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
         .groupBy("content")
         .agg(F.sum("t").alias("n_train"), F.sum(1 - F.col("t")).alias("n_eval"))
     )
-    return counts.where((F.col("n_train") > 0) & (F.col("n_eval") > 0))
+    return counts.where((F.col("n_train") > 0) & (F.col("n_eval") > 0)).withColumn(
+        "content", F.lower(F.hex("content"))
+    )

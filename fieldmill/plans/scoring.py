@@ -194,31 +194,24 @@ def line_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
     Order totals come from a combined aggregate; no order's lines are ever gathered.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
+    draws = F.md5(
+        F.concat_ws("|", F.lit("line"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    joined = lines.join(part, lines["l_partkey"] == part["p_partkey"]).select(
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
+        )
+    ).select(
         F.col("l_orderkey").alias("index"),
-        F.lower("p_name").alias("name"),
+        F.col("l_partkey").alias("part"),
         F.col("l_quantity").cast("bigint").alias("qty"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-        F.conv(
-            F.substring(
-                F.md5(
-                    F.concat_ws(
-                        "|", F.lit("line"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
-                    )
-                ),
-                1,
-                6,
-            ),
-            16,
-            10,
-        )
-        .cast("bigint")
-        .alias("d"),
+        draw(draws, 1, 6, 1 << 24).alias("d"),
     )
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part"), F.lower("p_name").alias("name")
+    )
+    d, name, qty, cents = (F.col(c) for c in ("d", "name", "qty", "cents"))
 
     def fields(rows: DataFrame, total: str, name: Column, qty: Column, cents: Column) -> DataFrame:
         cells = F.array(
@@ -228,14 +221,15 @@ def line_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             ]
         )
         totals = rows.groupBy("index").agg(F.sum("cents").cast("string").alias("value"))
-        return rows.select("index", F.inline(cells)).unionByName(
-            totals.select("index", F.lit(total).alias("path"), "value")
+        return (
+            rows.join(parts, "part")
+            .select("index", F.inline(cells))
+            .unionByName(totals.select("index", F.lit(total).alias("path"), "value"))
         )
 
-    d, name, qty, cents = (F.col(c) for c in ("d", "name", "qty", "cents"))
-    gold = fields(joined, "total", name, qty, cents)
+    gold = fields(lines, "total", name, qty, cents)
     pred = fields(
-        joined.where(d % 11 != 0),
+        lines.where(d % 11 != 0),
         "sum",
         F.when(d % 7 == 0, F.concat(name, F.lit(" xl"))).otherwise(name),
         qty + F.when(d % 5 == 0, 1).otherwise(0),
