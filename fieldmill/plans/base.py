@@ -280,24 +280,29 @@ seeds AS (
 
 
 def sql_corrupt(text: str, h: str) -> str:
-    """Two digits changed; digits are cut out and the text put together again."""
+    """Two digits changed; digits are cut out and the text put together again.
+
+    A one-element list binds the digits and the two places once per row.
+    """
     digits = f"regexp_extract_all({text}, '[0-9]')"
     count = f"len({digits})"
     first = hexnum(h, 1, 6, f"greatest({count}, 1)")
     other = hexnum(h, 7, 6, f"greatest({count} - 1, 1)")
 
     def changed(d: str, start: int) -> str:
-        fresh = hexnum(h, start, 4, 9)
+        fresh = hexnum("s.h", start, 4, 9)
         return f"(CASE WHEN {fresh} >= {d}::INT THEN {fresh} + 1 ELSE {fresh} END)::VARCHAR"
 
-    second = f"(CASE WHEN {other} >= {first} THEN {other} + 1 ELSE {other} END)"
     replaced = (
-        f"list_transform({digits}, lambda d, i: CASE WHEN i - 1 = {first} THEN {changed('d', 13)} "
-        f"WHEN i - 1 = {second} THEN {changed('d', 17)} ELSE d END)"
+        "list_transform(s.digits, lambda d, i: CASE WHEN i - 1 = s.first THEN "
+        f"{changed('d', 13)} WHEN i - 1 = s.other + (s.other >= s.first)::INT THEN "
+        f"{changed('d', 17)} ELSE d END)"
     )
     return (
-        f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, '[0-9]'), {replaced}), "
-        "lambda z: z[1] || coalesce(z[2], '')), '')"
+        f"list_transform([{{'digits': {digits}, 'first': {first}, 'other': {other}, 'h': {h}, "
+        f"'between': regexp_split_to_array({text}, '[0-9]')}}], lambda s: "
+        f"array_to_string(list_transform(list_zip(s.between, {replaced}), "
+        "lambda z: z[1] || coalesce(z[2], '')), ''))[1]"
     )
 
 

@@ -35,14 +35,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     On a cluster that setting names storage every executor reaches.  Only where
     it is unset (a local test session) a temporary folder is set in its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="fieldmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldmill-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
