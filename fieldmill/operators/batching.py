@@ -76,15 +76,22 @@ def prompt_lengths(
     return length if max_len is None else F.least(length, F.lit(max_len))
 
 
-def prompt_len_lookup(df: DataFrame, keys: list[str], length: Column) -> DataFrame:
+def prompt_len_lookup(df: DataFrame, keys: list[str], length: Column, salts: int = 16) -> DataFrame:
     """Adds ``prompt_len``, computed once per distinct key instead of once per row.
 
-    Worth it where ``length`` is dear (an external tokenizer).  The key table is
-    joined without a hint: AQE broadcasts it when its measured size allows and
-    splits a key that fills much of the rows otherwise.
+    Worth it where ``length`` is dear (an external tokenizer).  The key table has no
+    broadcast hint: AQE broadcasts it when its measured size allows.  Otherwise the
+    rows of one key, however many, are dealt to ``salts`` tasks by a hash of the row,
+    and the key table is repeated that often.
     """
-    table = df.select(*keys).distinct().withColumn("prompt_len", length)
-    return df.join(table, keys)
+    table = (
+        df.select(*keys)
+        .distinct()
+        .withColumn("prompt_len", length)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return salted.join(table, [*keys, "_salt"]).drop("_salt")
 
 
 def encode(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmill.functions.chat import MESSAGE_TYPE, build_messages, message, text_part
 from fieldmill.functions.perturb import choose_mode, key_digest, perturb
 from fieldmill.functions.strict_json import parse_json
-from fieldmill.operators.scoring import require_unique
+from fieldmill.operators.scoring import with_unique_check
 
 PAIR_TYPE = "split string, index bigint, chosen string, rejected string"
 
@@ -70,10 +70,11 @@ def attach_samples(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Pairs with their sample's columns; a pair without a sample keeps a reason.
 
     A NULL split means ``train``.  Samples must be unique per (split, index).  The
-    join has no hint: a popular sample is a skewed left side, which AQE splits.
+    join has no hint and two plain shuffles: a popular sample makes the left side
+    skewed, and AQE splits it.
     """
     keyed = pairs.withColumn("split", F.coalesce("split", F.lit("train")))
-    known = require_unique(samples, "split", "index").withColumn("_found", F.lit(True))
+    known = with_unique_check(samples, "split", "index").withColumn("_found", F.lit(True))
     return (
         keyed.join(known, ["split", "index"], "left")
         .withColumn("bad_reason", F.when(F.col("_found").isNull(), "no such sample"))

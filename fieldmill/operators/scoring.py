@@ -32,6 +32,23 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def with_unique_check(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows; the job fails if a key comes twice.
+
+    For the side of a join whose other side may be skewed: the check is a subquery
+    over the keys alone, combined before its shuffle, and the join's own input stays
+    a plain shuffle, which AQE can split.  ``require_unique`` saves that extra pass
+    where both sides are unique.
+    """
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    copies = twice.agg(F.count("*").alias("n")).scalar()
+    return df.where(
+        F.when(copies == 0, F.lit(True)).otherwise(
+            F.raise_error(F.lit(f"not unique: {', '.join(keys)}")).cast("boolean")
+        )
+    )
+
+
 def zip_strict(preds: DataFrame, golds: DataFrame, on: str = "index") -> DataFrame:
     """One row per index with both sides; a missing or repeated index fails the job."""
     left = require_unique(preds, on).withColumn("_pred", F.lit(True))
