@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from fieldmill.functions.schema import compile_schema
 from fieldmill.functions.text import BLANKS
 
+# Nesting beyond this counts as unparseable, so no later step can run out of stack.
+_MAX_DEPTH = 400
 _NOT_NUMERIC = re.compile(r"[^\d.\-]")
 
 
@@ -37,14 +40,31 @@ SCORED_TYPE = (
 )
 
 
+def _too_deep(value: Any) -> bool:
+    level = [value]
+    for _ in range(_MAX_DEPTH):
+        level = [
+            child
+            for node in level
+            if isinstance(node, (dict, list))
+            for child in (node.values() if isinstance(node, dict) else node)
+        ]
+        if not level:
+            return False
+    return True
+
+
 def _parse(text: str | None) -> Any:
-    """The parsed value, or ``_MISSING`` for NULL and anything not JSON."""
+    """The parsed value, or ``_MISSING`` for NULL, anything not JSON and extreme nesting."""
     if text is None:
         return _MISSING
     try:
-        return json.loads(text)
+        value = json.loads(text)
     except (ValueError, RecursionError):
         return _MISSING
+    if text.count("[") + text.count("{") > _MAX_DEPTH and _too_deep(value):
+        return _MISSING
+    return value
 
 
 def _parse_block(raw: str | None) -> Any:
@@ -56,6 +76,11 @@ def _parse_block(raw: str | None) -> Any:
     return value if isinstance(value, dict) else _MISSING
 
 
+def _utf8(text: str) -> str:
+    """Lone surrogates (legal JSON escapes, no legal UTF-8) become visible escapes."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
 @lru_cache(maxsize=1 << 16)
 def _canonical_leaf(text: str) -> str:
     text = text.strip(BLANKS)
@@ -65,31 +90,33 @@ def _canonical_leaf(text: str) -> str:
             return f"{float(digits):.4f}".rstrip("0").rstrip(".")
         except ValueError:
             pass
-    return text.lower()
+    return _utf8(text.lower())
 
 
-def _utf8(text: str) -> str:
-    """Lone surrogates (legal JSON escapes, no legal UTF-8) become visible escapes."""
-    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+@lru_cache(maxsize=1 << 12)
+def _token_head(path: str) -> str:
+    """The length prefix keeps path and value apart in one string."""
+    path = _utf8(path)
+    return f"{len(path)}:{path}"
 
 
-def _leaves(document: Any) -> set[tuple[str, str]]:
-    found = set()
+def _leaves(document: Any) -> Iterator[tuple[str, str]]:
+    """``(path, canonical value)`` of every leaf, copies included."""
     todo = [("", document)]
     while todo:
         path, node = todo.pop()
         if isinstance(node, dict):
             todo.extend((f"{path}.{key}" if path else key, child) for key, child in node.items())
         elif isinstance(node, list):
-            todo.extend((f"{path}[]", child) for child in node)
+            path += "[]"
+            todo.extend((path, child) for child in node)
         else:
-            found.add((path, _canonical_leaf(str(node))))
-    return found
+            yield path, _canonical_leaf(node if isinstance(node, str) else str(node))
 
 
 def _tokens(document: Any) -> list[str]:
-    """(path, value) pairs as single strings; the length prefix keeps them apart."""
-    return [f"{len(p)}:{p}{_utf8(v)}" for p, v in ((_utf8(p), v) for p, v in _leaves(document))]
+    """The set of fields, each as one string."""
+    return list({_token_head(path) + value for path, value in _leaves(document)})
 
 
 def _compact(value: Any) -> str:
@@ -132,7 +159,7 @@ def _arrow_type(ddl: str) -> pa.DataType:
 
 
 def _pairs(value: Any) -> list[dict[str, str]]:
-    return [{"path": _utf8(p), "value": _utf8(v)} for p, v in sorted(_leaves(value))]
+    return [{"path": _utf8(p), "value": v} for p, v in sorted(set(_leaves(value)))]
 
 
 def _members(value: Any) -> list[dict[str, str]] | None:

@@ -17,8 +17,8 @@ class FlattenJson:
     def eval(self, text: str) -> Iterator[tuple[str, str]]:
         document = _parse(text)
         if document is not _MISSING:
-            for path, value in _leaves(document):
-                yield _utf8(path), _utf8(value)
+            for path, value in set(_leaves(document)):
+                yield _utf8(path), value
 
 
 # Scalar functions as native SQL expressions.

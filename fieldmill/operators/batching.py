@@ -26,15 +26,17 @@ from fieldmill.session import work_folder
 Tokenizer = Callable[[Column, "int | Column"], Column]
 
 
-def dense_index(df: DataFrame, *by: str, name: str = "index") -> DataFrame:
+def dense_index(
+    df: DataFrame, *by: str, name: str = "index", place: str | None = None
+) -> DataFrame:
     """Adds 0, 1, 2, ... in the order of ``by`` (unique), without a single-task window.
 
-    The rows are range-sorted and written once to the shared checkpoint folder, each
-    with its task number and place in the task.  Only one row count per task is then
+    The rows are range-sorted and written once to ``place`` (a new folder in the shared
+    checkpoint folder by default), each with its task number and place in the task.  Only one row count per task is then
     summed up and joined back, so the second step moves no data.
     """
     spark = df.sparkSession
-    place = work_folder(spark, "dense-index")
+    place = place or work_folder(spark, "dense-index")
     mark = F.monotonically_increasing_id()
     df.orderBy(*by).withColumn("_mark", mark).write.parquet(place)
     stored = spark.read.schema(df.withColumn("_mark", mark).schema).parquet(place)

@@ -19,7 +19,6 @@ from fieldmill.functions.perturb import (
     corrupt_digits,
     drop_key,
     join_members,
-    key_digest,
     prose_wrap,
     rename_key,
     truncate_json,

@@ -179,8 +179,13 @@ def parse_prediction_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_predictions(scored: DataFrame, path: str, mode: str = "error") -> None:
-    """Scored rows as JSON lines; gold and prediction stay JSON objects, in key order."""
+def write_predictions(
+    scored: DataFrame, path: str, mode: str = "error", by: tuple[str, ...] = ()
+) -> None:
+    """Scored rows as JSON lines; gold and prediction stay JSON objects, in key order.
+
+    ``by`` (a run, say) becomes one folder per value; readers get it back as a column.
+    """
     prediction = parse_json(F.col("raw"), "minified", block=True)["minified"]
     gold = parse_json(F.col("gold"), "minified")["minified"]
     flags = F.to_json(
@@ -195,7 +200,7 @@ def write_predictions(scored: DataFrame, path: str, mode: str = "error") -> None
         F.lit(',"pred":'), F.coalesce(prediction, F.lit("null")),
         F.lit(","), F.substring(flags, F.lit(2), F.length(flags) - 1),
     )
-    scored.select(line.alias("value")).write.mode(mode).text(path)
+    scored.select(*by, line.alias("value")).write.mode(mode).partitionBy(*by).text(path)
 
 
 def write_pairs(pairs: DataFrame, path: str, mode: str = "error") -> None:

@@ -163,6 +163,13 @@ def test_predictions_round_trip(spark, tmp_path):
     assert [(r.json_valid, r.field_f1) for r in got] == [(True, 1.0), (False, 0.0), (True, 0.5)]
 
 
+def test_predictions_by_run(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, "{}", "{}"), ("b", 0, "{}", "no")], "run string, index long, gold string, raw string")
+    write_predictions(score(df), str(tmp_path / "p"), by=("run",))
+    got = read_predictions(spark, str(tmp_path / "p")).where("run = 'b'").collect()
+    assert [(r.run, r["index"], r.json_valid) for r in got] == [("b", 0, False)]
+
+
 def test_prediction_lines_with_gaps(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"index":1,"gold":{"z":1,"a":2},"raw":"x"}\n\n[1]\n{"gold":{}}\n')
     got = read_predictions(spark, str(tmp_path / "p.jsonl")).collect()

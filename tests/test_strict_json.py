@@ -70,6 +70,15 @@ def test_odd_texts_do_not_fail_the_job(spark):
     assert got[3].pairs[0].value == "inf"
 
 
+def test_deep_texts_are_invalid_and_wide_ones_are_not(spark):
+    deep = ["[" * n + "]" * n for n in (300, 900, 5000, 50_000)]
+    nested = '{"a":' * 900 + "1" + "}" * 900
+    wide = json.dumps({"m": [{"x": [i]} for i in range(2000)]})
+    got = ask(spark, [*deep, nested, wide], parse_json(F.col("t"), "canonical", "minified", "pairs"))
+    assert [g.valid for g in got] == [True, False, False, False, False, True]
+    assert len(got[5].pairs) == 2000
+
+
 def test_members_keep_order_and_text(spark):
     got = ask(spark, ['{"b": [1, {"x": null}], "a": "é", "c": 1.50}', "[1]"],
               parse_json(F.col("t"), "members")["members"])
