@@ -34,17 +34,17 @@ from fieldmill.registry import open_dataset, register_dataset
 from fieldmill.session import work_folder
 from fieldmill.sources.samples import read_predictions, write_predictions, write_results
 
-FIXED = {"train.max_steps": 30, "model.lora.r": 4}
-GRID = {"model.lora.r": [8, 16], "model.lora.lora_alpha": [16, 32]}
-VARIANTS = [{"label": "lora"}, {"model.lora.use_dora": True, "model.lora.lora_alpha": 64}]
+FIXED = {"train.max_steps": 30, "model.rank": 4}
+GRID = {"model.rank": [8, 16], "model.alpha": [16, 32]}
+VARIANTS = [{"label": "plain"}, {"model.weighted": True, "model.alpha": 64}]
 
 _RUNS = """
 runs AS (
   SELECT v * 4 + a * 2 + b AS run_no,
-    CASE v WHEN 0 THEN 'lora' ELSE 'model.lora.use_dora=True+model.lora.lora_alpha=64' END AS label,
+    CASE v WHEN 0 THEN 'plain' ELSE 'model.weighted=True+model.alpha=64' END AS label,
     [8, 16][a + 1]::VARCHAR AS r,
     CASE v WHEN 0 THEN [16, 32][b + 1]::VARCHAR ELSE '64' END AS alpha,
-    CASE v WHEN 0 THEN '' ELSE ';model.lora.use_dora=true' END AS own
+    CASE v WHEN 0 THEN '' ELSE ';model.weighted=true' END AS own
   FROM (SELECT unnest(range(2)) AS v), (SELECT unnest(range(2)) AS a), (SELECT unnest(range(2)) AS b)
 )"""
 
@@ -52,7 +52,7 @@ runs AS (
 @query(
     "expand_runs",
     with_sql(_RUNS)
-    + """ SELECT run_no, label, 'model.lora.lora_alpha=' || alpha || ';model.lora.r=' || r || own
+    + """ SELECT run_no, label, 'model.alpha=' || alpha || ';model.rank=' || r || own
         || ';train.max_steps=30' AS overrides,
       count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders, runs GROUP BY ALL""",
 )
@@ -100,8 +100,8 @@ def expand_grid_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count("*").alias("rows"))
 
 
-SWEEP_GRID = {"model.lora.r": [8, 16]}
-SWEEP_VARIANTS = [{"label": "lora"}, {"label": "dora", "model.lora.use_dora": True}]
+SWEEP_GRID = {"model.rank": [8, 16]}
+SWEEP_VARIANTS = [{"label": "plain"}, {"label": "weighted", "model.weighted": True}]
 _SWEEP = with_sql(
     RECEIPTS,
     """run_rows AS (
@@ -125,7 +125,7 @@ def sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sweep_rank",
     _SWEEP
-    + """ SELECT run_no, ['lora', 'dora'][run_no // 2 + 1] AS variant, ['8', '16'][run_no % 2 + 1] AS r,
+    + """ SELECT run_no, ['plain', 'weighted'][run_no // 2 + 1] AS variant, ['8', '16'][run_no % 2 + 1] AS rank,
       field_f1, exact_match, json_valid_rate, schema_valid_rate,
       'run-' || lpad(run_no::VARCHAR, 3, '0') AS run_id,
       row_number() OVER (ORDER BY field_f1 DESC, run_no) AS place FROM sums""",
@@ -137,7 +137,7 @@ def sweep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = work_folder(spark, "sweep")
     write_results(with_place(rank_runs(results)), place)
     schema = (
-        "run_no bigint, variant string, r string, field_f1 double, exact_match double, "
+        "run_no bigint, variant string, rank string, field_f1 double, exact_match double, "
         "json_valid_rate double, schema_valid_rate double, run_id string, place bigint"
     )
     return spark.read.schema(schema).option("header", True).csv(place)

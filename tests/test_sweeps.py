@@ -37,10 +37,10 @@ def test_grid(spark):
 
 def test_runs(spark):
     assert runs(expand_runs(spark)) == [("", {})]
-    dora = [{"label": "lora"}, {"label": "dora", "use_dora": True}]
-    assert runs(expand_runs(spark, None, dora)) == [("lora", {}), ("dora", {"use_dora": True})]
-    crossed = runs(expand_runs(spark, {"r": [8, 16]}, dora))
-    assert crossed[3] == ("dora", {"r": 16, "use_dora": True}) and len(crossed) == 4
+    methods = [{"label": "plain"}, {"label": "weighted", "weights": True}]
+    assert runs(expand_runs(spark, None, methods)) == [("plain", {}), ("weighted", {"weights": True})]
+    crossed = runs(expand_runs(spark, {"r": [8, 16]}, methods))
+    assert crossed[3] == ("weighted", {"r": 16, "weights": True}) and len(crossed) == 4
     assert [label for label, _ in runs(expand_runs(spark, None, [{"x": 1}, {}, {"y": True, "z": "s"}]))] == ["x=1", "base", "y=True+z=s"]
 
 
