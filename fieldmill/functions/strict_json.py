@@ -30,7 +30,7 @@ _MAX_DEPTH = 400
 _NOT_NUMERIC = re.compile(r"[^\d.\-]")
 
 
-class _MISSING:
+class MISSING:
     """Marks text that is no JSON.  A class, so that it stays itself in every worker."""
 
 
@@ -54,29 +54,29 @@ def _too_deep(value: Any) -> bool:
     return True
 
 
-def _parse(text: str | None) -> Any:
-    """The parsed value, or ``_MISSING`` for NULL, anything not JSON and extreme nesting."""
+def parse_text(text: str | None) -> Any:
+    """The parsed value, or ``MISSING`` for NULL, anything not JSON and extreme nesting."""
     if text is None:
-        return _MISSING
+        return MISSING
     try:
         value = json.loads(text)
     except (ValueError, RecursionError):
-        return _MISSING
+        return MISSING
     if text.count("[") + text.count("{") > _MAX_DEPTH and _too_deep(value):
-        return _MISSING
+        return MISSING
     return value
 
 
 def _parse_block(raw: str | None) -> Any:
     """First ``{`` to last ``}`` of a raw answer, which must be one object."""
     if raw is None:
-        return _MISSING
+        return MISSING
     first, last = raw.find("{"), raw.rfind("}")
-    value = _parse(raw[first : last + 1]) if 0 <= first < last else _MISSING
-    return value if isinstance(value, dict) else _MISSING
+    value = parse_text(raw[first : last + 1]) if 0 <= first < last else MISSING
+    return value if isinstance(value, dict) else MISSING
 
 
-def _utf8(text: str) -> str:
+def utf8(text: str) -> str:
     """Lone surrogates (legal JSON escapes, no legal UTF-8) become visible escapes."""
     return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
@@ -90,17 +90,17 @@ def _canonical_leaf(text: str) -> str:
             return f"{float(digits):.4f}".rstrip("0").rstrip(".")
         except ValueError:
             pass
-    return _utf8(text.lower())
+    return utf8(text.lower())
 
 
 @lru_cache(maxsize=1 << 12)
 def _token_head(path: str) -> str:
     """The length prefix keeps path and value apart in one string."""
-    path = _utf8(path)
+    path = utf8(path)
     return f"{len(path)}:{path}"
 
 
-def _leaves(document: Any) -> Iterator[tuple[str, str]]:
+def leaves(document: Any) -> Iterator[tuple[str, str]]:
     """``(path, canonical value)`` of every leaf, copies included."""
     todo = [("", document)]
     while todo:
@@ -116,7 +116,7 @@ def _leaves(document: Any) -> Iterator[tuple[str, str]]:
 
 def _tokens(document: Any) -> list[str]:
     """The set of fields, each as one string."""
-    return list({_token_head(path) + value for path, value in _leaves(document)})
+    return list({_token_head(path) + value for path, value in leaves(document)})
 
 
 def _compact(value: Any) -> str:
@@ -159,13 +159,13 @@ def _arrow_type(ddl: str) -> pa.DataType:
 
 
 def _pairs(value: Any) -> list[dict[str, str]]:
-    return [{"path": _utf8(p), "value": v} for p, v in sorted(set(_leaves(value)))]
+    return [{"path": utf8(p), "value": v} for p, v in sorted(set(leaves(value)))]
 
 
 def _members(value: Any) -> list[dict[str, str]] | None:
     if not isinstance(value, dict):
         return None
-    return [{"key": _utf8(key), "value": _compact(child)} for key, child in value.items()]
+    return [{"key": utf8(key), "value": _compact(child)} for key, child in value.items()]
 
 
 # What a parse can give: type and function of the parsed value.
@@ -192,7 +192,7 @@ def parse_json(
     (top-level keys with compact JSON text; NULL unless the value is an object).
     """
     conforms = compile_schema(schema)
-    read = _parse_block if block else _parse
+    read = _parse_block if block else parse_text
     ddl = ", ".join(
         ["valid boolean", "schema_valid boolean", *[f"{p} {_PARTS[p][0]}" for p in parts]]
     )
@@ -207,7 +207,7 @@ def parse_json(
             value = read(text)
             rows.append(
                 failed
-                if value is _MISSING
+                if value is MISSING
                 else (True, conforms(value), *[make(value) for make in makers])
             )
         return _struct(rows, kind)
@@ -224,18 +224,18 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
     def parse(golds: pa.Array, raws: pa.Array) -> pa.Array:
         rows = []
         for gold_text, raw_text in zip(golds.to_pylist(), raws.to_pylist()):
-            gold, pred = _parse(gold_text), _parse_block(raw_text)
-            gold_fields = [] if gold is _MISSING else _tokens(gold)
-            same = pred is not _MISSING and gold is not _MISSING and pred == gold
+            gold, pred = parse_text(gold_text), _parse_block(raw_text)
+            gold_fields = [] if gold is MISSING else _tokens(gold)
+            same = pred is not MISSING and gold is not MISSING and pred == gold
             if same:
                 pred_fields = gold_fields
             else:
-                pred_fields = [] if pred is _MISSING else _tokens(pred)
+                pred_fields = [] if pred is MISSING else _tokens(pred)
             rows.append(
                 (
-                    gold is not _MISSING,
-                    pred is not _MISSING,
-                    pred is not _MISSING and conforms(pred),
+                    gold is not MISSING,
+                    pred is not MISSING,
+                    pred is not MISSING and conforms(pred),
                     same,
                     gold_fields,
                     pred_fields,
@@ -311,7 +311,7 @@ def normalize_annotation(col: Column) -> Column:
                 rows.append({"bad_reason": "no ground truth"})
                 continue
             try:
-                rows.append({"target_json": _compact(_receipt_target(_parse(text)))})
+                rows.append({"target_json": _compact(_receipt_target(parse_text(text)))})
             except ValueError as problem:
                 rows.append({"bad_reason": str(problem)})
         return pa.array(rows, type=kind)

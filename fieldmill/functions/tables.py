@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from fieldmill.functions.strict_json import _MISSING, _leaves, _parse, _utf8
+from fieldmill.functions.strict_json import MISSING, leaves, parse_text, utf8
 
 
 @udtf(returnType="path string, value string")
@@ -15,10 +15,10 @@ class FlattenJson:
     """``SELECT t.id, f.* FROM t, LATERAL flatten_json(t.doc) f``"""
 
     def eval(self, text: str) -> Iterator[tuple[str, str]]:
-        document = _parse(text)
-        if document is not _MISSING:
-            for path, value in set(_leaves(document)):
-                yield _utf8(path), value
+        document = parse_text(text)
+        if document is not MISSING:
+            for path, value in set(leaves(document)):
+                yield utf8(path), value
 
 
 # Scalar functions as native SQL expressions.

@@ -115,22 +115,35 @@ def fixed4(value: Column) -> Column:
 
     # Each step runs as a one-element transform, so its input is computed once.
     steps = F.transform(F.transform(F.transform(F.array(F.abs(value)), split), divide), render)
-    negative = (value < 0) | F.startswith(value.cast("string"), F.lit("-"))
-    exact = F.concat(F.when(negative, "-").otherwise(""), F.element_at(steps, 1))
-    return F.when(F.abs(value) < F.lit(2.0**116), exact).otherwise(
-        F.format_string("%.4f", value)
+    near = F.floor(F.abs(value) * F.lit(10000.0) + F.lit(0.5))
+    plain = F.concat(
+        F.floor(near / 10000).cast("string"),
+        F.lit("."),
+        F.lpad((near % 10000).cast("string"), 4, "0"),
+    )
+    negative = (value < 0) | ((value == 0) & F.startswith(value.cast("string"), F.lit("-")))
+    return (
+        F.when(
+            F.abs(value) < F.lit(2.0**116),
+            F.concat(
+                F.when(negative, "-").otherwise(""),
+                F.when(_far_from_tie(F.abs(value)), plain).otherwise(F.element_at(steps, 1)),
+            ),
+        )
+        .otherwise(F.format_string("%.4f", value))
     )
 
 
-def round4(value: Column) -> Column:
-    """A double rounded to four decimals from its exact binary value.
-
-    Only values next to a tie need the exact way; elsewhere the scaled value's own
-    error (below 1e-6) cannot change the rounding.
-    """
+def _far_from_tie(value: Column) -> Column:
+    """Whether the scaled value's own error (below 1e-6) cannot change the rounding."""
     scaled = value * F.lit(10000.0)
-    plain = (value >= 0) & (value < 1e5) & (F.abs(scaled % F.lit(1.0) - F.lit(0.5)) > 1e-6)
-    return F.when(plain, F.floor(scaled + F.lit(0.5)) / F.lit(10000.0)).otherwise(
+    return (value < 1e5) & (F.abs(scaled % F.lit(1.0) - F.lit(0.5)) > 1e-6)
+
+
+def round4(value: Column) -> Column:
+    """A double rounded to four decimals from its exact binary value."""
+    plain = F.floor(value * F.lit(10000.0) + F.lit(0.5)) / F.lit(10000.0)
+    return F.when((value >= 0) & _far_from_tie(value), plain).otherwise(
         fixed4(value).cast("double")
     )
 

@@ -9,6 +9,10 @@ from fieldmill.functions.strict_json import parse_pair
 from fieldmill.functions.text import round4, top_key
 from fieldmill.registry import register_metric
 
+PARSED_COLUMNS = (
+    "gold_valid", "json_valid", "schema_valid", "exact_match", "gold_fields", "pred_fields",
+)
+COUNTED_COLUMNS = ("tp", "fp", "fn", "precision", "recall", "field_f1", "f1_millionths")
 RATES = ("json_valid_rate", "schema_valid_rate", "field_f1", "exact_match")
 
 
@@ -88,15 +92,12 @@ def score(
 
     ``gold_fields`` and ``pred_fields`` stay in the row for the per-key scores.  An
     answer without a parseable object scores 0 whatever the gold holds; two empty
-    objects score 1.  Rows whose gold is not JSON get ``gold_valid = false``.
+    objects score 1.  Rows whose gold is not JSON get ``gold_valid = false``.  Scores the
+    rows bring along are replaced.  Filters belong before: none passes below the parse.
     """
     parsed = df.withColumn("_parsed", parse_pair(F.col(gold), F.col(raw), schema))
-    fields = [
-        "gold_valid", "json_valid", "schema_valid", "exact_match", "gold_fields", "pred_fields",
-    ]
-    flat = parsed.select(
-        *df.columns, *[F.col(f"_parsed.{name}").alias(name) for name in fields]
-    )
+    kept = [c for c in df.columns if c not in PARSED_COLUMNS + COUNTED_COLUMNS]
+    flat = parsed.select(*kept, *[F.col(f"_parsed.{c}").alias(c) for c in PARSED_COLUMNS])
     return add_counts(flat)
 
 
