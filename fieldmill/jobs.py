@@ -24,7 +24,7 @@ from fieldmill.operators.pairs import pairs_from_gold, pairs_from_predictions
 from fieldmill.operators.scoring import compare_models, evaluate, per_field, score, summarize
 from fieldmill.operators.sweeps import expand_runs, metrics_long, rank_runs, sweep_results
 from fieldmill.registry import open_dataset
-from fieldmill.session import ship_package
+from fieldmill.session import ship_package, work_folder
 from fieldmill.sources.samples import (
     preview,
     read_predictions,
@@ -59,7 +59,10 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
         .where(F.col("split") == args.split)
         .select("index", F.col("target_json").alias("gold"))
     )
-    scored = evaluate(answers, golds, _schema(args.schema), args.limit)
+    # Scored once into the shared folder; the three outputs read it from there.
+    place = work_folder(spark, "scored")
+    evaluate(answers, golds, _schema(args.schema), args.limit).write.parquet(place)
+    scored = spark.read.parquet(place)
     write_predictions(scored, f"{args.out}/predictions")
     write_metrics(summarize(scored), f"{args.out}/summary")
     write_metrics(per_field(scored), f"{args.out}/per_field")

@@ -172,13 +172,15 @@ def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "preference_rows",
     with_sql(RECEIPTS, _PAIRS)
-    + f""" SELECT split, "index", CASE WHEN "index" % 7 <> 0 THEN 'receipt/' || "index" * 2 END AS image,
-      'user' AS prompt_role, '{RECEIPT_INSTRUCTION}' AS instruction,
-      chosen, rejected, CASE WHEN "index" % 7 = 0 THEN 'no such sample' END AS bad_reason FROM pairs""",
+    + f""" SELECT split, "index", CASE WHEN l_orderkey IS NOT NULL THEN 'receipt/' || "index" * 2 END
+        AS image, 'user' AS prompt_role, '{RECEIPT_INSTRUCTION}' AS instruction, chosen, rejected,
+      CASE WHEN l_orderkey IS NULL THEN 'no such sample' END AS bad_reason
+    FROM pairs LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = "index" * 2""",
 )
 def preference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows of all pairs; every seventh sample is missing and named so."""
-    samples = receipts(spark, sf_dir).where(F.col("index") % 7 != 0)
+    """Training rows of all pairs; an order without lines has no sample and is named so."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seed")).distinct()
+    samples = receipts(spark, sf_dir).join(lines, "seed", "left_semi")
     rows = to_preference_rows(gold_pairs(spark, sf_dir), samples, RECEIPT_INSTRUCTION)
 
     def body(messages: str, part: int) -> Column:
