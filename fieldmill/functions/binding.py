@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(body: Callable[..., Column], **values: Column) -> Column:
+def let(body: Callable[..., Column], /, **values: Column) -> Column:
     """``body`` over values that are computed once per row.
 
     Spark evaluates what a lambda refers to anew for each array element, unless it

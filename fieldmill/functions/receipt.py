@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmill.functions.binding import let
 from fieldmill.functions.draws import cut, digest, draw, shuffled
 from fieldmill.functions.text import normalize_value, strip_thousands
 
@@ -316,17 +317,25 @@ def menu_items(text: Column) -> Column:
 
 def normalize_ground_truth(text: Column) -> Column:
     """Native twin of ``normalize_annotation`` for annotations whose leaves are strings."""
-    body = F.from_json(text, "gt_parse struct<menu:string,sub_total:string,total:string>")[
-        "gt_parse"
-    ]
-
-    def amount(group: str, key: str) -> Column:
-        value = F.element_at(merge_objects(body[group]), F.lit(key))
-        return F.coalesce(strip_thousands(value), F.lit(""))
-
-    return F.struct(
-        menu_items(body["menu"]).alias("menu"),
-        amount("sub_total", "subtotal_price").alias("subtotal"),
-        amount("sub_total", "tax_price").alias("tax"),
-        amount("total", "total_price").alias("total"),
-    )
+
+    def amount(group: Column, key: str) -> Column:
+        return F.coalesce(strip_thousands(F.element_at(group, F.lit(key))), F.lit(""))
+
+    def target(menu: Column, subtotal: Column, total: Column) -> Column:
+        return F.struct(
+            menu.alias("menu"),
+            amount(subtotal, "subtotal_price").alias("subtotal"),
+            amount(subtotal, "tax_price").alias("tax"),
+            amount(total, "total_price").alias("total"),
+        )
+
+    def groups(body: Column) -> Column:
+        return let(
+            target,
+            menu=menu_items(body["menu"]),
+            subtotal=merge_objects(body["sub_total"]),
+            total=merge_objects(body["total"]),
+        )
+
+    shape = "gt_parse struct<menu:string,sub_total:string,total:string>"
+    return let(groups, body=F.from_json(text, shape)["gt_parse"])
