@@ -263,7 +263,8 @@ lined AS (
       lines[line_no + 1].text AS text FROM numbered""",
 )
 def receipt_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_lines(receipts(spark, sf_dir), "seed")
+    lines = layout_lines(receipts(spark, sf_dir), "seed")
+    return lines.withColumns({c: F.col(c).cast("bigint") for c in ("line_no", "x", "y")})
 
 
 @query(
@@ -320,8 +321,7 @@ def plan_downscale_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("resize_images")
-def resize_document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as grey images of 32 columns, scaled down to 512 pixels."""
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     height = F.ceil(F.octet_length("text") / 32).cast("int")
@@ -332,11 +332,35 @@ def resize_document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("channels"),
         F.rpad(F.col("text").cast("binary"), height * 32, F.lit(b" ")).alias("pixels"),
     )
-    return resize_images(images, 512).select(
+    return resize_images(images, 512)
+
+
+@query("resize_images")
+def resize_document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_images(spark, sf_dir).select(
         "image_ref", "width", "height", "channels", F.md5("pixels").alias("pixels_md5")
     )
 
 
+@query(
+    "resize_sizes",
+    """SELECT doc_id::VARCHAR AS image_ref, w AS width, h AS height, w * h * 3 AS bytes FROM (
+      SELECT doc_id, CASE WHEN 32 * rows <= 512 THEN 32 ELSE
+          greatest(1, trunc(32 * sqrt(512.0::DOUBLE / (32 * rows)))::BIGINT) END AS w,
+        CASE WHEN 32 * rows <= 512 THEN rows ELSE
+          greatest(1, trunc(rows * sqrt(512.0::DOUBLE / (32 * rows)))::BIGINT) END AS h
+      FROM (SELECT doc_id, (strlen(text) + 31) // 32 AS rows FROM documents WHERE text <> ''))""",
+)
+def resize_document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and byte counts of the same images after resizing."""
+    return document_images(spark, sf_dir).select(
+        "image_ref",
+        F.col("width").cast("bigint").alias("width"),
+        F.col("height").cast("bigint").alias("height"),
+        F.length("pixels").cast("bigint").alias("bytes"),
+    )
+
+
 # ------------------------------------------------------------------ prediction
 
 

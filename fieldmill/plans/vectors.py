@@ -64,7 +64,7 @@ def label_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "energy_norm",
     """SELECT label, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4)
-      AS energy, 64 AS components FROM embeddings GROUP BY label""",
+      AS energy, 64::BIGINT AS components FROM embeddings GROUP BY label""",
 )
 def spectrum_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All energy of a spectrum: the sum of squares of the group's vectors."""

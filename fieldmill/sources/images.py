@@ -41,32 +41,36 @@ def _bicubic(x: np.ndarray) -> np.ndarray:
     return np.where(x < 1.0, near, np.where(x < 2.0, far, 0.0))
 
 
-def _weights(old: int, new: int) -> np.ndarray:
-    """Whole-number filter weights, one row per output position."""
+def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per output position the input positions it reads and their whole-number weights."""
     scale = old / new
     stretch = max(scale, 1.0)
-    centers = (np.arange(new) + 0.5) * scale
-    first = np.clip(np.floor(centers - _SUPPORT * stretch + 0.5), 0, old)
-    last = np.clip(np.floor(centers + _SUPPORT * stretch + 0.5), 0, old)
-    at = np.arange(old)
-    weights = _bicubic((at - centers[:, None] + 0.5) / stretch)
-    weights[(at < first[:, None]) | (at >= last[:, None])] = 0.0
+    reach = _SUPPORT * stretch
+    centers = ((np.arange(new) + 0.5) * scale)[:, None]
+    first = np.clip(np.floor(centers - reach + 0.5), 0, old)
+    last = np.clip(np.floor(centers + reach + 0.5), 0, old)
+    at = first + np.arange(int(np.ceil(2 * reach)) + 1)
+    weights = np.where(at < last, _bicubic((at - centers + 0.5) / stretch), 0.0)
     weights /= weights.sum(axis=1, keepdims=True)
-    return np.trunc(weights * (1 << _PRECISION) + np.copysign(0.5, weights)).astype(np.int64)
+    whole = np.trunc(weights * (1 << _PRECISION) + np.copysign(0.5, weights))
+    return np.minimum(at, old - 1).astype(np.int64), whole.astype(np.int32)
 
 
-def _filter(pixels: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weights applied along axis 0, rounded and clipped to bytes."""
-    total = np.tensordot(weights, pixels.astype(np.int64), axes=(1, 0))
-    return np.clip((total + (1 << (_PRECISION - 1))) >> _PRECISION, 0, 255).astype(np.uint8)
+def _filter(pixels: np.ndarray, new: int) -> np.ndarray:
+    """Resizes along axis 0; the work grows with the filter's reach, not with the side."""
+    at, weights = _taps(len(pixels), new)
+    total = np.full((new, *pixels.shape[1:]), 1 << (_PRECISION - 1), dtype=np.int32)
+    for tap in range(at.shape[1]):
+        total += weights[:, tap, None, None] * pixels[at[:, tap]].astype(np.int32)
+    return np.clip(total >> _PRECISION, 0, 255).astype(np.uint8)
 
 
 def shrink(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """Bicubic resize of a ``height x width x channels`` byte array: columns, then rows."""
     if pixels.shape[1] != width:
-        pixels = _filter(pixels.swapaxes(0, 1), _weights(pixels.shape[1], width)).swapaxes(0, 1)
+        pixels = _filter(pixels.swapaxes(0, 1), width).swapaxes(0, 1)
     if pixels.shape[0] != height:
-        pixels = _filter(pixels, _weights(pixels.shape[0], height))
+        pixels = _filter(pixels, height)
     return np.ascontiguousarray(pixels)
 
 
