@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions.binding import let
 from fieldmill.functions.draws import digest, draw, shuffled
+from fieldmill.functions.text import json_string
 
 # Prose openings, key renames, modes in their own order.
 PROSE_PREFIXES = (
@@ -100,14 +101,7 @@ def corrupt_digits(text: Column, hex_text: Column) -> Column:
 def join_members(members: Column) -> Column:
     """``array<struct<key,value>>`` -> minified JSON object; values are JSON text already."""
     body = F.transform(
-        members,
-        lambda m: F.concat(
-            F.substring(
-                F.to_json(F.array(m["key"])), F.lit(2), F.length(F.to_json(F.array(m["key"]))) - 2
-            ),
-            F.lit(":"),
-            m["value"],
-        ),
+        members, lambda m: F.concat(json_string(m["key"]), F.lit(":"), m["value"])
     )
     return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from fieldmill.functions.binding import let
 from fieldmill.functions.draws import cut, digest, draw, shuffled
-from fieldmill.functions.text import normalize_value, strip_thousands
+from fieldmill.functions.text import json_string, normalize_value, strip_thousands
 
 # Vocabulary, tax rates, page size and ranges of the synthetic domain.
 VENDORS = (
@@ -155,11 +155,8 @@ def struct_members(struct: Column, dtype: T.StructType) -> Column:
     def text(field: T.StructField) -> Column:
         value = struct[field.name]
         if isinstance(field.dataType, T.StringType):
-            return F.coalesce(F.substring(F.to_json(F.array(value)), F.lit(2),
-                              F.length(F.to_json(F.array(value))) - 2), F.lit("null"))
-        return F.coalesce(
-            F.to_json(value, {"ignoreNullFields": "false"}), F.lit("null")
-        )
+            return F.coalesce(json_string(value), F.lit("null"))
+        return F.coalesce(F.to_json(value, {"ignoreNullFields": "false"}), F.lit("null"))
 
     return F.array(
         *[F.struct(F.lit(f.name).alias("key"), text(f).alias("value")) for f in dtype.fields]

@@ -42,6 +42,14 @@ def top_key(path: Column) -> Column:
     return F.regexp_extract(path, r"^[^.\[]*", 0)
 
 
+def json_string(text: Column) -> Column:
+    """A text as JSON string; only one with a quote, backslash or control sign needs a writer."""
+    listed = F.to_json(F.array(text))
+    return F.when(
+        text.rlike(r'["\\\x00-\x1F]'), F.substring(listed, F.lit(2), F.length(listed) - 2)
+    ).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def json_block(raw: Column) -> Column:
     """First ``{`` to last ``}``, greedy; NULL if there is none."""
     return F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit(""))

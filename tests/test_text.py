@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldmill.functions.text import (
     fixed4,
     json_block,
+    json_string,
     normalize_value,
     plan_downscale,
     round4,
@@ -84,6 +86,13 @@ def test_json_block_is_greedy(spark):
     assert [r[0] for r in rows] == ['{"a": 1}', None, None, '{"a":1}\n{"b":2}', None]
 
 
+def test_json_string(spark):
+    texts = ["plain", 'a"b', "back\\slash", "new\nline", "\x01\x1f", "é😀\u2028\x7f", ""]
+    rows = column(spark, texts).select("v", json_string(F.col("v")).alias("j")).collect()
+    assert all(json.loads(r.j) == r.v for r in rows)
+    assert [r.j for r in rows][5] == '"é😀\u2028\x7f"'
+
+
 def test_plan_downscale(spark):
     sizes = [(100, 100), (2000, 1000), (1, 4_000_000), (1024, 1024), (1025, 1024)]
     df = spark.createDataFrame(sizes, "w int, h int")
