@@ -10,10 +10,12 @@ from fieldmill.llm import (
     decontaminate,
     language,
     packing,
+    quality,
     sharding,
     simhash,
     substring,
     toxicity,
+    winnowing,
 )
 from fieldmill.llm.common import table
 
@@ -57,8 +59,10 @@ QUERIES: dict[str, Callable] = {
     "op2_packing": packing.op2_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_language_id": language.op4_language_id,
+    "op5_fingerprints": winnowing.op5_fingerprints,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {
