@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from fieldmill.llm import (
+    context_tree,
     decontaminate,
     language,
     packing,
@@ -62,6 +63,7 @@ QUERIES: dict[str, Callable] = {
     "op5_fingerprints": winnowing.op5_fingerprints,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_context_tree": context_tree.op8_context_tree,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
