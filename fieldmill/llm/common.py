@@ -51,6 +51,17 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def keeping(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``, all columns as they are.
+
+    Rows with a null id stay.
+    """
+    number = F.col("doc_id").cast("long")
+    ids = gone.select(number.alias("__gone")).distinct()
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(ids, number == F.col("__gone"), "left_anti").select(*every)
+
+
 def share_of(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % parts

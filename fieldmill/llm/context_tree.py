@@ -14,6 +14,7 @@ tops of the trees, whose number is bounded by the alphabet, meet on the driver.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -396,7 +397,12 @@ class Lookup:
         return found
 
 
-_lookups: dict[int, Lookup] = {}
+_lookups: dict[str, Lookup] = {}
+
+
+def _named(keys: np.ndarray, values: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Keys and values with a name that no other broadcast of this job has."""
+    return uuid.uuid4().hex, keys, values
 
 
 def _lookup(held) -> Lookup:
@@ -433,8 +439,7 @@ def tree_scores(rows: DataFrame, found: DataFrame, depth: int = DEPTH, block: in
     for at, (keys, logs) in enumerate(blocks(found, block)):
         if at:
             total = written(total, "context-scores")
-        token = zlib.crc32(keys.tobytes()) << 32 | keys.size
-        held = rows.sparkSession.sparkContext.broadcast((token, keys, logs))
+        held = rows.sparkSession.sparkContext.broadcast(_named(keys, logs))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -501,9 +506,7 @@ def base_scores(rows: DataFrame) -> DataFrame:
     low = n * FREQUENT
     often = counts.where(F.col("c") >= low).toArrow()
     keys = often.column("word").to_numpy().view(np.uint64)
-    held = spark.sparkContext.broadcast(
-        (zlib.crc32(keys.tobytes()) << 32 | keys.size, keys, often.column("c").to_numpy())
-    )
+    held = spark.sparkContext.broadcast(_named(keys, often.column("c").to_numpy()))
     below = n + 0.1 * (v + 1)
     end = float(np.log10((texts_ + 0.1) / below))
     names = rows.columns

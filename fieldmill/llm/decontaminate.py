@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import table, texts
+from fieldmill.llm.common import keeping, table, texts
 
 #: Edits that still count as the item, as a share of its characters.
 ERROR_RATE = 0.06
@@ -187,5 +187,4 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows are matched by doc_id; rows with a null id stay.
     """
-    found = matches(texts(docs), items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return keeping(docs, matches(texts(docs), items))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import table, texts, written
+from fieldmill.llm.common import keeping, table, texts, written
 
 BITS = 64
 SHINGLE = 3
@@ -249,5 +249,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that repeat the id stay together; rows with a null id stay as they are.
     """
     found = grouped(texts(docs)).where("doc_id <> component_id")
-    gone = found.select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return keeping(docs, found)

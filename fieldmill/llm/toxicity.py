@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import chunks, share_of, table, texts
+from fieldmill.llm.common import chunks, keeping, share_of, table, texts
 
 #: Sizes of the n-grams and of the hashed feature space (a power of two).
 ORDERS = (3, 4, 5)
@@ -208,4 +208,4 @@ def rejected(docs: DataFrame, model: Model) -> DataFrame:
     kept, as nothing ties a score to them.
     """
     scored = score(texts(docs), model).where(F.col("score") >= THRESHOLD)
-    return docs.join(scored.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return keeping(docs, scored)
