@@ -191,11 +191,15 @@ def layout_lines(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     count = F.size(r["items"])
     top = 28 + 22 + 22
     below = F.lit(top) + count * 42
-    # One jitter of four hex digits per item; the page's digits hold twelve of them.
-    priced = F.arrays_zip(
-        r["items"].alias("item"),
-        F.slice(cut(F.substring(page, 13, 48), 4), F.lit(1), count).alias("digits"),
+    # One jitter of four hex digits per item; the page's digits hold twelve of them, items
+    # beyond draw their own.
+    own = F.slice(cut(F.substring(page, 13, 48), 4), F.lit(1), F.least(count, F.lit(12)))
+    further = F.transform(
+        F.sequence(F.lit(12), count - 1),
+        lambda i: F.substring(digest(f"receipt|{seed}|item", F.col(key), i), 1, 4),
     )
+    digits = F.when(count > 12, F.concat(own, further)).otherwise(own)
+    priced = F.arrays_zip(r["items"].alias("item"), digits.alias("digits"))
     items = F.flatten(
         F.transform(
             priced,

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 from fieldmill.functions.schema import compile_schema
 from fieldmill.functions.text import BLANKS
 
-# Nesting beyond this counts as unparseable, so no later step can run out of stack.
-_MAX_DEPTH = 400
+# The interpreter refuses to read longer integers until it is told otherwise.
+_LONG_DIGITS = re.compile(r"\d{4301}")
 _NOT_NUMERIC = re.compile(r"[^\d.\-]")
 
 
@@ -34,37 +35,42 @@ class MISSING:
     """Marks text that is no JSON.  A class, so that it stays itself in every worker."""
 
 
+class TOO_DEEP:  # noqa: N801
+    """Marks text that nests deeper than the parser can follow."""
+
+
 SCORED_TYPE = (
     "gold_valid boolean, json_valid boolean, schema_valid boolean, exact_match boolean, "
     "gold_fields array<string>, pred_fields array<string>"
 )
 
 
-def _too_deep(value: Any) -> bool:
-    level = [value]
-    for _ in range(_MAX_DEPTH):
-        level = [
-            child
-            for node in level
-            if isinstance(node, (dict, list))
-            for child in (node.values() if isinstance(node, dict) else node)
-        ]
-        if not level:
-            return False
-    return True
-
-
 def parse_text(text: str | None) -> Any:
-    """The parsed value, or ``MISSING`` for NULL, anything not JSON and extreme nesting."""
+    """The parsed value, or ``MISSING`` for NULL and anything not JSON.
+
+    Integers may have any number of digits.  Nesting beyond what the parser can hold counts
+    as ``TOO_DEEP``, which is no value either.
+    """
     if text is None:
         return MISSING
     try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        return MISSING
-    if text.count("[") + text.count("{") > _MAX_DEPTH and _too_deep(value):
+        return json.loads(text)
+    except RecursionError:
+        return TOO_DEEP
+    except ValueError:
+        if not _LONG_DIGITS.search(text):
+            return MISSING
+    sys.set_int_max_str_digits(0)  # for this worker, from the first such text on
+    try:
+        return json.loads(text)
+    except ValueError:
         return MISSING
-    return value
+    except RecursionError:
+        return TOO_DEEP
+
+
+def is_value(parsed: Any) -> bool:
+    return parsed is not MISSING and parsed is not TOO_DEEP
 
 
 def _parse_block(raw: str | None) -> Any:
@@ -128,15 +134,29 @@ def _compact(value: Any) -> str:
     return text
 
 
+def _spelled(leaf: Any) -> Any:
+    """Numbers and truth values that compare equal get one spelling."""
+    if isinstance(leaf, bool) or (isinstance(leaf, float) and leaf.is_integer()):
+        return int(leaf)
+    return leaf
+
+
 def _comparable(value: Any) -> Any:
-    """Values that compare equal as parsed objects get one spelling."""
-    if isinstance(value, dict):
-        return {key: _comparable(child) for key, child in value.items()}
-    if isinstance(value, list):
-        return [_comparable(child) for child in value]
-    if isinstance(value, bool) or (isinstance(value, float) and value.is_integer()):
-        return int(value)
-    return value
+    """A copy with every leaf in its one spelling; walks level by level, however deep."""
+    holder = [value]
+    todo: list[tuple[Any, Any]] = [(holder, 0)]
+    while todo:
+        parent, at = todo.pop()
+        node = parent[at]
+        if isinstance(node, dict):
+            parent[at] = copy = dict(node)
+            todo.extend((copy, key) for key in copy)
+        elif isinstance(node, list):
+            parent[at] = copy = list(node)
+            todo.extend((copy, i) for i in range(len(copy)))
+        else:
+            parent[at] = _spelled(node)
+    return holder[0]
 
 
 def _canonical(value: Any) -> str:
@@ -207,7 +227,7 @@ def parse_json(
             value = read(text)
             rows.append(
                 failed
-                if value is MISSING
+                if not is_value(value)
                 else (True, conforms(value), *[make(value) for make in makers])
             )
         return _struct(rows, kind)
@@ -225,17 +245,17 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
         rows = []
         for gold_text, raw_text in zip(golds.to_pylist(), raws.to_pylist()):
             gold, pred = parse_text(gold_text), _parse_block(raw_text)
-            gold_fields = [] if gold is MISSING else _tokens(gold)
-            same = pred is not MISSING and gold is not MISSING and pred == gold
+            gold_fields = _tokens(gold) if is_value(gold) else []
+            same = is_value(pred) and is_value(gold) and pred == gold
             if same:
                 pred_fields = gold_fields
             else:
-                pred_fields = [] if pred is MISSING else _tokens(pred)
+                pred_fields = _tokens(pred) if is_value(pred) else []
             rows.append(
                 (
-                    gold is not MISSING,
-                    pred is not MISSING,
-                    pred is not MISSING and conforms(pred),
+                    is_value(gold),
+                    is_value(pred),
+                    is_value(pred) and conforms(pred),
                     same,
                     gold_fields,
                     pred_fields,
@@ -259,40 +279,56 @@ def flatten_fields(col: Column) -> Column:
 TARGET_TYPE = "target_json string, bad_reason string"
 
 
-def _amount(value: Any) -> Any:
-    return value.replace(",", "").strip(BLANKS) if isinstance(value, str) else value
+# Where the fields of a receipt stand in an annotation, and which are amounts.
+_LINE_FIELDS = (("name", "nm", False), ("count", "cnt", True), ("price", "price", True))
+_SUM_FIELDS = (
+    ("subtotal", "sub_total", "subtotal_price"),
+    ("tax", "sub_total", "tax_price"),
+    ("total", "total", "total_price"),
+)
+
+
+class BadAnnotation(Exception):
+    """An annotation whose shape cannot hold a receipt."""
 
 
-def _merged(value: Any) -> dict:
-    """One dict out of a dict or a list of dicts, the last entry winning."""
-    parts = value if isinstance(value, list) else [value]
-    return {k: v for part in parts if isinstance(part, dict) for k, v in part.items()}
+def _objects(node: Any) -> list[dict]:
+    """The objects at a place that may hold one or a list of them."""
+    return [part for part in (node if isinstance(node, list) else (node,)) if isinstance(part, dict)]
+
+
+def _last(parts: list[dict], key: str, amount: bool) -> Any:
+    """The key's value in the last object that has it; amounts lose their separators."""
+    for part in reversed(parts):
+        if key in part:
+            found = part[key]
+            plain = amount and isinstance(found, str)
+            return "".join(found.split(",")).strip(BLANKS) if plain else found
+    return ""
 
 
 def _receipt_target(annotation: Any) -> dict:
-    """The normalized receipt of one parsed annotation; ValueError if it has no usable shape."""
-    body = annotation.get("gt_parse", {}) if isinstance(annotation, dict) else {}
+    """The receipt of one parsed annotation, read off the tables above.
+
+    Anything but an object is the empty receipt; an object without a usable ``gt_parse`` or
+    ``menu`` raises BadAnnotation.
+    """
+    roots = _objects(annotation) if not isinstance(annotation, list) else []
+    body = roots[0].get("gt_parse", {}) if roots else {}
     if not isinstance(body, dict):
-        raise ValueError("gt_parse is not an object")
-    lines = body.get("menu", [])
-    if lines is None or isinstance(lines, (bool, int, float)):
-        raise ValueError("menu is neither a list nor an object")
-    lines = [lines] if isinstance(lines, dict) else lines
-    subtotal, total = _merged(body.get("sub_total")), _merged(body.get("total"))
-    return {
+        raise BadAnnotation("gt_parse is not an object")
+    menu = body.get("menu", [])
+    if not isinstance(menu, (dict, list, str)):
+        raise BadAnnotation("menu is neither a list nor an object")
+    target: dict[str, Any] = {
         "menu": [
-            {
-                "name": line.get("nm", ""),
-                "count": _amount(line.get("cnt", "")),
-                "price": _amount(line.get("price", "")),
-            }
-            for line in lines
-            if isinstance(line, dict)
-        ],
-        "subtotal": _amount(subtotal.get("subtotal_price", "")),
-        "tax": _amount(subtotal.get("tax_price", "")),
-        "total": _amount(total.get("total_price", "")),
+            {name: _last([line], key, amount) for name, key, amount in _LINE_FIELDS}
+            for line in _objects(menu)
+        ]
     }
+    for name, place, key in _SUM_FIELDS:
+        target[name] = _last(_objects(body.get(place)), key, True)
+    return target
 
 
 def normalize_annotation(col: Column) -> Column:
@@ -310,9 +346,13 @@ def normalize_annotation(col: Column) -> Column:
             if text is None:
                 rows.append({"bad_reason": "no ground truth"})
                 continue
+            parsed = parse_text(text)
+            if parsed is TOO_DEEP:
+                rows.append({"bad_reason": "nested too deep to parse"})
+                continue
             try:
-                rows.append({"target_json": _compact(_receipt_target(parse_text(text)))})
-            except ValueError as problem:
+                rows.append({"target_json": _compact(_receipt_target(parsed))})
+            except BadAnnotation as problem:
                 rows.append({"bad_reason": str(problem)})
         return pa.array(rows, type=kind)
 

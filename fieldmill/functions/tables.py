@@ -7,16 +7,16 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from fieldmill.functions.strict_json import MISSING, leaves, parse_text, utf8
+from fieldmill.functions.strict_json import is_value, leaves, parse_text, utf8
 
 
-@udtf(returnType="path string, value string")
+@udtf(returnType="path string, value string", useArrow=True)
 class FlattenJson:
     """``SELECT t.id, f.* FROM t, LATERAL flatten_json(t.doc) f``"""
 
     def eval(self, text: str) -> Iterator[tuple[str, str]]:
         document = parse_text(text)
-        if document is not MISSING:
+        if is_value(document):
             for path, value in set(leaves(document)):
                 yield utf8(path), value
 

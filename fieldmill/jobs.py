@@ -65,7 +65,7 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     scored = spark.read.parquet(place)
     write_predictions(scored, f"{args.out}/predictions")
     write_metrics(summarize(scored), f"{args.out}/summary")
-    write_metrics(per_field(scored), f"{args.out}/per_field")
+    write_metrics(per_field(scored).orderBy("field"), f"{args.out}/per_field")
 
 
 def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:

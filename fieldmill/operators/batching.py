@@ -78,14 +78,19 @@ def prompt_lengths(
     return length if max_len is None else F.least(length, F.lit(max_len))
 
 
-def prompt_len_lookup(df: DataFrame, keys: list[str], length: Column, salts: int = 16) -> DataFrame:
+def prompt_len_lookup(
+    df: DataFrame, keys: list[str], length: Column, salts: int | None = None
+) -> DataFrame:
     """Adds ``prompt_len``, computed once per distinct key instead of once per row.
 
     Worth it where ``length`` is dear (an external tokenizer).  The key table has no
     broadcast hint: AQE broadcasts it when its measured size allows.  Otherwise the
-    rows of one key, however many, are dealt to ``salts`` tasks by a hash of the row,
-    and the key table is repeated that often.
+    rows of one key, however many, are dealt to ``salts`` tasks by a hash of the row (as many
+    as the session has shuffle partitions), and the key table is repeated that often.  NULL
+    keys are keys like any other: every row stays.
     """
+    if salts is None:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = (
         df.select(*keys)
         .distinct()
@@ -93,7 +98,10 @@ def prompt_len_lookup(df: DataFrame, keys: list[str], length: Column, salts: int
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return salted.join(table, [*keys, "_salt"]).drop("_salt")
+    known = table.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_salt", "prompt_len")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    joined = salted.join(known, [*same, salted["_salt"] == known["_salt"]])
+    return joined.select(*df.columns, "prompt_len")
 
 
 def encode(

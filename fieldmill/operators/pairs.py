@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmill.functions.chat import MESSAGE_TYPE, build_messages, message, text_part
@@ -13,9 +13,18 @@ from fieldmill.operators.scoring import with_unique_check
 PAIR_TYPE = "split string, index bigint, chosen string, rejected string"
 
 
-def first_n(df: DataFrame, n: int | None, index: str = "index") -> DataFrame:
-    """The first ``n`` rows of a dense index: a filter the scan can prune by."""
-    return df if n is None else df.where(F.col(index) < n)
+def first_n(df: DataFrame, n: int | None, index: str = "index", by: str | None = None) -> DataFrame:
+    """The first ``n`` rows by an index that may have gaps, of each ``by`` if given; None is all.
+
+    Tasks keep their own first ``n`` rows before anything is shuffled: a top-k without ``by``, a
+    window with a group limit with it.
+    """
+    if n is None:
+        return df
+    if by is None:
+        return df.orderBy(index).limit(n)
+    order = Window.partitionBy(by).orderBy(index)
+    return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n).drop("_nth")
 
 
 def first_n_ordered(df: DataFrame, n: int, *by: str) -> DataFrame:
@@ -28,11 +37,12 @@ def pairs_from_gold(
 ) -> DataFrame:
     """Gold against a perturbed copy of it, for the first ``n`` rows of a split.
 
-    Any split other than ``train`` reads the held-out rows.  If the samples carry
+    A row without a target (its annotation was bad) gives no pair; ``without_target`` lists
+    such rows.  Any split other than ``train`` reads the held-out rows.  If the samples carry
     ``members`` (top-level keys with their JSON text) no parse is needed.
     """
     stored = "train" if split == "train" else "validation"
-    chosen = first_n(samples.where(F.col("split") == stored), n)
+    chosen = first_n(samples.where(F.col("split") == stored), n).where("target_json IS NOT NULL")
     if "members" not in samples.columns:
         chosen = chosen.withColumn("members", parse_json(F.col("target_json"), "members")["members"])
     text, members, draws = F.col("target_json"), F.col("members"), F.col("_draws")
@@ -48,6 +58,11 @@ def pairs_from_gold(
     )
 
 
+def without_target(samples: DataFrame) -> DataFrame:
+    """The rows that ``pairs_from_gold`` leaves out, with their reason if one is known."""
+    return samples.where("target_json IS NULL")
+
+
 def is_wrong(json_valid: Column, field_f1: Column) -> Column:
     """Not parseable or not every field right; a missing flag or score counts as wrong."""
     return ~F.coalesce(json_valid, F.lit(False)) | (F.coalesce(field_f1, F.lit(0.0)) < 1.0)
@@ -56,9 +71,9 @@ def is_wrong(json_valid: Column, field_f1: Column) -> Column:
 def pairs_from_predictions(preds: DataFrame, split: str) -> DataFrame:
     """Gold (minified text) against what the model said, where it was wrong.
 
-    ``field_f1`` is the stored score, rounded to four decimals.
+    ``field_f1`` is the stored score, rounded to four decimals.  Rows without gold give no pair.
     """
-    return preds.where(is_wrong(F.col("json_valid"), F.col("field_f1"))).select(
+    return preds.where("gold IS NOT NULL").where(is_wrong(F.col("json_valid"), F.col("field_f1"))).select(
         F.lit(split).alias("split"),
         F.col("index").cast("bigint").alias("index"),
         F.col("gold").alias("chosen"),

@@ -148,9 +148,13 @@ def key_counts(scored: DataFrame, *keep: str) -> DataFrame:
 
 
 def per_field(scored: DataFrame, *by: str) -> DataFrame:
-    """Micro counts and scores per top-level key, over the union of both sides' keys."""
+    """Micro counts and scores per top-level key, over the union of both sides' keys.
+
+    Rows whose gold is no JSON are left out, as in ``summarize`` and ``report``.
+    """
+    usable = scored.where("gold_valid") if "gold_valid" in scored.columns else scored
     grouped = (
-        key_counts(scored, *by)
+        key_counts(usable, *by)
         .groupBy(*by, "field")
         .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
     )
@@ -207,9 +211,12 @@ def evaluate(
     limit: int | None = None,
     on: str = "index",
 ) -> DataFrame:
-    """Predictions zipped with golds and scored; ``limit`` keeps indexes below it."""
+    """Predictions zipped with golds and scored; ``limit`` takes the first golds by index and the
+    predictions up to the last of them."""
     if limit is not None:
-        preds, golds = preds.where(F.col(on) < limit), golds.where(F.col(on) < limit)
+        golds = golds.orderBy(on).limit(limit)
+        last = golds.agg(F.max(on).alias("last")).scalar()
+        preds = preds.where(F.col(on) <= last)
     return score(zip_strict(preds, golds, on), schema=schema)
 
 
@@ -318,14 +325,14 @@ def compare_models(metrics: DataFrame) -> DataFrame:
 
 
 def leakage(train: DataFrame, held_out: DataFrame, text: str) -> DataFrame:
-    """Texts both sides hold, with their number of rows on each side.
+    """Texts both sides hold, with their number of rows on each side; NULL is no text.
 
     Both sides go through one aggregation by content hash that is combined before
     the shuffle, so a text with very many copies costs no more than any other.
     """
 
     def side(df: DataFrame, train_row: int) -> DataFrame:
-        return df.select(
+        return df.where(F.col(text).isNotNull()).select(
             F.unhex(F.sha2(F.col(text), 256)).alias("content"),
             F.lit(train_row).cast("bigint").alias("t"),
         )

@@ -135,10 +135,20 @@ def expand_runs(
 def sweep_results(
     runs: DataFrame, metrics: DataFrame, grid: dict[str, list] | None, variants: bool
 ) -> DataFrame:
-    """One row per run: variant, axis columns, the four rates, run id."""
+    """One row per run: variant, axis columns, the four rates, run id.
+
+    A run without metrics keeps its row, with NULL rates; metrics of an unknown run fail the job.
+    """
+    # one row per run of the spec on either side
+    strangers = metrics.join(runs, "run_no", "left_anti").agg(F.count("*").alias("n")).scalar()
+    checked = runs.where(
+        F.when(strangers == 0, F.lit(True)).otherwise(
+            F.raise_error(F.lit("metrics of a run that the sweep does not have")).cast("boolean")
+        )
+    )
     axes = [F.element_at("overrides", axis).alias(name) for axis, name in axis_names(grid).items()]
     head = [F.col("label").alias("variant")] if variants else []
-    return runs.join(metrics, "run_no").select(
+    return checked.join(metrics, "run_no", "left").select(
         "run_no", *head, *axes, "field_f1", "exact_match", "json_valid_rate", "schema_valid_rate",
         "run_id",
     )
@@ -146,12 +156,12 @@ def sweep_results(
 
 def rank_runs(results: DataFrame) -> DataFrame:
     """Best macro F1 first, ties in run order."""
-    return results.orderBy(F.desc("field_f1"), "run_no")
+    return results.orderBy(F.desc_nulls_last("field_f1"), "run_no")
 
 
 def with_place(results: DataFrame) -> DataFrame:
     """Adds the rank as a column; the table has one row per run of the spec."""
-    order = Window.orderBy(F.desc("field_f1"), "run_no")
+    order = Window.orderBy(F.desc_nulls_last("field_f1"), "run_no")
     return results.withColumn("place", F.row_number().over(order))
 
 

@@ -325,13 +325,15 @@ def assign_batches_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One to four 4-number patches per vector, as ragged vision rows."""
+    """Each vector cut into one to four patches: 4 numbers each, the last has all that is left."""
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("index"), "embedding"
     )
     patches = F.transform(
         F.sequence(F.lit(0), (F.col("index") % 4).cast("int")),
-        lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)),
+        lambda i: F.slice(
+            "embedding", i * 4 + 1, F.when(i < F.col("index") % 4, 4).otherwise(F.size("embedding"))
+        ),
     )
     return assign_batches(rows.withColumn("patches", patches), BATCH)
 
@@ -343,7 +345,7 @@ def vision(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(sum(total), 3) AS checksum FROM (
       SELECT *, coalesce(sum(1 + vec_id % 4) OVER (PARTITION BY vec_id // {BATCH} ORDER BY vec_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
-        list_sum(list_transform(embedding[1:4 * (1 + vec_id % 4)], lambda x: x::DOUBLE)) AS total
+        list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS total
       FROM embeddings) GROUP BY 1""",
 )
 def concat_ragged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,7 +149,18 @@ def read_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_n_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 100 rows of each split, by dense index."""
-    return first_n(receipts(spark, sf_dir), 100).select("split", "index", "target_json")
+    return first_n(receipts(spark, sf_dir), 100, by="split").select("split", "index", "target_json")
+
+
+@query(
+    "first_n_of_each",
+    """SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r
+      FROM documents) WHERE r <= 20""",
+)
+def first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each language, by an index that has gaps within a language."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    return first_n(rows, 20, "doc_id", by="lang")
 
 
 @query(
@@ -450,5 +461,5 @@ def layout_pages(rows: DataFrame) -> DataFrame:
 )
 def top_key_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses cut at their first dot or bracket."""
-    path = F.replace(F.substring("url", 9, 1 << 20), F.lit("/"), F.lit("["))
+    path = F.replace(F.expr("substring(url, 9)"), F.lit("/"), F.lit("["))
     return table(spark, sf_dir, "pages").select("page_id", top_key(path).alias("top_key"))

@@ -1,4 +1,4 @@
-"""Image folders: manifest with sizes, and resizing down to a pixel cap."""
+"""Image folders: manifest with sizes, and scaling down to a pixel cap."""
 
 from __future__ import annotations
 
@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from fieldmill.functions.text import plan_downscale
 
 PIXEL_TYPE = "image_ref string, width int, height int, channels int, pixels binary"
-_SUPPORT = 2.0
-_PRECISION = 22
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``image_ref, width, height, channels, pixels`` of a folder; unreadable files drop out."""
-    image = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    return image.select(
+    """``image_ref, width, height, channels, pixels`` of a folder's readable images.
+
+    The manifest lists the others with their reason.
+    """
+    return _read(spark, folder).where("width > 0").select(
         F.col("origin").alias("image_ref"),
         "width",
         "height",
@@ -29,49 +33,21 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_image_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Reference, width and height of each image; the pixels are not carried along."""
-    return read_images(spark, folder).select("image_ref", "width", "height")
-
-
-def _bicubic(x: np.ndarray) -> np.ndarray:
-    """Cubic convolution kernel with a = -1/2."""
-    x = np.abs(x)
-    near = 1.5 * x**3 - 2.5 * x**2 + 1.0
-    far = -0.5 * x**3 + 2.5 * x**2 - 4.0 * x + 2.0
-    return np.where(x < 1.0, near, np.where(x < 2.0, far, 0.0))
-
-
-def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per output position the input positions it reads and their whole-number weights."""
-    scale = old / new
-    stretch = max(scale, 1.0)
-    reach = _SUPPORT * stretch
-    centers = ((np.arange(new) + 0.5) * scale)[:, None]
-    first = np.clip(np.floor(centers - reach + 0.5), 0, old)
-    last = np.clip(np.floor(centers + reach + 0.5), 0, old)
-    at = first + np.arange(int(np.ceil(2 * reach)) + 1)
-    weights = np.where(at < last, _bicubic((at - centers + 0.5) / stretch), 0.0)
-    weights /= weights.sum(axis=1, keepdims=True)
-    whole = np.trunc(weights * (1 << _PRECISION) + np.copysign(0.5, weights))
-    return np.minimum(at, old - 1).astype(np.int64), whole.astype(np.int32)
-
-
-def _filter(pixels: np.ndarray, new: int) -> np.ndarray:
-    """Resizes along axis 0; the work grows with the filter's reach, not with the side."""
-    at, weights = _taps(len(pixels), new)
-    total = np.full((new, *pixels.shape[1:]), 1 << (_PRECISION - 1), dtype=np.int32)
-    for tap in range(at.shape[1]):
-        total += weights[:, tap, None, None] * pixels[at[:, tap]].astype(np.int32)
-    return np.clip(total >> _PRECISION, 0, 255).astype(np.uint8)
+    """``image_ref, width, height, bad_reason`` of every file; the pixels are not carried along."""
+    readable = F.col("width") > 0
+    return _read(spark, folder).select(
+        F.col("origin").alias("image_ref"),
+        F.when(readable, F.col("width")).alias("width"),
+        F.when(readable, F.col("height")).alias("height"),
+        F.when(~readable, "not an image").alias("bad_reason"),
+    )
 
 
 def shrink(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bicubic resize of a ``height x width x channels`` byte array: columns, then rows."""
-    if pixels.shape[1] != width:
-        pixels = _filter(pixels.swapaxes(0, 1), width).swapaxes(0, 1)
-    if pixels.shape[0] != height:
-        pixels = _filter(pixels, height)
-    return np.ascontiguousarray(pixels)
+    """The nearest pixel of a ``height x width x channels`` array for each of the new ones."""
+    rows = np.arange(height) * pixels.shape[0] // height
+    columns = np.arange(width) * pixels.shape[1] // width
+    return pixels[rows[:, None], columns]
 
 
 def resize_images(images: DataFrame, cap: int | None) -> DataFrame:

@@ -45,8 +45,9 @@ def read_samples(
 ) -> DataFrame:
     """One split of an annotated dataset: only the contract's columns are read.
 
-    ``columns`` maps contract names to the source's own.  Split and limit are plain
-    filters on source columns, so the scan prunes by them.  ``limit`` 0 is empty.
+    ``columns`` maps contract names to the source's own.  The split is a plain
+    filter on the source column, so the scan prunes by it; ``limit`` takes the first rows
+    by index, min(limit, rows), and 0 is empty.
     """
     names = {**SAMPLE_COLUMNS, **(columns or {})}
     rows = spark.read.parquet(path)
@@ -127,7 +128,7 @@ def split_counts(samples: DataFrame) -> DataFrame:
 def preview(samples: DataFrame, n: int = 3) -> DataFrame:
     """The first ``n`` targets of each split, with the split's row count and columns."""
     counts = split_counts(samples).withColumn("columns", F.lit(",".join(samples.columns)))
-    return first_n(samples, n).select("split", "index", "target_json").join(counts, "split")
+    return first_n(samples, n, by="split").select("split", "index", "target_json").join(counts, "split")
 
 
 _PREDICTION_KEYS = ("index", "gold", "raw", "json_valid", "field_f1")

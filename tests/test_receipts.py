@@ -173,6 +173,6 @@ def test_annotated_dataset_from_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "index long, split string, image_ref string, ground_truth string")
     df.withColumn("more", F.lit("x")).write.parquet(str(tmp_path / "a"))
     splits = open_dataset(spark, "cord", path=str(tmp_path / "a"), n_train=5, n_eval=0)
-    assert [r["index"] for r in splits["train"].orderBy("index").collect()] == [0, 2, 4]
+    assert [r["index"] for r in splits["train"].orderBy("index").collect()] == [0, 2, 4, 6, 8]
     assert splits["train"].columns == ["index", "split", "image_ref", "target_json", "bad_reason"]
     assert splits["validation"].count() == 0

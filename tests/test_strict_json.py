@@ -65,17 +65,17 @@ def test_canonical_equals_object_equality(spark):
 def test_odd_texts_do_not_fail_the_job(spark):
     odd = ['{"a":"\\ud800"}', "[" * 100_000, "1" * 5000, '{"a":1e400}', '{"\\ud800":1}', ""]
     got = ask(spark, odd, parse_json(F.col("t"), "canonical", "minified", "pairs", "members"))
-    assert [g.valid for g in got] == [True, False, False, True, True, False]
+    assert [g.valid for g in got] == [True, False, True, True, True, False]
     assert json.loads(got[0].minified) == {"a": "\ud800"}
     assert got[3].pairs[0].value == "inf"
 
 
-def test_deep_texts_are_invalid_and_wide_ones_are_not(spark):
+def test_deep_and_wide_texts_are_valid_as_far_as_the_parser_follows(spark):
     deep = ["[" * n + "]" * n for n in (300, 900, 5000, 50_000)]
     nested = '{"a":' * 900 + "1" + "}" * 900
     wide = json.dumps({"m": [{"x": [i]} for i in range(2000)]})
     got = ask(spark, [*deep, nested, wide], parse_json(F.col("t"), "canonical", "minified", "pairs"))
-    assert [g.valid for g in got] == [True, False, False, False, False, True]
+    assert [g.valid for g in got] == [True, True, True, False, True, True]
     assert len(got[5].pairs) == 2000
 
 

@@ -62,7 +62,8 @@ def test_results_are_ranked_and_written(spark, tmp_path):
     results = sweep_results(table, metrics, grid, variants=True)
     assert results.columns == ["run_no", "variant", "r", "field_f1", "exact_match", "json_valid_rate", "schema_valid_rate", "run_id"]
     ranked = rank_runs(results)
-    assert [r.run_id for r in ranked.collect()] == ["y", "x", "z"]
+    # the fourth run has no metrics: it stays, and comes last
+    assert [r.run_id for r in ranked.collect()] == ["y", "x", "z", None]
     write_results(ranked.coalesce(1), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().variant == "a"
     with pytest.raises(ValueError):
