@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmill.functions.receipt import (
+    EVAL_START,
     layout_lines,
     menu_items,
     merge_objects,
     minify_json,
     normalize_ground_truth,
 )
+from fieldmill.functions.schema import schema_prompts
+from fieldmill.functions.tables import register_sql
 from fieldmill.functions.text import plan_downscale, strip_thousands, top_key
 from fieldmill.operators.batching import dense_index
 from fieldmill.operators.pairs import first_n, first_n_ordered
@@ -27,6 +30,8 @@ from fieldmill.plans.base import (
     table,
     with_sql,
 )
+from fieldmill.registry import get_metric
+from fieldmill.session import work_folder
 from fieldmill.sources.images import resize_images
 from fieldmill.sources.samples import (
     generate_receipts,
@@ -35,6 +40,8 @@ from fieldmill.sources.samples import (
     read_samples,
     split_counts,
     spread,
+    synthetic_splits,
+    write_metrics,
 )
 
 # ---------------------------------------------------------------- annotations
@@ -238,6 +245,103 @@ def synthetic_splits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "synthetic_split_rows",
+    with_sql(
+        RECEIPTS.replace(
+            "FROM orders",
+            """FROM (SELECT range AS o_orderkey FROM range((SELECT count(*) FROM orders))
+              UNION ALL SELECT 1000000 + range FROM range((SELECT count(*) FROM customer)))""",
+            1,
+        )
+    )
+    + """ SELECT CASE WHEN seed < 1000000 THEN 'train' ELSE 'validation' END AS split,
+      seed % 1000000 AS "index", md5(target_json) AS target_md5 FROM receipts""",
+)
+def synthetic_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both splits from the operator: a train row per order, a held-out row per customer."""
+    n_train = min(table(spark, sf_dir, "orders").count(), EVAL_START)
+    n_eval = table(spark, sf_dir, "customer").count()
+    rows = synthetic_splits(spark, n_train, n_eval)
+    return rows.select("split", "index", F.md5("target_json").alias("target_md5"))
+
+
+@query(
+    "schema_prompts_of_events",
+    """WITH keys AS (SELECT DISTINCT event_type, unnest(json_keys(props)) AS k FROM events),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY k) AS pos FROM keys)
+    SELECT event_type AS domain, 'The JSON must match this schema (keys and types):' || chr(10) ||
+      string_agg('  - ' || k || ' (any)', chr(10) ORDER BY pos) AS prompt FROM placed GROUP BY 1""",
+)
+def event_schema_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt per event type out of schema rows: the keys its properties have."""
+    keys = (
+        table(spark, sf_dir, "events")
+        .select(F.col("event_type").alias("domain"), F.explode(F.json_object_keys("props")).alias("key"))
+        .distinct()
+    )
+    # a domain's rows are the keys of one schema
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("key"))
+    rows = keys.select(
+        "domain", place.alias("pos"), "key", F.lit("any").alias("type"), F.lit("").alias("description")
+    )
+    return schema_prompts(rows)
+
+
+@query(
+    "write_metrics",
+    """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean,
+      CASE WHEN count(*) < 0 THEN 1 END::DOUBLE AS missing FROM events GROUP BY event_type""",
+)
+def write_read_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written and read back, a NULL among them."""
+    metrics = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")
+    )
+    place = work_folder(spark, "metrics")
+    write_metrics(metrics.withColumn("missing", F.lit(None).cast("double")), place)
+    return spark.read.schema("event_type string, n bigint, mean double, missing double").json(place)
+
+
+@query(
+    "sql_functions",
+    """SELECT l_returnflag, l_linenumber, count(*) AS n,
+      round(sum(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END), 6) AS f1_sum,
+      round(sum(CASE WHEN tp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END), 6) AS precision_sum,
+      count(block) AS blocks, max(block) AS last_block
+    FROM (SELECT *, l_orderkey % 5 AS tp, l_partkey % 7 AS fp, l_suppkey % 3 AS fn,
+        CASE WHEN l_linenumber % 3 > 0 THEN '{"k":"' || l_returnflag || '"} {' || l_linenumber || '}' END
+          AS block FROM lineitem)
+    GROUP BY ALL""",
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions SQL knows by name, beside the registered metric of the same rule."""
+    register_sql(spark)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linenumber", (F.col("l_orderkey") % 5).alias("tp"),
+        (F.col("l_partkey") % 7).alias("fp"), (F.col("l_suppkey") % 3).alias("fn"),
+        F.when(
+            F.col("l_linenumber") % 3 > 0,
+            F.format_string('so {"k":"%s"} {%d} ok', "l_returnflag", "l_linenumber"),
+        ).alias("raw"),
+    )
+    scores = get_metric("field_prf")(F.col("tp"), F.col("fp"), F.col("fn"))
+    scored = lines.withColumns(
+        {
+            "f1": F.expr("field_f1(tp, fp, fn)"),
+            "precision": scores["precision"],
+            "block": F.expr("json_block(raw)"),
+        }
+    )
+    return scored.groupBy("l_returnflag", "l_linenumber").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("f1"), 6).alias("f1_sum"),
+        F.round(F.sum("precision"), 6).alias("precision_sum"),
+        F.count("block").alias("blocks"),
+        F.max("block").alias("last_block"),
+    )
+
+
 _LEFT = "{0} || repeat(' ', greatest(0, {1} - length({0})))"
 _RIGHT = "repeat(' ', greatest(0, {1} - length({0}))) || {0}"
 _PAGE = sql_digest("receipt|0|page", "seed", 2)

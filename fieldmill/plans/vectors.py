@@ -73,3 +73,22 @@ def spectrum_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum(F.col("sigma") * F.col("sigma")), 4).alias("energy"),
         F.count("*").alias("components"),
     )
+
+
+@query(
+    "spectrum_moments",
+    """WITH cells AS (
+      SELECT label, a.i AS i, b.i AS j, sum(a.x * b.x) AS cell FROM embeddings,
+        LATERAL (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x) a,
+        LATERAL (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x) b GROUP BY ALL)
+    SELECT label, round(sum(CASE WHEN i = j THEN cell ELSE 0 END), 4) AS second,
+      round(sum(cell * cell), 4) AS fourth FROM cells GROUP BY label""",
+)
+def spectrum_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the squares and fourth powers of a spectrum, which a Gram matrix holds as its
+    trace and the sum of its squared cells."""
+    square = F.col("sigma") * F.col("sigma")
+    return label_spectrum(spark, sf_dir).groupBy("label").agg(
+        F.round(F.sum(square), 4).alias("second"),
+        F.round(F.sum(square * square), 4).alias("fourth"),
+    )
