@@ -7,8 +7,13 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check import TABLES, rows_of
+from fieldmill.plans import registered
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+# the queries of the package itself; those of its optional subpackage have tests of their own
+QUERIES, ORACLES = (
+    {name: entry_points.queries()[name] for name in registered()[0]},
+    registered()[1],
+)
 
 
 @pytest.fixture(scope="module")
