@@ -73,12 +73,17 @@ def is_value(parsed: Any) -> bool:
     return parsed is not MISSING and parsed is not TOO_DEEP
 
 
-def _parse_block(raw: str | None) -> Any:
-    """First ``{`` to last ``}`` of a raw answer, which must be one object."""
+def _cut_block(raw: str | None) -> str | None:
+    """First ``{`` to last ``}`` of a raw answer."""
     if raw is None:
-        return MISSING
+        return None
     first, last = raw.find("{"), raw.rfind("}")
-    value = parse_text(raw[first : last + 1]) if 0 <= first < last else MISSING
+    return raw[first : last + 1] if 0 <= first < last else None
+
+
+def _parse_block(raw: str | None) -> Any:
+    """The block of a raw answer, which must be one object."""
+    value = parse_text(_cut_block(raw))
     return value if isinstance(value, dict) else MISSING
 
 
@@ -244,7 +249,12 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
     def parse(golds: pa.Array, raws: pa.Array) -> pa.Array:
         rows = []
         for gold_text, raw_text in zip(golds.to_pylist(), raws.to_pylist()):
-            gold, pred = parse_text(gold_text), _parse_block(raw_text)
+            gold, block = parse_text(gold_text), _cut_block(raw_text)
+            # an answer that repeats the gold text needs no parse of its own
+            if block is not None and block == gold_text and isinstance(gold, dict):
+                pred = gold
+            else:
+                pred = _parse_block(block)
             gold_fields = _tokens(gold) if is_value(gold) else []
             same = is_value(pred) and is_value(gold) and pred == gold
             if same:
