@@ -248,14 +248,18 @@ def parse_pair(gold: Column, raw: Column, schema: dict | None = None) -> Column:
     @F.arrow_udf(SCORED_TYPE)
     def parse(golds: pa.Array, raws: pa.Array) -> pa.Array:
         rows = []
+        before = gold = MISSING
+        gold_fields: list[str] = []
         for gold_text, raw_text in zip(golds.to_pylist(), raws.to_pylist()):
-            gold, block = parse_text(gold_text), _cut_block(raw_text)
+            if gold_text != before:  # the runs of a sweep repeat each gold
+                before, gold = gold_text, parse_text(gold_text)
+                gold_fields = _tokens(gold) if is_value(gold) else []
+            block = _cut_block(raw_text)
             # an answer that repeats the gold text needs no parse of its own
             if block is not None and block == gold_text and isinstance(gold, dict):
                 pred = gold
             else:
                 pred = _parse_block(block)
-            gold_fields = _tokens(gold) if is_value(gold) else []
             same = is_value(pred) and is_value(gold) and pred == gold
             if same:
                 pred_fields = gold_fields

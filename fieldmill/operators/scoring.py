@@ -280,15 +280,16 @@ def match_fields(pred_fields: DataFrame, gold_fields: DataFrame, on: str = "inde
     def side(df: DataFrame, pred: int, gold: int) -> DataFrame:
         return df.select(on, "path", "value", F.lit(pred).alias("p"), F.lit(gold).alias("g"))
 
-    cells = (
-        side(pred_fields, 1, 0)
-        .unionByName(side(gold_fields, 0, 1))
-        .groupBy(on, "path", "value")
-        .agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    )
+    return match_cells(side(pred_fields, 1, 0).unionByName(side(gold_fields, 0, 1)), on)
+
+
+def match_cells(cells: DataFrame, on: str = "index") -> DataFrame:
+    """``match_fields`` over one frame ``(index, path, value, p, g)``: p marks predicted cells, g
+    gold ones.  For cells of both sides that come from the same rows."""
+    distinct = cells.groupBy(on, "path", "value").agg(F.max("p").alias("p"), F.max("g").alias("g"))
     p, g = F.col("p"), F.col("g")
     return (
-        cells.withColumn("field", top_key(F.col("path")))
+        distinct.withColumn("field", top_key(F.col("path")))
         .groupBy(on, "field")
         .agg(
             F.sum(p * g).alias("tp"),

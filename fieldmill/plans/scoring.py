@@ -21,7 +21,7 @@ from fieldmill.operators.scoring import (
     evaluate,
     f1_millionths,
     key_conformance,
-    match_fields,
+    match_cells,
     per_field,
     report,
     score,
@@ -189,11 +189,12 @@ lines AS (
 )"""
 
 
-def line_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Order lines as gold and predicted ``(index, path, value)`` rows.
+def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as gold and predicted ``(index, path, value, p, g)`` cells.
 
-    By draws, the prediction misses some lines and gets some names, counts and prices
-    wrong; all lines are gold.  Order totals come from a combined aggregate; no order's lines are ever gathered.
+    By draws, the prediction misses some lines and gets some names, counts and prices wrong; all
+    lines are gold.  A line emits the cells of both sides at once; order totals come from one
+    combined aggregate, no order's lines are ever gathered.
     """
     draws = F.md5(
         F.concat_ws("|", F.lit("line"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -213,30 +214,29 @@ def line_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.col("p_partkey").alias("part"), F.lower("p_name").alias("name")
     )
     d, name, qty, cents = (F.col(c) for c in ("d", "name", "qty", "cents"))
-
-    def fields(rows: DataFrame, total: str, name: Column, qty: Column, cents: Column) -> DataFrame:
-        cells = F.array(
-            *[
-                F.struct(F.lit(f"menu[].{key}").alias("path"), value.cast("string").alias("value"))
-                for key, value in (("name", name), ("count", qty), ("price", cents))
-            ]
-        )
-        totals = rows.groupBy("index").agg(F.sum("cents").cast("string").alias("value"))
-        return (
-            rows.join(parts, "part")
-            .select("index", F.inline(cells))
-            .unionByName(totals.select("index", F.lit(total).alias("path"), "value"))
-        )
-
-    gold = fields(lines, "total", name, qty, cents)
-    pred = fields(
-        lines.where(d % 11 != 0),
-        "sum",
-        F.when(d % 7 == 0, F.concat(name, F.lit(" xl"))).otherwise(name),
-        qty + F.when(d % 5 == 0, 1).otherwise(0),
-        cents + d % 2,
+    said = d % 11 != 0
+
+    def cell(path: str, value: Column, p: int, g: int) -> Column:
+        return F.struct(
+            F.lit(path).alias("path"), value.cast("string").alias("value"),
+            F.lit(p).alias("p"), F.lit(g).alias("g"),
+        )
+
+    sides = {
+        "menu[].name": (name, F.when(d % 7 == 0, F.concat(name, F.lit(" xl"))).otherwise(name)),
+        "menu[].count": (qty, qty + F.when(d % 5 == 0, 1).otherwise(0)),
+        "menu[].price": (cents, cents + d % 2),
+    }
+    gold = F.array(*[cell(path, right, 0, 1) for path, (right, _) in sides.items()])
+    pred = F.array(*[cell(path, guess, 1, 0) for path, (_, guess) in sides.items()])
+    own = lines.join(parts, "part").select(
+        "index", F.inline(F.when(said, F.concat(gold, pred)).otherwise(gold))
+    )
+    sums = lines.groupBy("index").agg(
+        F.sum("cents").alias("total"), F.sum(F.when(said, cents)).alias("sum")
     )
-    return pred, gold
+    totals = F.array(cell("total", F.col("total"), 0, 1), cell("sum", F.col("sum"), 1, 0))
+    return own.unionByName(sums.select("index", F.inline(totals)).where("value IS NOT NULL"))
 
 
 @query(
@@ -244,8 +244,7 @@ def line_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     with_sql(LINE_FIELDS) + ' SELECT "index", field, tp, fp, fn FROM matched',
 )
 def match_fields_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pred, gold = line_fields(spark, sf_dir)
-    return match_fields(pred, gold)
+    return match_cells(line_cells(spark, sf_dir))
 
 
 @query(
@@ -260,9 +259,8 @@ def match_fields_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def match_fields_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F1 of all orders, matched relationally."""
-    pred, gold = line_fields(spark, sf_dir)
     totals = (
-        match_fields(pred, gold)
+        match_cells(line_cells(spark, sf_dir))
         .groupBy("index")
         .agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     )
