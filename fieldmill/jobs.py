@@ -5,6 +5,10 @@ evaluate   score raw answers against gold targets; writes predictions, summary,
 compare    summaries of two prediction files on the same rows, and their difference
 pairs      preference pairs from gold targets or from a prediction file's mistakes
 sweep      score the answers of all runs of a sweep and rank them
+preference message rows for preference training out of pairs and their samples
+encode     token ids, labels and masks of a dataset's chat rows
+
+Rows that a job cannot use are written to ``<out>_quarantine``, with a reason.
 """
 
 from __future__ import annotations
@@ -20,13 +24,20 @@ if __package__ in (None, ""):
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmill.operators.pairs import pairs_from_gold, pairs_from_predictions
+from fieldmill.operators.batching import encode
+from fieldmill.operators.pairs import (
+    pairs_from_gold,
+    pairs_from_predictions,
+    to_preference_rows,
+    without_target,
+)
 from fieldmill.operators.scoring import compare_models, evaluate, per_field, score, summarize
 from fieldmill.operators.sweeps import expand_runs, metrics_long, rank_runs, sweep_results
 from fieldmill.registry import open_dataset
 from fieldmill.session import ship_package, work_folder
 from fieldmill.sources.samples import (
     preview,
+    read_pairs,
     read_predictions,
     write_metrics,
     write_pairs,
@@ -45,11 +56,26 @@ def _dataset(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.path:
         options["path"] = args.path
     splits = open_dataset(spark, args.dataset, **options)
-    return splits["train"].unionByName(splits["validation"]).select("split", "index", "target_json")
+    rows = splits["train"].unionByName(splits["validation"])
+    reason = F.col("bad_reason") if "bad_reason" in rows.columns else F.lit(None).cast("string")
+    return rows.select("split", "index", "target_json", reason.alias("bad_reason"))
+
+
+def _quarantine(rows: DataFrame, out: str) -> None:
+    rows.write.option("ignoreNullFields", "false").json(f"{out}_quarantine")
+
+
+def _split_off(rows: DataFrame, purpose: str, out: str) -> DataFrame:
+    """The usable rows; those with a ``bad_reason`` go to quarantine.  Computed once."""
+    place = work_folder(rows.sparkSession, purpose)
+    rows.write.parquet(place)
+    there = rows.sparkSession.read.parquet(place)
+    _quarantine(there.where("bad_reason IS NOT NULL"), out)
+    return there.where("bad_reason IS NULL").drop("bad_reason")
 
 
 def run_preview(spark: SparkSession, args: argparse.Namespace) -> None:
-    preview(_dataset(spark, args), args.n).orderBy("split", "index").show(truncate=False)
+    preview(_dataset(spark, args).drop("bad_reason"), args.n).orderBy("split", "index").show(truncate=False)
 
 
 def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -66,6 +92,8 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     write_predictions(scored, f"{args.out}/predictions")
     write_metrics(summarize(scored), f"{args.out}/summary")
     write_metrics(per_field(scored).orderBy("field"), f"{args.out}/per_field")
+    bad = scored.where("NOT gold_valid").withColumn("bad_reason", F.lit("gold is not JSON"))
+    _quarantine(bad.select("index", "gold", "raw", "bad_reason"), args.out)
 
 
 def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -80,11 +108,28 @@ def run_compare(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_pairs(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.from_predictions:
-        rows = read_predictions(spark, args.from_predictions).where("bad_reason IS NULL")
+        read = read_predictions(spark, args.from_predictions)
+        rows, bad = read.where("bad_reason IS NULL"), read.where("bad_reason IS NOT NULL")
         pairs = pairs_from_predictions(rows, args.split)
     else:
-        pairs = pairs_from_gold(_dataset(spark, args), args.split, args.n, args.seed)
+        samples = _dataset(spark, args)
+        pairs = pairs_from_gold(samples, args.split, args.n, args.seed)
+        bad = without_target(samples)
     write_pairs(pairs, args.out)
+    _quarantine(bad, args.out)
+
+
+def run_preference(spark: SparkSession, args: argparse.Namespace) -> None:
+    samples = spark.read.parquet(args.samples)
+    rows = to_preference_rows(read_pairs(spark, args.pairs), samples, args.instruction)
+    _split_off(rows, "preference", args.out).write.parquet(args.out)
+
+
+def run_encode(spark: SparkSession, args: argparse.Namespace) -> None:
+    rows = _dataset(spark, args)
+    reason = F.coalesce("bad_reason", F.when(F.col("target_json").isNull(), "no target"))
+    usable = _split_off(rows.withColumn("bad_reason", reason), "encode", args.out)
+    encode(usable, args.instruction, max_len=args.max_len).write.parquet(args.out)
 
 
 def run_sweep(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -131,6 +176,13 @@ def parser() -> argparse.ArgumentParser:
     job.add_argument("--n", type=int, default=128)
     job.add_argument("--seed", type=int, default=0)
     job.add_argument("--out", required=True)
+    job = add("preference", run_preference)
+    for name in ("--pairs", "--samples", "--instruction", "--out"):
+        job.add_argument(name, required=True)
+    job = add("encode", run_encode, True)
+    job.add_argument("--instruction", required=True)
+    job.add_argument("--max-len", type=int, default=2048)
+    job.add_argument("--out", required=True)
     job = add("sweep", run_sweep)
     for name in ("--spec", "--answers", "--out"):
         job.add_argument(name, required=True)

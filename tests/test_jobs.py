@@ -34,6 +34,32 @@ def test_evaluate_compare_pairs_and_preview(spark, tmp_path, capsys):
     assert "validation" in capsys.readouterr().out
 
 
+def test_preference_and_encode_put_bad_rows_aside(spark, tmp_path):
+    samples = spark.createDataFrame(
+        [("train", 0, "a.png"), ("train", 1, "b.png")], "split string, index long, image_ref string"
+    )
+    samples.write.parquet(str(tmp_path / "samples"))
+    pairs = [{"split": "train", "index": i, "chosen": "{}", "rejected": "x"} for i in (0, 1, 7)]
+    (tmp_path / "pairs.jsonl").write_text("\n".join(map(json.dumps, pairs)))
+    main(["preference", "--pairs", str(tmp_path / "pairs.jsonl"), "--samples", str(tmp_path / "samples"),
+          "--instruction", "extract", "--out", str(tmp_path / "rows")], spark)
+    rows = spark.read.parquet(str(tmp_path / "rows")).orderBy("index").collect()
+    assert [(r["index"], r.images) for r in rows] == [(0, ["a.png"]), (1, ["b.png"])]
+    bad = spark.read.json(str(tmp_path / "rows_quarantine")).collect()
+    assert [(r["index"], r.bad_reason) for r in bad] == [(7, "no such sample")]
+
+    notes = [(0, "train", "a", '{"gt_parse":{"menu":[]}}'), (3, "train", "b", None)]
+    spark.createDataFrame(
+        notes, "index long, split string, image_ref string, ground_truth string"
+    ).write.parquet(str(tmp_path / "notes"))
+    main(["encode", "--dataset", "cord", "--path", str(tmp_path / "notes"), "--instruction", "extract",
+          "--out", str(tmp_path / "tokens")], spark)
+    row = spark.read.parquet(str(tmp_path / "tokens")).collect()
+    assert len(row) == 1 and len(row[0].input_ids) == len(row[0].labels) > row[0].prompt_len
+    bad = spark.read.json(str(tmp_path / "tokens_quarantine")).collect()
+    assert [(r["index"], r.bad_reason) for r in bad] == [(3, "no ground truth")]
+
+
 def test_sweep(spark, tmp_path):
     spec = {"grid": {"model.rank": [8, 16]}, "fixed": {"steps": 5}}
     (tmp_path / "spec.json").write_text(json.dumps(spec))
