@@ -71,14 +71,39 @@ def _runs(values: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(values.size), np.flatnonzero(np.diff(values)) + 1)
 
 
+_PARTS = ["docs", "twins", "ends", "places"]
+_SENT_SQL = "bucket long, chunk long, hashes binary, " + ", ".join(f"{p} binary" for p in _PARTS)
+_REPLY_SQL = "chunk long, " + ", ".join(f"{p} binary" for p in _PARTS)
+
+
+def _places(number: np.ndarray, twin: np.ndarray, place: np.ndarray) -> tuple:
+    """Places of windows, in order of document and place, as the columns _PARTS."""
+    begins = np.flatnonzero(
+        np.concatenate(([True], (number[1:] != number[:-1]) | (twin[1:] != twin[:-1])))
+    )
+    ends = np.append(begins[1:], number.size).astype("<u4")
+    docs = number[begins].astype("<i8")
+    return _pack(docs), twin[begins].astype("<u4").tobytes(), _pack(ends), _pack(place.astype("<u4"))
+
+
+def _unplaced(docs: bytes, twins: bytes, ends: bytes, places: bytes) -> tuple:
+    counts = np.diff(_unpack(ends, "<u4"), prepend=np.uint32(0))
+    return (
+        np.repeat(_unpack(docs, "<i8"), counts),
+        np.repeat(np.frombuffer(twins, "<u4"), counts),
+        _unpack(places, "<u4"),
+    )
+
+
 def _chunk_rows(ids: list[int], values: list[str], window: int, buckets: int) -> Iterator[tuple]:
-    """What a chunk sends: (bucket, doc_id, twin, places) of windows that are settled here, and
-    (bucket, hashes, docs, twins, ends, places) of windows that other chunks must be asked about.
-    """
+    """What a chunk sends: (bucket, chunk, hashes, *_PARTS) of the windows that other chunks must
+    be asked about, and one such row without hashes of the windows that are settled here."""
     order = sorted(range(len(ids)), key=ids.__getitem__)
     number = np.array([ids[i] for i in order], np.int64)
     values = [values[i] for i in order]
     twins = np.array([zlib.crc32(v.encode("utf-8", "replace")) for v in values], "<u4")
+    chunk = xxhash.xxh64_intdigest(number.tobytes() + twins.tobytes())
+    home, chunk = chunk % buckets, int(np.uint64(chunk).view(np.int64))
     hashed = [word_hashes(value) for value in values]
     sizes = np.array([h.size for h in hashed], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -87,93 +112,74 @@ def _chunk_rows(ids: list[int], values: list[str], window: int, buckets: int) ->
     hashes = rolling(words, window, _BASE)
     whole = np.flatnonzero(doc[: hashes.size] == doc[doc.size - hashes.size :])
     hashes, doc = hashes[whole], doc[whole]
-    place = (whole - starts[doc]).astype("<u4")
+    place = whole - starts[doc]
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     smallest = number[doc[first]]
 
     gone = np.flatnonzero(number[doc] > smallest[group])
-    for at in _runs(doc[gone]):
-        d = doc[gone[at[0]]]
-        yield (
-            int(number[d] % buckets), int(number[d]), int(twins[d]), _pack(place[gone[at]])
-        ), None
+    if gone.size:
+        yield home, chunk, None, *_places(number[doc[gone]], twins[doc[gone]], place[gone])
 
     sent = np.zeros(hashes.size, bool)
     sent[first] = True
     # rows that share an id are one document to each other; each needs its own answer
-    twin_rows = np.flatnonzero((number[doc] == smallest[group]) & (doc != doc[first][group]))
-    sent[twin_rows[np.unique(group[twin_rows] * sizes.size + doc[twin_rows], return_index=True)[1]]] = True
+    others = np.flatnonzero((number[doc] == smallest[group]) & (doc != doc[first][group]))
+    _, once = np.unique(group[others] * sizes.size + doc[others], return_index=True)
+    sent[others[once]] = True
     sent = np.flatnonzero(sent)
     bucket = (rolling(words, window, _OTHER)[whole[sent]] >> np.uint64(24)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     for at in _runs(bucket[by]):
         some = sent[by[at]]
-        docs, counts = np.unique(doc[some], return_counts=True)
-        yield None, (
-            int(bucket[by[at[0]]]), hashes[some].tobytes(), _pack(number[docs].astype("<i8")),
-            twins[docs].tobytes(), _pack(np.cumsum(counts).astype("<u4")), _pack(place[some]),
-        )
-
-
-_SENT = pa.schema(
-    [
-        ("bucket", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("twin", pa.int64()),
-        ("hashes", pa.binary()),
-        ("docs", pa.binary()),
-        ("twins", pa.binary()),
-        ("ends", pa.binary()),
-        ("places", pa.binary()),
-    ]
-)
-_SENT_SQL = (
-    "bucket long, doc_id long, twin long, hashes binary, docs binary, twins binary, "
-    "ends binary, places binary"
-)
+        parts = _places(number[doc[some]], twins[doc[some]], place[some])
+        yield int(bucket[by[at[0]]]), chunk, hashes[some].tobytes(), *parts
 
 
 def _batch(ids: list[int], values: list[str], window: int, buckets: int) -> pa.RecordBatch:
-    rows = []
-    for settled, asked in _chunk_rows(ids, values, window, buckets):
-        if settled:
-            bucket, number, twin, places = settled
-            rows.append((bucket, number, twin, None, None, None, None, places))
-        else:
-            bucket, hashes, docs, twins, ends, places = asked
-            rows.append((bucket, None, None, hashes, docs, twins, ends, places))
-    columns = list(zip(*rows)) or [()] * len(_SENT)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, field.type) for column, field in zip(columns, _SENT)], schema=_SENT
-    )
+    names = ["bucket", "chunk", "hashes", *_PARTS]
+    columns = list(zip(*_chunk_rows(ids, values, window, buckets))) or [()] * len(names)
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (len(names) - 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def _settled(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: what was settled before, and the windows that a smaller document has."""
-    before = group[group["hashes"].isna()]
+def _answered(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket, one row per row that came in and has something to remove: what a chunk had
+    settled, and those of its windows that a smaller document has."""
+    rows = [tuple(row) for row in group.loc[group["hashes"].isna(), ["chunk", *_PARTS]].to_numpy()]
     asked = group[group["hashes"].notna()]
-    rows = list(zip(before["doc_id"].astype("int64"), before["twin"].astype("int64"), before["places"]))
     if len(asked):
-        numbers, twins = [], []
-        for docs, twin, ends in zip(asked["docs"], asked["twins"], asked["ends"]):
-            counts = np.diff(_unpack(ends, "<u4"), prepend=np.uint32(0))
-            numbers.append(np.repeat(_unpack(docs, "<i8"), counts))
-            twins.append(np.repeat(np.frombuffer(twin, "<u4"), counts))
-        place = np.concatenate([_unpack(some, "<u4") for some in asked["places"]])
+        parts = [_unplaced(*row) for row in asked[_PARTS].to_numpy()]
+        sender = np.repeat(np.arange(len(parts)), [part[0].size for part in parts])
+        number, twin, place = (np.concatenate(column) for column in zip(*parts))
+        del parts
         hashes = np.frombuffer(b"".join(asked["hashes"]), np.uint64)
-        number, twin = np.concatenate(numbers), np.concatenate(twins)
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         begins = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
         smallest = np.minimum.reduceat(number[order], begins)
         smallest = np.repeat(smallest, np.diff(begins, append=order.size))
-        gone = order[number[order] > smallest]
-        gone = gone[np.lexsort((place[gone], twin[gone], number[gone]))]
-        whose = number[gone].view(np.uint64) * _BASE + twin[gone]
-        for at in _runs(whose):
-            one = gone[at[0]]
-            rows.append((int(number[one]), int(twin[one]), _pack(place[gone[at]])))
-    return pd.DataFrame(rows, columns=["doc_id", "twin", "places"])
+        gone = np.sort(order[number[order] > smallest])
+        chunk = asked["chunk"].to_numpy()
+        for at in _runs(sender[gone]):
+            some = gone[at]
+            rows.append((int(chunk[sender[some[0]]]), *_places(number[some], twin[some], place[some])))
+    return pd.DataFrame(rows, columns=["chunk", *_PARTS])
+
+
+def _per_document(group: pd.DataFrame) -> pd.DataFrame:
+    """The answers to one chunk, as one row per document."""
+    parts = [_unplaced(*row) for row in group[_PARTS].to_numpy()]
+    number, twin, place = (np.concatenate(column) for column in zip(*parts))
+    order = np.lexsort((place, twin, number))
+    number, twin, place = number[order], twin[order], place[order]
+    starts = np.flatnonzero(
+        np.concatenate(([True], (number[1:] != number[:-1]) | (twin[1:] != twin[:-1])))
+    )
+    rows = [
+        (int(number[a]), int(twin[a]), _pack(place[a:b]))
+        for a, b in zip(starts, np.append(starts[1:], number.size))
+    ]
+    return pd.DataFrame(rows, columns=["number", "twin", "places"])
 
 
 def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -195,8 +201,10 @@ def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         docs.select("doc_id", "text")
         .mapInArrow(run, _SENT_SQL)
         .groupBy("bucket")
-        .applyInPandas(_settled, "doc_id long, twin long, places binary")
-        .groupBy(F.col("doc_id").alias("number"), "twin")
+        .applyInPandas(_answered, _REPLY_SQL)
+        .groupBy("chunk")
+        .applyInPandas(_per_document, "number long, twin long, places binary")
+        .groupBy("number", "twin")
         .agg(F.collect_list("places").alias("marks"))
     )
     return written(found, "substring-marks")
@@ -302,20 +310,23 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` rows with cut texts and their new ``n_chars``; a stage's filter.
 
-    Columns and rows stay; null texts stay null, and a text may end up empty.
+    All columns and rows stay; null texts stay null, and a text may end up empty.
     """
-    before = docs.withColumn("__null", F.col("text").isNull()).withColumn(
-        "text", F.coalesce("text", F.lit(""))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    before = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.struct(*every).alias("row"),
     )
-    after = cleaned(before, window)
     cut = F.size("spans") > 0
-    columns = {
-        "text": F.when(F.col("__null"), F.lit(None)).otherwise(F.col("text")),
-        "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")),
+    new = {
+        "text": F.when(cut, F.col("text")).otherwise(F.col("row.text")),
+        "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+        if "n_chars" in docs.columns
+        else None,
     }
-    return after.select(
-        *(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns)
-    )
+    after = cleaned(before, window)
+    return after.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
