@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +52,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def filtered(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of ``docs`` whose text a predicate keeps, all columns as they are; no shuffle.
+
+    ``make`` builds the predicate once per task; null texts are asked about as empty ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            kept = [keep(text or "") for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keeping(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``, all columns as they are.
 
-    Rows with a null id stay.
+    Rows with a null id stay.  ``gone`` grows with the documents, so both sides are shuffled
+    whatever its size.
     """
     number = F.col("doc_id").cast("long")
-    ids = gone.select(number.alias("__gone")).distinct()
+    ids = gone.select(number.alias("__gone")).distinct().hint("merge")
     every = [F.col(f"`{c}`") for c in docs.columns]
     return docs.join(ids, number == F.col("__gone"), "left_anti").select(*every)
 

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import chunks, keeping, share_of, table, texts
+from fieldmill.llm.common import filtered, share_of, table, texts, written
 
 #: Sizes of the n-grams and of the hashed feature space (a power of two).
 ORDERS = (3, 4, 5)
 BITS = 20
 #: At most about so many labelled rows of each class are fitted on.
-PER_CLASS = 4000
+PER_CLASS = 2500
 #: N-grams whose log-count ratio is nearer to zero than so many standard errors are noise.
 MIN_ERRORS = 3.0
 #: A score from here on rejects a text.
@@ -57,14 +57,17 @@ def features(text: str) -> np.ndarray:
     return flat[_last[flat] == place]
 
 
-def _presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, toxic, clean): in how many of a task's texts of either class an n-gram is."""
+    seen = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        labels, values = batch.column("label").to_pylist(), batch.column("text").to_pylist()
-        for some, part in chunks(labels, values):
-            found = [features(value).astype("<u4").tobytes() for value in part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array(found, pa.binary())], ["label", "grams"]
-            )
+        for label, text in zip(
+            batch.column("label").to_pylist(), batch.column("text").to_pylist()
+        ):
+            seen[label, features(text)] += 1
+    found = np.flatnonzero(seen.any(axis=0))
+    columns = [found.astype(np.int32), seen[1, found], seen[0, found]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "toxic", "clean"])
 
 
 @dataclass(frozen=True)
@@ -80,52 +83,47 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def _ratios(grams: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratio of every n-gram, and how many standard errors it lies from zero."""
-    size = 1 << BITS
-    toxic, clean = np.ones(size), np.ones(size)
-    for found, label in zip(grams, labels):
-        (toxic if label else clean)[found] += 1
-    n_toxic, n_clean = labels.sum() + 2, (1 - labels).sum() + 2
-    ratio = np.log(toxic / n_toxic) - np.log(clean / n_clean)
-    error = np.sqrt(1 / toxic - 1 / n_toxic + 1 / clean - 1 / n_clean)
-    return ratio, np.abs(ratio) / np.maximum(error, 1e-9)
+def ratios(sample: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """(gram, ratio): log-count ratio of every n-gram of the sample that lies at least MIN_ERRORS
+    standard errors from zero."""
+    counts = sample.mapInArrow(_counts, "gram int, toxic int, clean int").groupBy("gram").agg(
+        (F.sum("toxic") + 1.0).alias("t"), (F.sum("clean") + 1.0).alias("c")
+    )
+    n_t, n_c = F.lit(toxic + 2.0), F.lit(clean + 2.0)
+    ratio = F.log(F.col("t") / n_t) - F.log(F.col("c") / n_c)
+    error = F.sqrt(1 / F.col("t") - 1 / n_t + 1 / F.col("c") - 1 / n_c)
+    return counts.select("gram", ratio.alias("ratio")).where(
+        F.abs(ratio) >= MIN_ERRORS * F.greatest(error, F.lit(1e-9))
+    )
 
 
 def _train(
-    grams: list[np.ndarray], labels: np.ndarray, prior: float, rounds: int, decay: float
-) -> Model:
-    """Ratios, then logistic regression on the scaled presences, by Adam on the whole sample.
-
-    N-grams whose ratio lies within MIN_ERRORS standard errors of zero get no weight.
-    """
-    ratio, errors = _ratios(grams, labels)
-    chosen = errors >= MIN_ERRORS
-    kept = [found[chosen[found]] for found in grams]
-    flat = np.concatenate([*kept, np.zeros(0, np.uint32)])
-    owner = np.repeat(np.arange(len(grams)), [found.size for found in kept])
-    used, flat = np.unique(flat, return_inverse=True)
-    scaled = ratio[used][flat]
+    kept: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, rounds: int, decay: float
+) -> np.ndarray:
+    """Weights of the scaled presences and the intercept, by Adam on the whole sample's logistic
+    loss; ``kept`` are each text's places in ``ratio``."""
+    blocks = []
+    for at in range(0, len(kept), 256):
+        some = kept[at : at + 256]
+        owner = np.repeat(np.arange(len(some), dtype=np.int32), [found.size for found in some])
+        blocks.append((slice(at, at + len(some)), np.concatenate(some), owner))
     share = labels.mean()
-    params = np.zeros(used.size + 1)
+    params = np.zeros(ratio.size + 1)
     params[-1] = np.log(share / (1 - share))
     first, second = np.zeros(params.size), np.zeros(params.size)
     for turn in range(1, rounds + 1):
-        margin = np.bincount(owner, scaled * params[flat], minlength=len(grams)) + params[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / len(labels)
-        slope = np.append(
-            np.bincount(flat, scaled * error[owner], minlength=used.size) + decay * params[:-1],
-            error.sum(),
-        )
+        scaled = params[:-1] * ratio
+        slope = np.append(decay * params[:-1], 0.0)
+        for rows, flat, owner in blocks:
+            margin = np.bincount(owner, scaled[flat], minlength=rows.stop - rows.start) + params[-1]
+            error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels[rows]) / len(labels)
+            slope[:-1] += np.bincount(flat, error[owner], minlength=ratio.size) * ratio
+            slope[-1] += error.sum()
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         rate = 0.05 * (1 - turn / (rounds + 1))
         params -= rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = params[:-1] * ratio[used]
-    # the sample is drawn by class; the intercept goes back to the share in the table
-    shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return Model(weights, float(params[-1] + shift))
+    return params
 
 
 def fit(
@@ -134,32 +132,68 @@ def fit(
     rounds: int = 200,
     decay: float = 1e-3,
 ) -> Model:
-    """Fits on rows (doc_id, text, label), label 1 for toxic; rows without a label are left out.
+    """Fits on rows (doc_id, text, label); see ``fit_on``."""
+    rows, marks = labelled.select("doc_id", "text"), labelled.select("doc_id", "label")
+    return fit_on(rows, marks, per_class, rounds, decay)
+
 
-    About ``per_class`` rows of each class are taken by a hash of id and text, so the driver
-    holds a bounded sample of n-gram sets however large the table is.  With one class only,
-    or no row at all, every text gets the share of toxic rows (0.5 without rows).
+def fit_on(
+    rows: DataFrame,
+    marks: DataFrame,
+    per_class: int = PER_CLASS,
+    rounds: int = 200,
+    decay: float = 1e-3,
+) -> Model:
+    """Fits on rows (doc_id, text) with marks (doc_id, label), label 1 for toxic.
+
+    About ``per_class`` ids of each class are taken by a hash of the id, a bounded sample however
+    large the tables are; ids are joined without their texts, and the sampled ids, being few, are
+    broadcast to fetch theirs.  An id with several rows counts once, with its least text; ids
+    without a text or a label are left out.  The sample's ratios are counted in Spark; the driver
+    gets the telling n-grams of each sampled text.  With one class only, or no row at all, every
+    text gets the share of toxic ids (0.5 without any).
     """
-    rows = labelled.where(F.col("label").isNotNull()).select(
-        "doc_id", "text", F.col("label").cast("int").alias("label")
-    )
-    counts = {row.label: row.n for row in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    marks = marks.where("doc_id IS NOT NULL AND label IS NOT NULL")
+    marks = marks.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    known = marks.join(rows.select("doc_id").distinct(), "doc_id")
+    counts = {row.label: row.n for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         share = (toxic + 0.5) / (toxic + clean + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     bound = F.when(F.col("label") == 1, F.lit(int(per_class / toxic * (1 << 30)))).otherwise(
         F.lit(int(per_class / clean * (1 << 30)))
     )
-    sample = rows.where(draw < bound).mapInArrow(_presences, "label int, grams binary")
-    got = sample.toArrow()
-    labels = np.array(got.column("label").to_pylist(), np.float64)
-    grams = [np.frombuffer(found, "<u4") for found in got.column("grams").to_pylist()]
-    order = sorted(range(len(grams)), key=lambda i: (labels[i], grams[i].tobytes()))
-    return _train(
-        [grams[i] for i in order], labels[order], toxic / (toxic + clean), rounds, decay
-    )
+    chosen = F.broadcast(known.where(draw < bound))
+    found = rows.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = written(found.select("text", "label"), "toxicity-sample")
+    sizes = {row.label: row.n for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    telling = ratios(sample, sizes.get(1, 0), sizes.get(0, 0)).orderBy("gram").toArrow()
+    grams = telling.column("gram").to_numpy()
+    ratio = telling.column("ratio").to_numpy()
+    place = np.full(1 << BITS, -1, np.int32)
+    place[grams] = np.arange(grams.size)
+    held = sample.sparkSession.sparkContext.broadcast(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [held.value[features(text)] for text in batch.column("text").to_pylist()]
+            kept = [np.sort(some[some >= 0]).astype("<i4").tobytes() for some in at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label"), pa.array(kept, pa.binary())], ["label", "kept"]
+            )
+
+    got = sample.mapInArrow(run, "label int, kept binary").toArrow()
+    found = sorted(zip(got.column("label").to_pylist(), got.column("kept").to_pylist()))
+    labels = np.array([label for label, _ in found], np.float64)
+    params = _train([np.frombuffer(k, "<i4") for _, k in found], labels, ratio, rounds, decay)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[grams] = params[:-1] * ratio
+    # the sample is drawn by class; the intercept goes back to the share in the table
+    share = labels.mean()
+    shift = np.log(toxic / clean) - np.log(share / (1 - share))
+    return Model(weights, float(params[-1] + shift))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
@@ -185,8 +219,7 @@ def learned(documents: DataFrame, labels: DataFrame) -> Model:
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("label")
     )
-    rows = texts(documents).where(share_of(F.col("doc_id"), 3) != 1)
-    return fit(rows.join(marks, "doc_id"))
+    return fit_on(texts(documents).where(share_of(F.col("doc_id"), 3) != 1), marks)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -201,11 +234,10 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def rejected(docs: DataFrame, model: Model) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, all columns kept; a stage's filter.
 
-    Rows are matched by doc_id; of repeated ids one toxic text rejects all.  Null ids are
-    kept, as nothing ties a score to them.
+    Every row is judged by its own text, null texts as empty ones.
     """
-    scored = score(texts(docs), model).where(F.col("score") >= THRESHOLD)
-    return keeping(docs, scored)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda: lambda text: held.value.score(text) < THRESHOLD)

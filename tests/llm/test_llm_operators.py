@@ -211,7 +211,7 @@ def test_toxicity(spark, odd, empty):
     assert right >= 0.98 * len(rows)
     found = toxicity.score(texts(odd), model).collect()
     assert len(found) == len(ODD) and all(0 <= r.score <= 1 for r in found)
-    left = toxicity.rejected(odd, model)
+    left = toxicity.accepted(odd, model)
     assert left.columns == odd.columns and left.count() == len(ODD)
     assert toxicity.score(texts(empty), model).count() == 0
     assert toxicity.fit(labelled.where("label = 0")).score("moron") < 0.5
