@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import keeping, table, texts
+from fieldmill.llm.common import filtered, table, texts
 
 #: Edits that still count as the item, as a share of its characters.
 ERROR_RATE = 0.06
@@ -185,6 +185,14 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a test item, all columns kept; a stage's filter.
 
-    Rows are matched by doc_id; rows with a null id stay.
+    Every row is judged by its own text; each block of items is one pass, without a shuffle.
     """
-    return keeping(docs, matches(texts(docs), items))
+    for block in blocks(items):
+        held = docs.sparkSession.sparkContext.broadcast((block, ERROR_RATE))
+
+        def make(held=held):
+            matcher = Matcher(*held.value)
+            return lambda text: not matcher.hits(text)
+
+        docs = filtered(docs, make)
+    return docs
