@@ -175,7 +175,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         .join(F.broadcast(deeper), "mask")  # 15 x 15 rows, whatever the input
         .select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp")
     )
-    return _linked(shared.unionByName(dealt), radius)
+    # little data but much work: as many tasks as the session shuffles into, whatever its bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _linked(shared.unionByName(dealt).repartition(tasks, "mask", "key"), radius)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
