@@ -32,7 +32,7 @@ GRAIN = 8
 #: Pieces of a length and bucket that are ranked together, on average.
 RANKED = 4096
 
-_CACHE = 400_000
+_CACHE = 900_000
 
 
 def tokenizer_path() -> str:
@@ -123,6 +123,12 @@ class Encoder:
         return found
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker, so that tasks share the words it knows."""
+    return Encoder(path)
+
+
 def pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False
 ) -> DataFrame:
@@ -133,7 +139,7 @@ def pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             rows = []
             ids, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
