@@ -39,7 +39,6 @@ FREQUENT = 1e-6
 HELD = 3_000_000
 
 _LN10 = float(np.log(10))
-_END_WORD = np.uint64(0)
 
 
 def grams(data: bytes, depth: int = DEPTH) -> np.ndarray:
@@ -362,7 +361,7 @@ class Lookup:
     """Values of 64-bit keys by open addressing in arrays; 0 for keys that are not there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(keys.size * 2 - 1).bit_length())
+        bits = max(4, int(keys.size * 3 // 2).bit_length())
         self.shift = np.uint64(64 - bits)
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
@@ -406,11 +405,13 @@ def _named(keys: np.ndarray, values: np.ndarray) -> tuple[str, np.ndarray, np.nd
 
 
 def _lookup(held) -> Lookup:
-    """The table of a broadcast, built once per worker; an older one is dropped."""
-    if held.value[0] not in _lookups:
-        _lookups.clear()
-        _lookups[held.value[0]] = Lookup(*held.value[1:])
-    return _lookups[held.value[0]]
+    """The table of a broadcast, built once per worker; only the two latest are kept."""
+    name, keys, values = held.value
+    if name not in _lookups:
+        while len(_lookups) > 1:
+            del _lookups[next(iter(_lookups))]
+        _lookups[name] = Lookup(keys, values)
+    return _lookups[name]
 
 
 def blocks(rows: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -427,35 +428,48 @@ def blocks(rows: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray
         )
 
 
-def tree_scores(rows: DataFrame, found: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """Adds ``score``, the log10 probability of each coded text, to rows with ``text``.
+def _tree_score(words: list[bytes], model: Lookup, depth: int) -> float:
+    return float(model.get(grams(coded(words), depth)).sum(dtype=np.float64))
 
-    The model travels in blocks of bounded size.  One block is the rule; each further one takes
-    another pass, which adds its grams' part.
-    """
-    names = rows.columns
-    total = rows.withColumn("score", F.lit(0.0))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in total.schema)
-    for at, (keys, logs) in enumerate(blocks(found, block)):
-        if at:
-            total = written(total, "context-scores")
-        held = rows.sparkSession.sparkContext.broadcast(_named(keys, logs))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                table_ = _lookup(held)
-                parts = [
-                    float(table_.get(grams(coded(words_of(text)), depth)).sum(dtype=np.float64))
-                    for text in batch.column("text").to_pylist()
-                ]
-                before = batch.column("score").to_numpy(zero_copy_only=False)
-                columns = [batch.column(name) for name in names]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(before + np.array(parts))], [*names, "score"]
-                )
 
-        total = total.mapInArrow(run, kinds)
-    return total
+def _with_columns(rows: DataFrame, added: str) -> str:
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return ", ".join([*kinds, added])
+
+
+def partial_scores(rows: DataFrame, held, depth: int) -> DataFrame:
+    """``rows`` with the part of ``score`` that one block of the model holds added."""
+    names = [name for name in rows.columns if name != "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _lookup(held)
+            values = batch.column("text").to_pylist()
+            parts = [_tree_score(words_of(text), found, depth) for text in values]
+            before = batch.column("score").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in names), pa.array(before + np.array(parts))],
+                [*names, "score"],
+            )
+
+    return rows.select(*names, "score").mapInArrow(run, _with_columns(rows.select(*names), "score double"))
+
+
+def model_blocks(rows: DataFrame, found: DataFrame, depth: int, block: int) -> tuple[DataFrame, object]:
+    """``rows`` with ``score`` so far, and the broadcast block of the model that is still to be
+    added.  One block is the rule; each further one takes a pass and a table of its own."""
+    total, last = rows.withColumn("score", F.lit(0.0)), None
+    for keys, logs in blocks(found, block):
+        if last is not None:
+            total = written(partial_scores(total, last, depth), "context-scores")
+        last = rows.sparkSession.sparkContext.broadcast(_named(keys, logs))
+    return total, last
+
+
+def tree_scores(rows: DataFrame, found: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """Adds ``score``, the log10 probability of each coded text, to rows with ``text``."""
+    total, last = model_blocks(rows, found, depth, block)
+    return partial_scores(total, last, depth)
 
 
 def _word_keys(words: list[bytes]) -> np.ndarray:
@@ -490,57 +504,80 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return sent.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def base_scores(rows: DataFrame) -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens and base_score to rows with doc_id, text and learn.
+@dataclass(frozen=True)
+class Unigrams:
+    """What the baseline knows: all counts as a table, tokens and the divisor."""
+
+    counts: DataFrame
+    texts: int
+    tokens: int
+    below: float
 
-    The unigram baseline: log10((c + 0.1) / (N + 0.1 (V + 1))) summed over words and the end.
-    Frequent words, of which there can be no more than 1 / FREQUENT, are looked up in a broadcast;
-    the others, a steady share of all tokens, meet their counts in a join by word.
+    @staticmethod
+    def of(rows: DataFrame) -> Unigrams:
+        """Counts of rows (text): their words, and one end per row."""
+        counts = written(word_counts(rows), "base-words")
+        n_texts = rows.count()
+        seen = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+        tokens, kinds = int(seen.n or 0) + n_texts, int(seen.v) + (n_texts > 0)
+        return Unigrams(counts, n_texts, tokens, tokens + 0.1 * (kinds + 1))
+
+    @property
+    def least(self) -> float:
+        """Counts from here on are frequent."""
+        return self.tokens * FREQUENT
+
+
+def both_scores(rows: DataFrame, model_part, base: Unigrams, depth: int) -> DataFrame:
+    """(doc_id, learn, row, score, n_tokens, known, part, rare) of rows (doc_id, text, learn,
+    score): the last block's part of the score, and the baseline as far as frequent words go.
+
+    Frequent words, of which there can be no more than 1 / FREQUENT, are looked up in a
+    broadcast; ``rare`` lists the others, a steady share of all tokens, and one even number for the end.
     """
-    spark = rows.sparkSession
-    counts = written(word_counts(rows.where("learn")), "base-words")
-    texts_ = rows.where("learn").count()
-    seen = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n = int(seen.n or 0) + texts_
-    v = int(seen.v) + (1 if texts_ else 0)
-    low = n * FREQUENT
-    often = counts.where(F.col("c") >= low).toArrow()
+    often = base.counts.where(F.col("c") >= base.least).toArrow()
     keys = often.column("word").to_numpy().view(np.uint64)
-    held = spark.sparkContext.broadcast(_named(keys, often.column("c").to_numpy()))
-    below = n + 0.1 * (v + 1)
-    end = float(np.log10((texts_ + 0.1) / below))
-    names = rows.columns
+    held = rows.sparkSession.sparkContext.broadcast(_named(keys, often.column("c").to_numpy()))
+    below, any_text = base.below, base.texts > 0
+    end = float(np.log10((base.texts + 0.1) / below))
+
+    def one(text: str, row: int) -> tuple:
+        words = words_of(text)
+        hashed = _word_keys(words)
+        c = _lookup(held).get(hashed)
+        known = c > 0
+        part = float(np.log10((c[known] + 0.1) / below).sum()) + end
+        rare = np.append(hashed[~known].view(np.int64), row & ~1)  # words are odd, ends even
+        score = _tree_score(words, _lookup(model_part), depth)
+        return score, len(words) + 1, int(known.sum()) + any_text, part, rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table_ = _lookup(held)
-            found = []
-            for text in batch.column("text").to_pylist():
-                words = _word_keys(words_of(text))
-                c = table_.get(words) if words.size else np.zeros(0, np.int64)
-                known = c > 0
-                part = float(np.log10((c[known] + 0.1) / below).sum()) + end
-                rare = np.append(words[~known], _END_WORD).view(np.int64)
-                found.append((words.size + 1, int(known.sum()) + (texts_ > 0), part, rare.tolist()))
-            sizes, known, parts, rare = list(zip(*found)) or [()] * 4
+            rows_ = batch.column("row").to_pylist()
+            found = [one(*pair) for pair in zip(batch.column("text").to_pylist(), rows_)]
+            scores, sizes, known, parts, rare = list(zip(*found)) or [()] * 5
+            before = batch.column("score").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(name) for name in names),
+                    *(batch.column(name) for name in ("doc_id", "learn", "row")),
+                    pa.array(before + np.array(scores, float)),
                     pa.array(sizes, pa.int64()),
                     pa.array(known, pa.int64()),
                     pa.array(parts, pa.float64()),
                     pa.array(rare, pa.list_(pa.int64())),
                 ],
-                [*names, "n_tokens", "known", "part", "rare"],
+                ["doc_id", "learn", "row", "score", "n_tokens", "known", "part", "rare"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    sql = f"{kinds}, n_tokens long, known long, part double, rare array<long>"
-    looked = rows.mapInArrow(run, sql)
-    return looked, counts.where(F.col("c") < low), n, below
+    given = rows.select("doc_id", "text", "learn", "score", F.xxhash64("doc_id", "text").alias("row"))
+    return given.mapInArrow(
+        run,
+        "doc_id long, learn boolean, row long, score double, n_tokens long, known long, part double, "
+        "rare array<long>",
+    )
 
 
-def scored(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+def scored(rows: DataFrame, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of rows
     (doc_id, text, learn).
 
@@ -550,21 +587,18 @@ def scored(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(1, min(4096, size // (16 << 20))))
     found = model(counted(rows, buckets, depth), depth)
-    plain, rare_counts, n, below = base_scores(tree_scores(rows, found, depth))
-    plain = written(
-        plain.select(
-            "doc_id", "learn", "n_tokens", "known", "part", "score", "rare",
-            F.xxhash64("doc_id", "text").alias("row"),
-        ),
-        "base-rows",
-    )
+    base = Unigrams.of(rows.where("learn"))
+    total, last = model_blocks(rows, found, depth, block)
+    plain = written(both_scores(total, last, base, depth), "base-rows")
     pairs = plain.select("row", F.explode("rare").alias("word"))
     # the end is in every row once: it counts rows that are equal, whose words are summed together
-    met = pairs.join(rare_counts, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("word") == 0, 1).otherwise(0)).alias("copies"),
+    is_end = F.col("word").bitwiseAND(1) == 0
+    rare = base.counts.where(F.col("c") < base.least)
+    met = pairs.join(rare, "word", "left").groupBy("row").agg(
+        F.sum(F.when(is_end, 1).otherwise(0)).alias("copies"),
         F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known_rare"),
         F.sum(
-            F.when(F.col("word") != 0, F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(below)))
+            F.when(~is_end, F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(base.below)))
         ).alias("part_rare"),
     )
     return plain.join(met, "row").select(
@@ -572,7 +606,7 @@ def scored(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         (~F.col("learn")).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.expr("known_rare div copies")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
+        F.lit(base.tokens).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("part_rare", F.lit(0.0)) / F.col("copies")).alias("base_score"),
         "score",
     )
