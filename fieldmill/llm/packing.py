@@ -57,7 +57,8 @@ class Encoder:
     No token of the vocabulary spans white space, so the words between blanks are encoded one
     by one, and frequent words only once.  A word of plain letters, with or without a comma or
     full stop behind it, is encoded as its lower-case letters, many in one call: each ends
-    with a token that closes a word.  The memory is emptied when it is full.
+    with the only token that closes a word, or is encoded whole.  The memory is emptied when it
+    is full.
     """
 
     def __init__(self, path: str):
@@ -74,11 +75,19 @@ class Encoder:
         return [np.array(encoding.ids, "<u4").tobytes() for encoding in found]
 
     def _lettered(self, words: list[str]) -> None:
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
+        """Learns words of letters; one with several closing tokens, because a letter becomes a
+        combining mark, is left out.  A call that holds such a word is halved until it is alone."""
+        calls = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        while calls:
+            some = calls.pop()
             ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
             ids = np.array(ids, "<u4")
             ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            # a word closes at least once: as many ends as words are one each
+            if len(ends) != len(some):
+                half = len(some) // 2
+                calls += [some[:half], some[half:]] if half else []
+                continue
             data = ids.tobytes()
             for word, begin, end in zip(some, [0, *ends], ends):
                 self.letters[word] = data[begin:end]
@@ -98,7 +107,10 @@ class Encoder:
                 others.append(word)
         self._lettered(sorted({core for _, core, _ in plain if core not in self.letters}))
         for word, core, mark in plain:
-            self.known[word] = self.letters[core] + self.marks[mark]
+            if core in self.letters:
+                self.known[word] = self.letters[core] + self.marks[mark]
+            else:
+                others.append(word)
         for at in range(0, len(others), 10_000):
             some = others[at : at + 10_000]
             self.known.update(zip(some, self._alone(some)))

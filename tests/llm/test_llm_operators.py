@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -143,6 +144,17 @@ def test_encoder_equals_whole_texts():
     assert np.frombuffer(long, "<u4").tolist() == whole_ids(LONG)
 
 
+def test_letters_that_become_marks():
+    odd = [c for c in map(chr, range(0x110000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    assert len(odd) >= 60 and {"\u0130", "\u0958", "\u09dc"} <= set(odd)
+    cases = ["T\u00dcRK\u0130YE and of the water"]
+    cases += [f"above {c} and, a{c} of {c}b. the a{c}, water. z\u00fcrich a{c}b {c}." for c in odd]
+    cases.append(" ".join(cases))
+    found = packing.Encoder(packing.tokenizer_path()).encode(cases)
+    for text, ids in zip(cases, found):
+        assert np.frombuffer(ids, "<u4").tolist() == whole_ids(text)
+
+
 def test_packing(odd, empty):
     rows = packing.packed(texts(odd)).collect()
     by_sequence = collections.defaultdict(list)
