@@ -2,8 +2,9 @@
 
 A text is the set of hashed byte n-grams of its lower-cased words.  Every n-gram has the
 logarithm of its smoothed share among toxic texts against its share among the others; the
-linear model is trained on presences multiplied by these ratios.  It is fitted on a bounded
-sample of the labelled rows and scores every row of any table.
+linear model is trained on presences multiplied by these ratios.  The ratios are counted over
+all labelled rows, the model is fitted on a bounded sample of them, and every row of any table
+is scored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from fieldmill.llm.common import filtered, share_of, table, texts, written
 ORDERS = (3, 4, 5)
 BITS = 20
 #: At most about so many labelled rows of each class are fitted on.
-PER_CLASS = 2500
+PER_CLASS = 4000
 #: N-grams whose log-count ratio is nearer to zero than so many standard errors are noise.
 MIN_ERRORS = 3.0
 #: A score from here on rejects a text.
@@ -83,10 +84,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
-def ratios(sample: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """(gram, ratio): log-count ratio of every n-gram of the sample that lies at least MIN_ERRORS
-    standard errors from zero."""
-    counts = sample.mapInArrow(_counts, "gram int, toxic int, clean int").groupBy("gram").agg(
+def ratios(labelled: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """(gram, ratio): log-count ratio of every n-gram of the rows (text, label) that lies at least
+    MIN_ERRORS standard errors from zero."""
+    counts = labelled.mapInArrow(_counts, "gram int, toxic int, clean int").groupBy("gram").agg(
         (F.sum("toxic") + 1.0).alias("t"), (F.sum("clean") + 1.0).alias("c")
     )
     n_t, n_c = F.lit(toxic + 2.0), F.lit(clean + 2.0)
@@ -146,11 +147,10 @@ def fit_on(
 ) -> Model:
     """Fits on rows (doc_id, text) with marks (doc_id, label), label 1 for toxic.
 
-    About ``per_class`` ids of each class are taken by a hash of the id, a bounded sample however
-    large the tables are; ids are joined without their texts, and the sampled ids, being few, are
-    broadcast to fetch theirs.  An id with several rows counts once, with its least text; ids
-    without a text or a label are left out.  The sample's ratios are counted in Spark; the driver
-    gets the telling n-grams of each sampled text.  With one class only, or no row at all, every
+    The ratios are counted in Spark over all labelled ids.  About ``per_class`` ids of each class
+    are taken by a hash of the id for the regression, a bounded sample however large the tables
+    are; the driver gets the telling n-grams of each sampled text.  An id with several rows counts
+    once, with its least text; ids without a text or a label are left out.  With one class only, or no row at all, every
     text gets the share of toxic ids (0.5 without any).
     """
     marks = marks.where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -165,11 +165,11 @@ def fit_on(
     bound = F.when(F.col("label") == 1, F.lit(int(per_class / toxic * (1 << 30)))).otherwise(
         F.lit(int(per_class / clean * (1 << 30)))
     )
-    chosen = F.broadcast(known.where(draw < bound))
-    found = rows.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    sample = written(found.select("text", "label"), "toxicity-sample")
-    sizes = {row.label: row.n for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    telling = ratios(sample, sizes.get(1, 0), sizes.get(0, 0)).orderBy("gram").toArrow()
+    # labels grow with the documents, so both sides are shuffled whatever their size
+    found = rows.join(known.hint("merge"), "doc_id").groupBy("doc_id", "label")
+    found = written(found.agg(F.min("text").alias("text")), "toxicity-labelled")
+    telling = ratios(found.select("text", "label"), toxic, clean).orderBy("gram").toArrow()
+    sample = found.where(draw < bound).select("text", "label")
     grams = telling.column("gram").to_numpy()
     ratio = telling.column("ratio").to_numpy()
     place = np.full(1 << BITS, -1, np.int32)

@@ -230,6 +230,21 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(labelled.where("false")).score("") == pytest.approx(0.5)
 
 
+def test_toxic_ratios_cover_all_labelled_rows(spark):
+    # a word of 40 toxic texts in 400: a sample of 20 a class has too few of them
+    rows = [(i, "zyxwv" if i < 40 else "plain river stone", int(i < 40 or i % 5 == 0)) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(labelled, 20)
+    found = toxicity.ratios(labelled.select("text", "label"), 112, 288).collect()
+    assert toxicity.PER_CLASS == 4000
+    assert set(np.flatnonzero(model.weights)) <= {r.gram for r in found}
+    expected = np.log(41 / 114) - np.log(1 / 290)
+    own = {int(g) for g in toxicity.features("zyxwv")} - {int(g) for g in toxicity.features("plain river stone")}
+    ratio = {r.gram: r.ratio for r in found}
+    assert all(ratio[g] == pytest.approx(expected) for g in own)
+    assert all(model.weights[g] > 0 for g in own)
+
+
 def test_toxic_features_are_sets():
     found = toxicity.features("Aa aa aa")
     assert len(set(found.tolist())) == found.size
