@@ -3,7 +3,8 @@
 A text is cut into pieces of up to PIECE characters that never span white space; every run of
 GRAM pieces is hashed.  Of each WINDOW consecutive hashes the least is kept, the rightmost of
 equal ones, with its position: a passage of GRAM + WINDOW - 1 pieces that two texts share leaves
-a common fingerprint in both.  Hash and position travel in one long, whose order is that rule.
+a common fingerprint in both if its pieces are cut alike.  The query takes grams of characters
+instead, at every position, which needs no such luck.  Hash and position travel in one long, whose order is that rule.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from fieldmill.llm.common import table, texts
 PIECE = 4
 GRAM = 3
 WINDOW = 4
+#: The query hashes grams of so many characters, at every one.
+CHARACTERS = PIECE * GRAM
 #: Consecutive documents that share a bucket, on average, and the most buckets.
 BUCKET = 512
 MOST_BUCKETS = 1 << 18
@@ -40,6 +43,23 @@ def winnowed(text: Column, piece: int = PIECE, gram: int = GRAM, window: int = W
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     grams = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_pieces(piece, gram)), F.lit(1))
+    return _chosen(grams, window)
+
+
+def winnowed_characters(text: Column, gram: int = CHARACTERS, window: int = WINDOW) -> Column:
+    """``winnowed`` with a gram of ``gram`` characters at every character that is not blank.
+
+    A shared passage of ``gram + window - 1`` such characters leaves a common hash wherever it
+    starts.  A text with fewer than ``gram`` of them is one gram.
+    """
+    text = F.coalesce(text, F.lit(""))
+    full = F.regexp_extract_all(text, F.lit(rf"(?=(\S(?:\s*\S){{{gram - 1}}}))\S"), F.lit(1))
+    whole = F.regexp_extract_all(text, F.lit(r"(\S(?:\s*\S)*)"), F.lit(1))
+    return _bound(full, lambda grams: _chosen(F.when(F.size(grams) > 0, grams).otherwise(whole), window))
+
+
+def _chosen(grams: Column, window: int) -> Column:
+    """The packed (hash, position) pairs that the windows choose."""
     found = F.transform(
         grams,
         lambda g, i: F.shiftleft(F.xxhash64(g).bitwiseAND(0xFFFFFFFF), 31) + (F.lit(_PLACES) - i),
@@ -160,7 +180,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     there = (
         dealt.select("doc_id", "text", "k", "to.bucket", "to.guest")
         .repartition("bucket")
-        .withColumn("chosen", winnowed(F.col("text")))
+        .withColumn("chosen", winnowed_characters(F.col("text")))
     )
     order = Window.partitionBy("bucket").orderBy("guest", "k", "text")
     return (
@@ -186,7 +206,7 @@ def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "chosen",
-        winnowed(F.col("edited")).alias("edited_chosen"),
+        winnowed_characters(F.col("edited")).alias("edited_chosen"),
         "next_chosen",
     )
     rows = rows.select(

@@ -322,6 +322,25 @@ def test_shared_passages_share_a_fingerprint(spark):
     assert a & b
 
 
+@pytest.mark.parametrize("shift", [1, 2, 3, 4])
+def test_unspaced_passages_share_a_fingerprint_at_any_place(spark, shift):
+    passage = "\u6f22\u5b57\u304b\u306a\u4ea4\u3058\u308a\u6587\u306f\u7a7a\u767d\u3092\u6301\u305f\u306a\u3044\u3002\u3060\u304b\u3089\u4f4d\u7f6e\u304c\u305a\u308c\u308b"
+    rows = winnowing.with_next(frame(spark, [(1, passage), (2, "x" * shift + passage)]))
+    likeness = winnowing.likeness(winnowing.hashes(F.col("chosen")), winnowing.hashes(F.col("next_chosen")))
+    assert all(r[0] > 0.4 for r in rows.select(likeness).collect())
+
+
+def test_grams_at_every_character(spark):
+    rows = frame(spark, [(i, text or "") for i, (_, text) in enumerate(ODD) if text is not LONG])
+    for row in rows.select("text", winnowing.winnowed_characters(F.col("text")).alias("c")).collect():
+        found = re.findall(r"(?=(\S(?:\s*\S){11}))\S", row.text, re.ASCII)
+        found = found or re.findall(r"\S(?:\s*\S)*", row.text, re.ASCII)
+        hashed = [(xxhash.xxh64_intdigest(g.encode(), 42) & 0xFFFFFFFF, -i) for i, g in enumerate(found)]
+        windows = (hashed[i : i + 4] for i in range(max(1, len(hashed) - 3)))
+        best = {min(w) for w in windows if w}
+        assert {(v >> 31, (v & (1 << 31) - 1) - (1 << 31) + 1) for v in row.c} == best
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
