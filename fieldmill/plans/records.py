@@ -259,11 +259,18 @@ def synthetic_splits_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
       seed % 1000000 AS "index", md5(target_json) AS target_md5 FROM receipts""",
 )
 def synthetic_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both splits from the operator: a train row per order, a held-out row per customer."""
-    n_train = min(table(spark, sf_dir, "orders").count(), EVAL_START)
+    """A row per order and per customer: both splits from the operator, and the orders whose
+    numbers reach the held-out seeds as the SQL has them, by their seed."""
+    n_orders = table(spark, sf_dir, "orders").count()
     n_eval = table(spark, sf_dir, "customer").count()
-    rows = synthetic_splits(spark, n_train, n_eval)
-    return rows.select("split", "index", F.md5("target_json").alias("target_md5"))
+    rows = synthetic_splits(spark, min(n_orders, EVAL_START), n_eval).select("split", "seed", "target_json")
+    if n_orders > EVAL_START:
+        beyond = spark.range(EVAL_START, n_orders).select(
+            F.lit("validation").alias("split"), F.col("id").alias("seed")
+        )
+        rows = rows.unionByName(generate_receipts(beyond, "seed").select("split", "seed", "target_json"))
+    index = (F.col("seed") % EVAL_START).alias("index")
+    return rows.select("split", index, F.md5("target_json").alias("target_md5"))
 
 
 @query(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pytest
 import rules
@@ -21,6 +22,8 @@ from fieldmill.functions.schema import compile_schema, native_schema_valid
 from fieldmill.functions.strict_json import normalize_annotation
 from fieldmill.operators.scoring import leakage
 from fieldmill.registry import get_metric, list_datasets, open_dataset, register_dataset, register_metric
+from fieldmill.plans import records
+from fieldmill.sources import samples
 from fieldmill.sources.samples import generate_receipts, preview, synthetic_splits
 
 
@@ -176,3 +179,14 @@ def test_annotated_dataset_from_files(spark, tmp_path):
     assert [r["index"] for r in splits["train"].orderBy("index").collect()] == [0, 2, 4, 6, 8]
     assert splits["train"].columns == ["index", "split", "image_ref", "target_json", "bad_reason"]
     assert splits["validation"].count() == 0
+
+
+def test_split_rows_lose_no_order(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(records, "EVAL_START", 100)
+    monkeypatch.setattr(samples, "EVAL_START", 100)
+    n_orders, n_eval = (spark.read.parquet(f"{sf_dir}/{n}.parquet").count() for n in ("orders", "customer"))
+    assert n_orders > 100
+    seeds = [*range(n_orders), *range(100, 100 + n_eval)]
+    expected = Counter(("train" if seed < 100 else "validation", seed % 100) for seed in seeds)
+    found = records.synthetic_split_rows(spark, sf_dir).collect()
+    assert Counter((r["split"], r["index"]) for r in found) == expected
