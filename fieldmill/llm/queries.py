@@ -10,6 +10,7 @@ from fieldmill.llm import (
     context_tree,
     decontaminate,
     language,
+    merkle,
     packing,
     quality,
     sharding,
@@ -66,8 +67,10 @@ QUERIES: dict[str, Callable] = {
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op1_sharding": OP1_SQL,
     "op6_substring_dedup": substring.OP6_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
