@@ -5,7 +5,7 @@ left; the sources' last nodes become the root in the same way.  The built levels
 nodes that name their parent.  A recursive query then climbs from every leaf to the root: each
 step meets the parent, appends the siblings found there to the proof and folds the leaf's digest
 into the parent's.  The leaves of one run share all siblings above it, so they climb in one row
-of the query, each with a digest of its own.
+of the query, with one digest for each value that their leaves fold to.
 
 Digests are H, lowercase hexadecimal SHA-256; the tables hold them as 32 bytes.
 """
@@ -48,17 +48,17 @@ def leaf(doc_id: Column, source: Column, lang: Column, n_chars: Column, text: Co
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """(tree, doc_id, leaf, offered): ``offered`` is the leaf of the row as it is now, which is
-    the tampered one where 5 divides the crc32 of the id (null ids count as the empty text)."""
+    """(tree, doc_id, leaf, offered): ``offered`` is the leaf of the tampered row where 5 divides
+    the crc32 of the id (null ids count as the empty text), null elsewhere."""
     number = F.col("doc_id").cast("long")
+    changed = share_of(number, 5) == 0
     rest = [F.col("source"), F.col("lang"), F.col("n_chars").cast("long")]
     text = F.col("text")
-    tampered = F.when(share_of(number, 5) == 0, F.translate(text, _UPPER, _LOWER)).otherwise(text)
     return docs.select(
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("tree"),
         number.alias("doc_id"),
         leaf(number, *rest, text).alias("leaf"),
-        leaf(number, *rest, tampered).alias("offered"),
+        F.when(changed, leaf(number, *rest, F.translate(text, _UPPER, _LOWER))).alias("offered"),
     )
 
 
@@ -173,12 +173,14 @@ def _joins(upper: DataFrame, idx: Column, level: Column) -> DataFrame:
 def built(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The climbers, one row per run of leaves, and the nodes above them, both with the link to
     their parent.  ``rows`` come from ``leaves``."""
-    found = written(runs(rows), "merkle-runs")
+    found = runs(rows).withColumn("run", F.monotonically_increasing_id())
+    found = written(found, "merkle-runs")
     children = _joined(F.col("members"), "leaf")
     level_size = F.ceil(F.col("total") / WIDTH)
     first = found.select(
         "tree",
         "idx",
+        "run",
         "members",
         children.alias("children"),
         # a tree of one leaf has that leaf for its last node
@@ -209,27 +211,27 @@ def built(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _linked(first, tops), nodes.withColumn("salt", F.explode(copies))
 
 
-#: Each step joins the climbers with their parents; whoever has no parent has arrived.
+#: Each step joins the climbers with their parents and gives the siblings found there a row.
 CLIMB_SQL = """
-WITH RECURSIVE climb (members, digest, subroot, proof, spread, up_tree, up_level, up_idx, place, copies) AS (
-  SELECT members, digest, subroot, proof, spread, up_tree, up_level, up_idx, place, copies
+WITH RECURSIVE climb (run, step, folds, digest, subroot, siblings, up_tree, up_level, up_idx, place, copies) AS (
+  SELECT run, 0, folds, digest, subroot, X'', up_tree, up_level, up_idx, place, copies
   FROM merkle_climbers
   UNION ALL
-  SELECT
-    transform(members, m -> named_struct('doc_id', m.doc_id, 'leaf', m.leaf, 'fold',
-      unhex(sha2(concat(before, lower(hex(m.fold)), behind), 256)))),
-    digest, subroot, proof, spread, up_tree, up_level, up_idx, place, copies
+  SELECT run, step,
+    transform(folds, fold -> unhex(sha2(lower(hex(concat(before, fold, behind))), 256))),
+    digest, subroot, concat(before, behind), up_tree, up_level, up_idx, place, copies
   FROM (
-    SELECT c.members, n.digest, coalesce(c.subroot, n.subroot) AS subroot, c.spread,
-      lower(hex(substring(n.children, 1, c.place * 32))) AS before,
-      lower(hex(substring(n.children, c.place * 32 + 33))) AS behind,
-      concat(c.proof, substring(n.children, 1, c.place * 32),
-        substring(n.children, c.place * 32 + 33)) AS proof,
+    SELECT c.run, c.step + 1 AS step, c.folds, n.digest, coalesce(c.subroot, n.subroot) AS subroot,
+      substring(n.children, 1, c.place * 32) AS before,
+      substring(n.children, c.place * 32 + 33) AS behind,
       n.up_tree, n.up_level, n.up_idx, n.place, n.copies
     FROM climb c JOIN merkle_nodes n
     ON n.tree = c.up_tree AND n.level = c.up_level AND n.idx = c.up_idx
-      AND n.salt = pmod(c.spread, c.copies)))
-SELECT members, digest, subroot, proof FROM climb WHERE up_level IS NULL
+      AND n.salt = pmod(xxhash64(c.run), c.copies)))
+SELECT run, max_by(folds, step) AS folds, max_by(digest, step) AS root, max(subroot) AS subroot,
+  aggregate(array_sort(collect_list(named_struct('step', step, 'siblings', siblings))), X'',
+    (held, at) -> concat(held, at.siblings)) AS proof
+FROM climb GROUP BY run
 """
 
 
@@ -244,33 +246,31 @@ def _side_session(spark: SparkSession) -> SparkSession:
     return side
 
 
-def _offered_fold(member: Column) -> Column:
+def _first_fold(member: Column) -> Column:
     """What the leaf on offer makes of the run's node."""
+    leaf_now = F.coalesce(member["offered"], member["leaf"])
     before, behind = _without(F.col("children"), member["place"].cast("int"))
-    fold = _hashed(F.concat(before, member["offered"], behind))
-    return F.when(F.col("alone"), member["offered"]).otherwise(fold)
+    return F.when(F.col("alone"), leaf_now).otherwise(_hashed(F.concat(before, leaf_now, behind)))
 
 
 def climbed(climbers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(members, digest, subroot, proof) per run: every member with its leaf and the digest that
-    its offered leaf folds to, the root, the last node of the source, and the siblings of the
-    run's node and of all above it.  A table in the shared folder."""
+    """``climbers`` (tables of ``built``) with ``folds``, the digests that their offered leaves
+    come to at the root, each value once, ``way``, the place of every member's among them,
+    ``root``, ``subroot`` and ``proof``, the siblings of the run's node and of all above it."""
     spark = climbers.sparkSession
-    member = F.transform(
-        "members", lambda m: F.struct(m["doc_id"], m["leaf"], _offered_fold(m).alias("fold"))
-    )
-    start = climbers.select(
-        member.alias("members"), "digest", "subroot", F.lit(b"").alias("proof"),
-        F.xxhash64("tree", "idx").alias("spread"), "up_tree", "up_level", "up_idx", "place", "copies",
-    )
-    side = _side_session(spark)
-    for name, df in (("merkle_climbers", start), ("merkle_nodes", nodes)):
-        place = work_folder(spark, name)
-        df.write.parquet(place)
-        side.read.parquet(place).createOrReplaceTempView(name)
-    done, place = side.sql(CLIMB_SQL), work_folder(spark, "merkle_climbed")
+    first = F.transform("members", _first_fold)
+    start = climbers.withColumn("first", first).withColumn("folds", F.array_distinct("first"))
+    way = F.transform("first", lambda fold: F.array_position("folds", fold).cast("int"))
+    start = written(start.withColumn("way", way).drop("first"), "merkle-climbers")
+    side, places = _side_session(spark), []
+    for name, df in (("merkle_climbers", start.drop("members", "children", "way")), ("merkle_nodes", nodes)):
+        places.append(work_folder(spark, name))
+        df.write.parquet(places[-1])
+        side.read.parquet(places[-1]).createOrReplaceTempView(name)
+    done, place = side.sql(CLIMB_SQL), work_folder(spark, "merkle-climbed")
     done.write.parquet(place)
-    return spark.read.schema(done.schema).parquet(place)
+    done = spark.read.schema(done.schema).parquet(place)
+    return start.select("run", "members", "children", "way").join(done, "run")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -280,11 +280,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     source, which comes first, and null ids come first within theirs.  A table of one row has its
     leaf as root and the digest of nothing as proof; an empty one gives no rows.
     """
-    done = climbed(*built(leaves(docs)))
-    done = done.withColumn("children", _joined(F.col("members"), "leaf"))
-    each = done.select("*", F.posexplode("members").alias("at", "member"))
+    each = climbed(*built(leaves(docs))).select("*", F.posexplode("members").alias("at", "member"))
     before, behind = _without(F.col("children"), F.col("at"))
-    proof = F.concat(before, behind, "proof")
+    fold = F.element_at("folds", F.element_at("way", F.col("at") + 1))
 
     def text(digest: Column | str) -> Column:
         return F.lower(F.hex(digest))
@@ -293,10 +291,10 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.col("member.doc_id").alias("doc_id"),
         text("member.leaf").alias("leaf"),
         text("subroot").alias("subroot"),
-        text("digest").alias("root"),
-        F.sha2(text(proof), 256).alias("proof_sha256"),
-        text("member.fold").alias("folded_root"),
-        (F.col("member.fold") == F.col("digest")).alias("verified"),
+        text("root").alias("root"),
+        F.sha2(text(F.concat(before, behind, "proof")), 256).alias("proof_sha256"),
+        text(fold).alias("folded_root"),
+        (fold == F.col("root")).alias("verified"),
     )
 
 
