@@ -13,6 +13,7 @@ from fieldmill.llm import (
     merkle,
     packing,
     quality,
+    resample,
     sharding,
     simhash,
     substring,
@@ -67,6 +68,7 @@ QUERIES: dict[str, Callable] = {
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "op12_resample": resample.op12_resample,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
