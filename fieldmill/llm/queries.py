@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from fieldmill.llm import (
     context_tree,
+    cross_polytope,
     decontaminate,
     language,
     merkle,
@@ -68,6 +69,7 @@ QUERIES: dict[str, Callable] = {
     "op8_context_tree": context_tree.op8_context_tree,
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
+    "op11_neighbours": cross_polytope.op11_neighbours,
     "op12_resample": resample.op12_resample,
     "op13_merkle": merkle.op13_merkle,
 }

@@ -77,6 +77,6 @@ def test_everything_is_packed(stages):
 
 
 def test_registered():
-    assert len(queries.QUERIES) == 10
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert len(queries.QUERIES) == 13
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert substring.OP6_SQL == queries.ORACLES["op6_substring_dedup"]
