@@ -104,7 +104,7 @@ def hashes_for(rows: int, width: int, **given) -> Hashes:
     buckets, split = 2 * max(2, width), 1
     while rows > BUCKET_ROWS * buckets * split and split < buckets:
         split *= 2
-    return Hashes(split=max(split, 2) if split > 1 else 1, **given)
+    return Hashes(**({"split": split} | given))
 
 
 def valid(vector: Column) -> Column:
