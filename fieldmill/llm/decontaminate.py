@@ -166,18 +166,61 @@ def test_items(spark, sf_dir: str) -> DataFrame:
     return texts(table(spark, sf_dir, "benchmark"), "item_id")
 
 
+def judged(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+    """Every row of (doc_id, text) with ``items``, the ids of the items that its own text holds, and
+    ``edits``, the least distance (null for none).
+
+    Each block of items is one pass that adds to what the passes before have found, so nothing is
+    joined and no row depends on its id: rows with a null or a repeated id are judged like any
+    other, null and empty texts hold nothing, an empty table gives no rows.  No shuffle.
+    """
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.array().cast("array<long>").alias("items"),
+        F.lit(None).cast("long").alias("edits"),
+    )
+    for block in blocks(items):
+        held = docs.sparkSession.sparkContext.broadcast((block, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(*held.value)
+            for batch in batches:
+                hits = [matcher.hits(text or "") for text in batch.column("text").to_pylist()]
+                before = zip(batch.column("items").to_pylist(), batch.column("edits").to_pylist())
+                both = [
+                    (
+                        sorted({*known, *some}),
+                        min([edits for edits, _ in some.values()] + ([] if least is None else [least]), default=None),
+                    )
+                    for some, (known, least) in zip(hits, before)
+                ]
+                ids, least = zip(*both) if both else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("text"),
+                        pa.array(ids, pa.list_(pa.int64())),
+                        pa.array(least, pa.int64()),
+                    ],
+                    ["doc_id", "text", "items", "edits"],
+                )
+
+        found = found.mapInArrow(run, "doc_id long, text string, items array<long>, edits long")
+    return found.drop("text")
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, leaked, n_items, the ids of its items and the least distance."""
+    """Per document: doc_id, leaked, n_items, the ids of its items and the least distance.
+
+    A row per row: null and repeated ids, null and empty texts as ``judged`` has them.
+    """
     docs = texts(table(spark, sf_dir, "documents"))
-    found = matches(docs, test_items(spark, sf_dir)).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("items"), F.min("edits").alias("edits")
-    )
-    ids = docs.select("doc_id").join(found, "doc_id", "left")
-    return ids.select(
+    return judged(docs, test_items(spark, sf_dir)).select(
         "doc_id",
-        F.col("items").isNotNull().alias("leaked"),
-        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
-        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        (F.size("items") > 0).alias("leaked"),
+        F.size("items").alias("n_items"),
+        "items",
         "edits",
     )
 

@@ -706,3 +706,28 @@ def test_near_copies_against_brute_force(spark, monkeypatch, hot):
     assert {r.doc_id: r.component_id for r in found} == {d: top(d) for d in sets}
     left = simhash.deduplicated(frame(spark, rows)).collect()
     assert sorted(r.doc_id for r in left) == sorted(set(map(top, sets)))
+
+
+def test_every_row_is_judged_by_its_own_text(spark, tmp_path):
+    """The query itself, with null and repeated ids, beside the stage's filter."""
+    item = "what is the capital of the small island that lies north of the cape"
+    rows = [(1, item), (None, f"some {item} here"), (3, "clean"), (4, None), (4, item.upper()), (None, "clean"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    other = "quite another question that nobody asks"
+    spark.createDataFrame([(8, item), (9, None), (7, item), (6, other)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    found = decontaminate.op7_decontamination(spark, str(tmp_path))
+    got = [(row.doc_id, row.leaked, row["items"], row.edits) for row in found.collect()]
+    wanted = [(i, True, [7, 8], 0) if text and item in text.lower() else (i, False, [], None) for i, text in rows]
+    assert sorted(map(str, got)) == sorted(map(str, wanted))
+    kept = decontaminate.clean(docs, decontaminate.test_items(spark, str(tmp_path)))
+    assert kept.count() == sum(not leaked for _, leaked, *_ in got)
+
+
+def test_blocks_of_items_add_up(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "blocks", lambda items: iter([[(1, "first item text")], [(2, "second item text")]]))
+    docs = spark.createDataFrame([(1, "the second item text and the first item text"), (2, "second itex text")], "doc_id long, text string")
+    found = decontaminate.judged(docs, None, 0.1).orderBy("doc_id").collect()
+    assert [(row["items"], row.edits) for row in found] == [([1, 2], 0), ([2], 1)]
