@@ -214,8 +214,9 @@ def evaluate(
     """Predictions zipped with golds and scored; ``limit`` takes the first golds by index and the
     predictions up to the last of them."""
     if limit is not None:
+        # the bound comes from the keys alone, so no gold is computed for it
+        last = golds.select(on).orderBy(on).limit(limit).agg(F.max(on).alias("last")).scalar()
         golds = golds.orderBy(on).limit(limit)
-        last = golds.agg(F.max(on).alias("last")).scalar()
         preds = preds.where(F.col(on) <= last)
     return score(zip_strict(preds, golds, on), schema=schema)
 

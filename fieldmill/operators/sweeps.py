@@ -139,16 +139,16 @@ def sweep_results(
 
     A run without metrics keeps its row, with NULL rates; metrics of an unknown run fail the job.
     """
-    # one row per run of the spec on either side
-    strangers = metrics.join(runs, "run_no", "left_anti").agg(F.count("*").alias("n")).scalar()
-    checked = runs.where(
-        F.when(strangers == 0, F.lit(True)).otherwise(
+    # one row per run of the spec on either side; the metrics are dear and computed once
+    joined = runs.withColumn("_run", F.lit(True)).join(metrics, "run_no", "full_outer")
+    checked = joined.where(
+        F.when(F.col("_run").isNotNull(), F.lit(True)).otherwise(
             F.raise_error(F.lit("metrics of a run that the sweep does not have")).cast("boolean")
         )
     )
     axes = [F.element_at("overrides", axis).alias(name) for axis, name in axis_names(grid).items()]
     head = [F.col("label").alias("variant")] if variants else []
-    return checked.join(metrics, "run_no", "left").select(
+    return checked.select(
         "run_no", *head, *axes, "field_f1", "exact_match", "json_valid_rate", "schema_valid_rate",
         "run_id",
     )

@@ -78,3 +78,15 @@ def test_samples_are_filtered_and_pruned_in_the_scan(spark, sf_dir):
 def test_runs_multiply_inside_the_task(spark):
     plan = physical(with_runs(spark.range(10), {"a": [1, 2]}, [{}, {"b": 1}]))
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_targets_are_rendered_once(spark, sf_dir):
+    for name in ("pairs_from_gold", "preference_rows"):
+        df = entry_points.queries()[name](spark, sf_dir)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if re.search(r"\bFilter\b", line)]
+        assert not any("structs" in line.lower() or "to_json" in line for line in filters), filters
+
+
+def test_a_sweep_scores_every_answer_once(spark, sf_dir):
+    assert physical(entry_points.queries()["sweep_rank"](spark, sf_dir)).count("ArrowEvalPython") == 1
