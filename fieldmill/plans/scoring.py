@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmill.functions.draws import digest, draw
+from fieldmill.functions.native_schema import native_conforms
 from fieldmill.functions.receipt import ANNOTATED_SCHEMA, SYNTHETIC_SCHEMA, flatten_struct
 from fieldmill.functions.schema import (
     attach_schema_prompt,
@@ -465,6 +466,73 @@ def schema_valid_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PROPS_SCHEMA = {
+    "type": "object",
+    "required": ["k"],
+    "properties": {"k": {"type": "integer", "minimum": 5, "exclusiveMaximum": 90, "not": {"enum": [13, 26.0, "40"]}}},
+    "additionalProperties": False,
+}
+#: An event as one JSON record.
+RECORD_SCHEMA = {
+    "type": "object",
+    "required": ["id", "kind", "value", "tags", "props"],
+    "properties": {
+        "id": {"type": "integer", "minimum": 0},
+        "kind": {"enum": ["click", "view", "purchase"]},
+        "value": {"anyOf": [{"type": "number", "minimum": 5}, {"type": "null"}]},
+        "tags": {
+            "type": "array",
+            "minItems": 1,
+            "uniqueItems": True,
+            "items": {"oneOf": [{"type": "string", "maxLength": 3, "pattern": r"^\w+$"}, {"type": "integer"}]},
+        },
+        "props": {"$ref": "#/$defs/props"},
+    },
+    "additionalProperties": False,
+    "$defs": {"props": PROPS_SCHEMA},
+}
+_PROPS_VALID = "k >= 5 AND k < 90 AND k NOT IN (13, 26)"
+_EVENT_K = "(SELECT *, (props->>'k')::BIGINT AS k FROM events)"
+
+
+@query("schema_valid_props", f"SELECT event_id, {_PROPS_VALID} AS valid FROM {_EVENT_K}")
+def schema_valid_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's properties against a schema, without Python."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", native_conforms(F.col("props"), PROPS_SCHEMA).alias("valid"))
+
+
+def event_records(rows: DataFrame) -> DataFrame:
+    """``event_id, record``: events as JSON texts, seven of eight in some other shape."""
+    shape, k = F.col("event_id") % 8, F.get_json_object("props", "$.k")
+    letter = F.concat(F.lit('"'), F.substring("event_type", 1, 1), F.lit('"'))
+    value = (
+        F.when(shape == 1, F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"')))
+        .when(shape == 7, "null")
+        .otherwise(F.col("value").cast("string"))
+    )
+    kind = F.when(shape == 2, "").otherwise(F.concat(F.lit('"kind":"'), F.col("event_type"), F.lit('",')))
+    first = F.when(shape == 3, k).when(shape == 6, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(letter)
+    record = F.concat(
+        F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(","), kind, F.lit('"value":'), value,
+        F.lit(',"tags":['), first, F.lit(", "), k, F.lit('],"props":'), F.col("props"),
+        F.when(shape == 4, ',"more":[]').otherwise(""), F.when(shape == 5, "").otherwise("}"),
+    )
+    return rows.select("event_id", record.alias("record"))
+
+
+@query(
+    "schema_valid_records",
+    f"""SELECT event_id, event_id % 8 NOT IN (1, 2, 3, 4, 5)
+      AND event_type IN ('click', 'view', 'purchase') AND (event_id % 8 = 7 OR value >= 5)
+      AND {_PROPS_VALID} AS valid FROM {_EVENT_K}""",
+)
+def schema_valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of mixed shapes, broken ones too, against a schema of nested parts."""
+    rows = event_records(table(spark, sf_dir, "events"))
+    return rows.select("event_id", native_conforms(F.col("record"), RECORD_SCHEMA).alias("valid"))
+
+
 @query(
     "key_conformance",
     with_sql(

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from fieldmill.operators.pairs import attach_samples
 from fieldmill.operators.scoring import per_field, score, summarize, zip_strict
-from fieldmill.operators.sweeps import retain_last, with_runs
+from fieldmill.operators.sweeps import expand_runs, retain_last, sweep_results, with_runs
 from fieldmill.plans import registered
+from fieldmill.plans.sweeps import SWEEP_GRID, SWEEP_VARIANTS, sweep_metrics
 from fieldmill.sources.samples import read_samples
 
 # The aggregate of a whole table ends in one row; a small table is ranked or limited.
@@ -89,4 +90,7 @@ def test_targets_are_rendered_once(spark, sf_dir):
 
 
 def test_a_sweep_scores_every_answer_once(spark, sf_dir):
-    assert physical(entry_points.queries()["sweep_rank"](spark, sf_dir)).count("ArrowEvalPython") == 1
+    metrics = sweep_metrics(spark, sf_dir)
+    runs = expand_runs(spark, SWEEP_GRID, SWEEP_VARIANTS)
+    plan = physical(sweep_results(runs, metrics, SWEEP_GRID, True))
+    assert plan.count("ArrowEvalPython") == 1
