@@ -18,13 +18,16 @@ from fieldmill.plans.base import (
 )
 from fieldmill.plans.scoring import SUMMARY
 from fieldmill.session import work_folder
+from fieldmill.streaming.first_samples import first_samples
 from fieldmill.streaming.scoring import (
     append_to,
+    drop_resent,
     publish_versions,
     read_newest,
     stream_eval,
     stream_pairs,
 )
+from fieldmill.streaming.versions import publish_changes, read_version
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,3 +92,38 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(arriving(spark, sf_dir), schema=SYNTHETIC_SCHEMA).drop("gold", "raw")
     append_to(scored, f"{place}/scored", f"{place}/checkpoint").awaitTermination()
     return summarize(spark.read.parquet(f"{place}/scored"), "run_id", "step")
+
+
+FIRST = 20
+_FIRST = with_sql(
+    RECEIPTS,
+    answers_sql(),
+    f"""first AS (SELECT o_orderpriority AS run_id, (o_orderkey % 4 + 1) * 100 AS step, answers.*
+      FROM answers JOIN orders ON o_orderkey = answers."index"
+      QUALIFY row_number() OVER (PARTITION BY run_id, step ORDER BY answers."index") <= {FIRST})""",
+    scored_sql("first", 'run_id, step, "index"'),
+)
+
+
+@query("stream_first_n", f"{_FIRST} SELECT run_id, step, {SUMMARY} FROM scored GROUP BY run_id, step")
+def stream_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over the first samples of every step, kept as versions of one table."""
+    place = work_folder(spark, "stream-first")
+    rows = first_samples(arriving(spark, sf_dir), FIRST, SYNTHETIC_SCHEMA).drop("closed")
+    publish_changes(rows, f"{place}/table", f"{place}/checkpoint", ["run_id", "step"]).awaitTermination()
+    return read_version(spark, f"{place}/table")
+
+
+@query(
+    "stream_resent",
+    f"{_STEPPED} SELECT run_id, step, {SUMMARY} FROM scored GROUP BY run_id, step",
+)
+def stream_resent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth answer is sent again ten minutes later and still counts once."""
+    place = work_folder(spark, "stream-resent")
+    again = F.when(F.col("index") % 5 == 0, F.array(F.lit(0), F.lit(600))).otherwise(F.array(F.lit(0)))
+    sent = arriving(spark, sf_dir).withColumn("delay", F.explode(again))
+    sent = sent.withColumn("arrived", F.timestamp_seconds(F.col("index") + F.col("delay"))).drop("delay")
+    scored = score(drop_resent(sent, "arrived"), schema=SYNTHETIC_SCHEMA).drop("gold", "raw")
+    append_to(scored, f"{place}/scored", f"{place}/checkpoint").awaitTermination()
+    return summarize(spark.read.parquet(f"{place}/scored"), "run_id", "step")
