@@ -10,6 +10,7 @@ the places in a sequence follow from the exact ones.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +33,9 @@ GRAIN = 8
 #: Pieces of a length and bucket that are ranked together, on average.
 RANKED = 4096
 
+#: Words that a worker remembers.
 _CACHE = 900_000
+_MARK = re.compile(r"(?<=[a-z])[,.](?= )")
 
 
 def tokenizer_path() -> str:
@@ -55,10 +58,10 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
     No token of the vocabulary spans white space, so the words between blanks are encoded one
-    by one, and frequent words only once.  A word of plain letters, with or without a comma or
-    full stop behind it, is encoded as its lower-case letters, many in one call: each ends
-    with the only token that closes a word, or is encoded whole.  The memory is emptied when it
-    is full.
+    by one, and frequent words only once.  Many words go into one call, whose tokens are dealt to
+    the words again.  ASCII words are encoded in lower case and without the comma
+    or full stop behind a letter, which is a token of its own.  What is remembered is bounded: when
+    it is full, only the words at hand stay.
     """
 
     def __init__(self, path: str):
@@ -67,50 +70,70 @@ class Encoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[at for token, at in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
         self.marks = {mark: self._alone([mark])[0] for mark in ",."} | {"": b""}
 
     def _alone(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(encoding.ids, "<u4").tobytes() for encoding in found]
 
-    def _lettered(self, words: list[str]) -> None:
-        """Learns words of letters; one with several closing tokens, because a letter becomes a
-        combining mark, is left out.  A call that holds such a word is halved until it is alone."""
+    def _dealt(self, words: list[str]) -> list[bytes]:
+        """The ids of words that one call encodes, told apart by where their tokens start."""
+        encoding = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        data = np.array(encoding.ids, "<u4").tobytes()
+        starts = np.array(encoding.offsets, np.int64).reshape(-1, 2)[:, 0]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        cuts = (4 * np.searchsorted(starts, np.cumsum(sizes) - sizes)).tolist()
+        return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words without a combining mark, which could join the blank before it.
+
+        Words of letters close with one token each, mostly: where a call has as many closing
+        tokens as words, they tell the words apart.
+        """
         calls = [words[at : at + 1000] for at in range(0, len(words), 1000)]
-        while calls:
-            some = calls.pop()
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            ids = np.array(ids, "<u4")
+        joined = self.tokenizer.encode_batch_fast(list(map(" ".join, calls)), add_special_tokens=False)
+        found = []
+        for some, encoding in zip(calls, joined):
+            ids = np.array(encoding.ids, "<u4")
             ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
-            # a word closes at least once: as many ends as words are one each
             if len(ends) != len(some):
-                half = len(some) // 2
-                calls += [some[:half], some[half:]] if half else []
+                found += self._dealt(some)
                 continue
             data = ids.tobytes()
-            for word, begin, end in zip(some, [0, *ends], ends):
-                self.letters[word] = data[begin:end]
+            found += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return found
+
+    def _learn_ascii(self, words: list[str]) -> None:
+        lowered = " ".join(words).lower() + " "
+        cores = _MARK.sub("", lowered).split(" ")
+        cores.pop()  # behind the last blank
+        known = self.cores  # taking its keys off a set would walk all of them
+        new = [core for core in set(cores) if core not in known]
+        letters = [core for core in new if core.isalpha()]
+        self.cores.update(zip(letters, self._together(letters)))
+        for at in range(0, len(others := [core for core in new if not core.isalpha()]), 1000):
+            self.cores.update(zip(others[at : at + 1000], self._dealt(others[at : at + 1000])))
+        marks = [word[len(core) :] for word, core in zip(words, cores)]
+        self.known.update(
+            (word, self.cores[core] + self.marks[mark]) for word, core, mark in zip(words, cores, marks)
+        )
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > _CACHE:
-            self.known.clear()
-        if len(self.letters) > _CACHE:
-            self.letters.clear()
-        plain, others = [], []
-        for word in words - self.known.keys():
-            mark = word[-1:] if word[-1:] in self.marks else ""
-            core = word[:-1] if mark else word
-            if core.isalpha():
-                plain.append((word, core.lower() if core.isascii() else core, mark))
-            else:
-                others.append(word)
-        self._lettered(sorted({core for _, core, _ in plain if core not in self.letters}))
-        for word, core, mark in plain:
-            if core in self.letters:
-                self.known[word] = self.letters[core] + self.marks[mark]
-            else:
-                others.append(word)
+            self.known = {word: self.known[word] for word in words if word in self.known}
+        if len(self.cores) > _CACHE:
+            self.cores.clear()
+        known = self.known
+        new = [word for word in words if word not in known]
+        plain = [word for word in new if word.isascii()]
+        if plain:
+            self._learn_ascii(plain)
+        others = [word for word in new if not word.isascii()]
+        letters = [word for word in others if word.isalpha()]
+        self.known.update(zip(letters, self._together(letters)))
+        others = [word for word in others if not word.isalpha()]
         for at in range(0, len(others), 10_000):
             some = others[at : at + 10_000]
             self.known.update(zip(some, self._alone(some)))
@@ -119,7 +142,7 @@ class Encoder:
         """The ids of each text and END; long texts are worked off in stretches."""
         ends = np.array([END], "<u4").tobytes()
         if len(texts) > 1 and sum(map(len, texts)) <= 4 * stretch:
-            split = [text.replace("\n", " ").split(" ") for text in texts]
+            split = [_words(text) for text in texts]
             self.learn(set().union(*split))
             return [b"".join(map(self.known.__getitem__, words)) + ends for words in split]
         found = []
@@ -128,13 +151,21 @@ class Encoder:
             while at < len(text):
                 cut = text.find(" ", at + stretch) if len(text) - at > stretch else -1
                 part, at = (text[at:], len(text)) if cut < 0 else (text[at:cut], cut + 1)
-                words = part.replace("\n", " ").split(" ")
+                words = _words(part)
                 self.learn(set(words))
                 out.append(b"".join(map(self.known.__getitem__, words)))
             found.append(b"".join([*out, ends]))
         return found
 
 
+def _words(text: str) -> list[str]:
+    """Parts of a text between white space; the four separators that only Python takes for white
+    space are left to the tokenizer."""
+    if any(mark in text for mark in "\x1c\x1d\x1e\x1f"):
+        return text.replace("\n", " ").split(" ")
+    return text.split()
+
+
 @lru_cache(1)
 def _encoder(path: str) -> Encoder:
     """One encoder per worker, so that tasks share the words it knows."""
