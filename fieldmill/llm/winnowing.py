@@ -53,18 +53,72 @@ def winnowed_characters(text: Column, gram: int = CHARACTERS, window: int = WIND
     starts.  A text with fewer than ``gram`` of them is one gram.
     """
     text = F.coalesce(text, F.lit(""))
-    full = F.regexp_extract_all(text, F.lit(rf"(?=(\S(?:\s*\S){{{gram - 1}}}))\S"), F.lit(1))
     whole = F.regexp_extract_all(text, F.lit(r"(\S(?:\s*\S)*)"), F.lit(1))
-    return _bound(full, lambda grams: _chosen(F.when(F.size(grams) > 0, grams).otherwise(whole), window))
+    return _bound(_full_grams(text, gram), lambda grams: _chosen(F.when(F.size(grams) > 0, grams).otherwise(whole), window))
+
+
+def _values(grams: Column, offset: Column | int = 0) -> Column:
+    """(hash, position) of every gram, packed; the first gram is at ``offset``."""
+    return F.transform(
+        grams,
+        lambda g, i: F.shiftleft(F.xxhash64(g).bitwiseAND(0xFFFFFFFF), 31)
+        + (F.lit(_PLACES) - i - F.lit(offset) if isinstance(offset, int) else F.lit(_PLACES) - i - offset),
+    )
 
 
 def _chosen(grams: Column, window: int) -> Column:
     """The packed (hash, position) pairs that the windows choose."""
-    found = F.transform(
-        grams,
-        lambda g, i: F.shiftleft(F.xxhash64(g).bitwiseAND(0xFFFFFFFF), 31) + (F.lit(_PLACES) - i),
+    return F.array_distinct(_window_minima(_values(grams), window))
+
+
+#: Characters whose grams and windows a change behind them reaches.
+_REACH = CHARACTERS - 1 + WINDOW - 1
+
+
+def _full_grams(text: Column, gram: int = CHARACTERS) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?=(\S(?:\s*\S){{{gram - 1}}}))\S"), F.lit(1))
+
+
+def _dense_size(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\s+", ""))
+
+
+def reusable(text: Column, cut: Column) -> Column:
+    """struct<chosen, kept_size, kept_chosen>: ``winnowed_characters`` of the text, and how much of
+    it holds for any text that begins with all but the last ``cut`` characters: the number of
+    characters that are not blank in that beginning, and of pairs whose windows end inside it."""
+    text = F.coalesce(text, F.lit(""))
+    beginning = _dense_size(F.substring(text, F.lit(1), F.length(text) - cut))
+    whole = F.regexp_extract_all(text, F.lit(r"(\S(?:\s*\S)*)"), F.lit(1))
+
+    def picked(minima: Column, size: Column) -> Column:
+        chosen, windows = F.array_distinct(minima), size - _REACH
+        last = F.when(windows > 0, F.element_at(minima, F.greatest(windows, F.lit(1))))
+        return F.struct(
+            chosen.alias("chosen"),
+            size.alias("kept_size"),
+            F.coalesce(F.array_position(chosen, last), F.lit(0)).cast("int").alias("kept_chosen"),
+        )
+
+    grams = _bound(_full_grams(text), lambda full: F.when(F.size(full) > 0, full).otherwise(whole))
+    minima = _window_minima(_values(grams), WINDOW)
+    return _bound(F.struct(minima.alias("minima"), beginning.alias("size")), lambda s: picked(s["minima"], s["size"]))
+
+
+def changed_end(known: Column, beginning: Column, end: Column) -> Column:
+    """``winnowed_characters`` of ``beginning`` + ``end`` where ``known`` is ``reusable`` of a text
+    with that beginning: only grams that reach the end are hashed."""
+    seam = F.reverse(F.regexp_extract(F.reverse(beginning), rf"^\s*((?:\S\s*){{{_REACH - 1}}}\S)", 1))
+    rest = _full_grams(F.concat(seam, F.regexp_extract(beginning, r"\s*$", 0), end))
+    values = _values(rest, known["kept_size"] - _REACH)
+    least = _bound(
+        values,
+        lambda v: F.when(F.size(v) >= WINDOW, _window_minima(v, WINDOW)).otherwise(F.array().cast("array<bigint>")),
     )
-    return F.array_distinct(_window_minima(found, window))
+    kept = F.slice(known["chosen"], 1, known["kept_chosen"])
+    return F.when(
+        known["kept_size"] > _REACH, F.array_distinct(F.concat(kept, least))
+    ).otherwise(winnowed_characters(F.concat(beginning, end)))
 
 
 def _window_minima(values: Column, window: int) -> Column:
@@ -137,8 +191,8 @@ def _literal(values: list) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, chosen, next_text, next_chosen): every row of (doc_id, text) beside the
-    next in ascending order, the last beside the first.
+    """(doc_id, text, known, chosen, next_text, next_chosen): every row of (doc_id, text) beside the
+    next in ascending order, the last beside the first; ``known`` is ``reusable`` for ``edited``.
 
     Equal ids follow each other in order of their texts; null ids come first.  Ids are cut into
     buckets at quantiles; a bucket's first row also goes to the bucket before it, so each text
@@ -180,33 +234,42 @@ def with_next(docs: DataFrame) -> DataFrame:
     there = (
         dealt.select("doc_id", "text", "k", "to.bucket", "to.guest")
         .repartition("bucket")
-        .withColumn("chosen", winnowed_characters(F.col("text")))
+        .withColumn("known", reusable(F.col("text"), _cut(F.col("text"))))
     )
     order = Window.partitionBy("bucket").orderBy("guest", "k", "text")
     return (
         there.withColumn("next_text", F.lead("text").over(order))
-        .withColumn("next_chosen", F.lead("chosen").over(order))
+        .withColumn("next_chosen", F.lead("known.chosen").over(order))
         .where("NOT guest")
-        .select("doc_id", "text", "chosen", "next_text", "next_chosen")
+        .select("doc_id", "text", "known", F.col("known.chosen").alias("chosen"), "next_text", "next_chosen")
     )
 
 
+def _cut(text: Column) -> Column:
+    return (F.length(text) / 4).cast("int")
+
+
 def edited(text: Column, following: Column) -> Column:
     """The text, its last quarter replaced by as many first characters of the following."""
-    cut = (F.length(text) / 4).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut))
+    return F.concat(*edited_parts(text, following))
+
+
+def edited_parts(text: Column, following: Column) -> tuple[Column, Column]:
+    """What an edited text keeps, and what comes behind it."""
+    cut = _cut(text)
+    return F.substring(text, F.lit(1), F.length(text) - cut), F.substring(following, F.lit(1), cut)
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Per document: n_chars, the edited text's hash, both fingerprints and the likenesses."""
     rows = with_next(texts(table(spark, sf_dir, "documents")))
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select(
+    beginning, end = edited_parts(F.col("text"), F.col("next_text"))
+    rows = rows.withColumns({"beginning": beginning, "end": end}).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "chosen",
-        winnowed_characters(F.col("edited")).alias("edited_chosen"),
+        F.sha2(F.concat("beginning", "end").cast("binary"), 256).alias("edited_sha256"),
+        F.col("known.chosen").alias("chosen"),
+        changed_end(F.col("known"), F.col("beginning"), F.col("end")).alias("edited_chosen"),
         "next_chosen",
     )
     rows = rows.select(

@@ -731,3 +731,28 @@ def test_blocks_of_items_add_up(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "the second item text and the first item text"), (2, "second itex text")], "doc_id long, text string")
     found = decontaminate.judged(docs, None, 0.1).orderBy("doc_id").collect()
     assert [(row["items"], row.edits) for row in found] == [([1, 2], 0), ([2], 1)]
+
+
+def test_a_changed_end_gives_the_fingerprint_of_the_whole(spark):
+    """Beginnings and ends around the lengths where grams and windows begin to reach over."""
+    draw = random.Random(12)
+    texts_, rows = ["", " ", "a", "abc def"], []
+    for size in (*range(10, 40), 70, 300):
+        texts_.append("".join(draw.choice(["a", "b", "ab ", "  ", "é", "漢", "\n"]) for _ in range(size)))
+    for text in texts_:
+        for following in ("", "x", " y ", "zz z" * 9, draw.choice(texts_)):
+            rows.append((text, following))
+    df = spark.createDataFrame(rows, "text string, following string").repartition(3)
+    known = winnowing.reusable(F.col("text"), winnowing._cut(F.col("text")))
+    parts = winnowing.edited_parts(F.col("text"), F.col("following"))
+    found = df.withColumn("known", known).select(
+        "text",
+        "following",
+        F.col("known.chosen").alias("chosen"),
+        winnowing.winnowed_characters(F.col("text")).alias("plain"),
+        winnowing.changed_end(F.col("known"), *parts).alias("changed"),
+        winnowing.winnowed_characters(F.concat(*parts)).alias("whole"),
+    )
+    for row in found.collect():
+        assert row.chosen == row.plain, row.text
+        assert row.changed == row.whole, (row.text, row.following)
