@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,10 @@ def filtered(docs: DataFrame, make: Callable[[], Callable[[str], bool]]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for batch in batches:
+        for batch in stretches(batches):
             kept = [keep(text or "") for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -103,3 +106,26 @@ def chunks(ids: list, values: list[str], size: int = 1 << 22) -> Iterator[tuple[
             begin, held = at + 1, 0
     if begin < len(values):
         yield ids[begin:], values[begin:]
+
+
+def stretches(
+    batches: Iterator[pa.RecordBatch], size: int = 1 << 22, column: str = "text"
+) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in slices of about ``size`` bytes of text; no text is cut."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        held = np.cumsum(lengths.astype(np.int64) + 64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = held[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(held, before + size, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def release() -> None:
+    """Gives back what a task no longer needs: a worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)

@@ -11,6 +11,7 @@ the places in a sequence follow from the exact ones.
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import chunks, table, texts, written
+from fieldmill.llm.common import chunks, release, stretches, table, texts, written
 
 CAPACITY = 2048
 #: Closes every document.
@@ -172,6 +173,27 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: Seconds after which a worker that no longer encodes forgets its words.
+_IDLE = 8.0
+_forgetting: list[threading.Timer] = []
+
+
+def _forget() -> None:
+    _encoder.cache_clear()
+    release()
+
+
+def _forget_later(seconds: float | None) -> None:
+    """Sets the time to forget, or with None puts it off: a worker may live on for other stages."""
+    while _forgetting:
+        _forgetting.pop().cancel()
+    if seconds is not None:
+        timer = threading.Timer(seconds, _forget)
+        timer.daemon = True
+        timer.start()
+        _forgetting.append(timer)
+
+
 def pieces(
     docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False
 ) -> DataFrame:
@@ -182,8 +204,9 @@ def pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_later(None)
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in stretches(batches):
             rows = []
             ids, values = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for some, part in chunks(ids, values, 1 << 20):
@@ -200,6 +223,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(column, kind) for column, kind in zip(columns, kinds)], names
             )
+        _forget_later(_IDLE)
 
     sql = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     return docs.select("doc_id", "text").mapInArrow(run, sql + ", ids array<int>" * with_ids)

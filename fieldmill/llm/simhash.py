@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import keeping, table, texts, written
+from fieldmill.llm.common import keeping, release, stretches, table, texts, written
 
 BITS = 64
 SHINGLE = 3
@@ -332,11 +332,13 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("t").to_numpy()
             batch = batch.filter(pa.array(chosen[keys % SLOTS]))
-            first = dict(zip(batch.column("t").to_pylist(), batch.column("text").to_pylist()))
-            found = [grams(text).astype("<u8").tobytes() for text in first.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(first), pa.int64()), pa.array(found, pa.binary())], ["t", "grams"]
-            )
+            for some in stretches(iter([batch])):
+                first = dict(zip(some.column("t").to_pylist(), some.column("text").to_pylist()))
+                found = [grams(text).astype("<u8").tobytes() for text in first.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(first), pa.int64()), pa.array(found, pa.binary())], ["t", "grams"]
+                )
+        release()
 
     got = docs.select("t", "text").mapInArrow(run, "t long, grams binary")
     got = got.groupBy("t").agg(F.min("grams").alias("grams"))
@@ -391,7 +393,7 @@ def near_grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in stretches(batches):
             found = [grams(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -402,6 +404,7 @@ def near_grouped(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "t", "fp", "bands"],
             )
+        release()
 
     found = written(
         docs.mapInArrow(run, "doc_id long, t long, fp long, bands array<long>"), "near-keys"

@@ -21,13 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmill.llm.common import chunks, table, texts, without, word_spans, written
+from fieldmill.llm.common import release, stretches, table, texts, without, word_spans, written
 
 WINDOW = 13
 #: Bytes of text whose windows meet in one bucket, on average.
 BUCKET_BYTES = 12 << 20
-#: Characters that a task settles at once.
-CHUNK = 6 << 20
+#: Bytes of text that a task settles at once.
+CHUNK = 2 << 20
 
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What a null id counts as: the last document.
@@ -108,11 +108,12 @@ def _chunk_rows(ids: list[int], values: list[str], window: int, buckets: int) ->
     sizes = np.array([h.size for h in hashed], np.int64)
     starts = np.cumsum(sizes) - sizes
     words = np.concatenate([*hashed, np.zeros(0, np.uint64)])
-    doc = np.repeat(np.arange(sizes.size), sizes)
+    del hashed, values
+    doc = np.repeat(np.arange(sizes.size, dtype=np.int32), sizes)
     hashes = rolling(words, window, _BASE)
     whole = np.flatnonzero(doc[: hashes.size] == doc[doc.size - hashes.size :])
     hashes, doc = hashes[whole], doc[whole]
-    place = whole - starts[doc]
+    place = (whole - starts[doc]).astype(np.uint32)
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     smallest = number[doc[first]]
 
@@ -124,8 +125,9 @@ def _chunk_rows(ids: list[int], values: list[str], window: int, buckets: int) ->
     sent[first] = True
     # rows that share an id are one document to each other; each needs its own answer
     others = np.flatnonzero((number[doc] == smallest[group]) & (doc != doc[first][group]))
-    _, once = np.unique(group[others] * sizes.size + doc[others], return_index=True)
+    _, once = np.unique(group[others] * np.int64(sizes.size) + doc[others], return_index=True)
     sent[others[once]] = True
+    del group, first, smallest, others
     sent = np.flatnonzero(sent)
     bucket = (rolling(words, window, _OTHER)[whole[sent]] >> np.uint64(24)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
@@ -192,10 +194,10 @@ def marked(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in stretches(batches, CHUNK):
             ids = [_LAST if i is None else i for i in batch.column("doc_id").to_pylist()]
-            for some, part in chunks(ids, batch.column("text").to_pylist(), CHUNK):
-                yield _batch(some, part, window, buckets)
+            yield _batch(ids, batch.column("text").to_pylist(), window, buckets)
+        release()
 
     found = (
         docs.select("doc_id", "text")
@@ -254,7 +256,7 @@ def _finished(docs: DataFrame, window: int, finish, schema: pa.Schema, sql: str)
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in stretches(batches):
             pairs = zip(batch.column("text").to_pylist(), batch.column("__marks").to_pylist())
             columns = list(zip(*(finish(text, places) for text, places in pairs)))
             columns = columns or [()] * len(schema)
@@ -263,6 +265,7 @@ def _finished(docs: DataFrame, window: int, finish, schema: pa.Schema, sql: str)
                 + [pa.array(c, field.type) for c, field in zip(columns, schema)],
                 others + schema.names,
             )
+        release()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return found.mapInArrow(run, f"{kept}, {sql}")
