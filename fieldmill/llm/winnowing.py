@@ -79,8 +79,14 @@ def _full_grams(text: Column, gram: int = CHARACTERS) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?=(\S(?:\s*\S){{{gram - 1}}}))\S"), F.lit(1))
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def _dense_size(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"\s+", ""))
+    """Characters that are not blank."""
+    for blank in _BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(""))
+    return F.length(text)
 
 
 def reusable(text: Column, cut: Column) -> Column:
@@ -109,7 +115,8 @@ def changed_end(known: Column, beginning: Column, end: Column) -> Column:
     """``winnowed_characters`` of ``beginning`` + ``end`` where ``known`` is ``reusable`` of a text
     with that beginning: only grams that reach the end are hashed."""
     seam = F.reverse(F.regexp_extract(F.reverse(beginning), rf"^\s*((?:\S\s*){{{_REACH - 1}}}\S)", 1))
-    rest = _full_grams(F.concat(seam, F.regexp_extract(beginning, r"\s*$", 0), end))
+    blanks = F.substring(beginning, F.length(F.rtrim(beginning, F.lit(_BLANKS))) + 1, F.length(beginning))
+    rest = _full_grams(F.concat(seam, blanks, end))
     values = _values(rest, known["kept_size"] - _REACH)
     least = _bound(
         values,
