@@ -17,6 +17,7 @@ from fieldmill.functions.schema import (
 from fieldmill.functions.strict_json import extract_json, flatten_fields, parse_json
 from fieldmill.functions.tables import register_sql
 from fieldmill.functions.text import json_block, normalize_value, round4, top_key
+from fieldmill.operators.comparison import MEASURES, POISSON, compare_paired
 from fieldmill.operators.scoring import (
     compare_models,
     evaluate,
@@ -42,6 +43,7 @@ from fieldmill.plans.base import (
     sql_normalized,
     sql_round4,
     table,
+    with_answer,
     with_sql,
 )
 from fieldmill.sources.samples import spread
@@ -148,8 +150,13 @@ def evaluate_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def model_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models on the same rows; the tuned one always answers and never stops early."""
-    from fieldmill.plans.base import with_answer
+    base, tuned = two_models(spark, sf_dir)
+    sums = summarize(score(base.unionByName(tuned), schema=SYNTHETIC_SCHEMA), "model")
+    return compare_models(metrics_long(sums)).withColumn("delta", F.round("delta", 6))
+
 
+def two_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``model, index, gold, raw`` of a baseline and of a tuned model."""
     rows = receipts(spark, sf_dir)
     cols = [F.col("seed").alias("index"), F.col("target_json").alias("gold")]
     base = with_answer(rows, "base").select(F.lit("baseline").alias("model"), *cols, "raw")
@@ -159,8 +166,50 @@ def model_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
         *cols,
         F.when(mood.isin(3, 8), F.col("target_json")).otherwise(F.col("raw")).alias("raw"),
     )
-    sums = summarize(score(base.unionByName(tuned), schema=SYNTHETIC_SCHEMA), "model")
-    return compare_models(metrics_long(sums)).withColumn("delta", F.round("delta", 6))
+    return base, tuned
+
+
+REPLICATES = 40
+_COUNTED = "json_valid::INT * 1000000", "schema_valid::INT * 1000000", "f1_millionths", "exact_match::INT * 1000000"
+_CHANGES = " UNION ALL ".join(
+    f"""SELECT replicate, '{metric}' AS metric, sum(w) AS n,
+      sum(w * ({value})) FILTER (model = 'baseline') AS b, sum(w * ({value})) FILTER (model = 'adapter') AS a
+    FROM weighted GROUP BY replicate"""
+    for metric, value in zip(MEASURES, _COUNTED)
+)
+_WEIGHT = " + ".join(f"(drawn >= {bound})::INT" for bound in POISSON)
+
+
+@query(
+    "model_delta_paired",
+    with_sql(
+        RECEIPTS,
+        answers_sql("'base'", name="a0"),
+        answers_sql("'tuned'", name="a1"),
+        "both_models AS (SELECT 'baseline' AS model, \"index\", gold, raw FROM a0 UNION ALL "
+        "SELECT 'adapter', \"index\", gold, CASE WHEN mood IN (3, 8) THEN gold ELSE raw END FROM a1)",
+        scored_sql("both_models", 'model, "index"'),
+        f"""replicates AS (
+          SELECT scored.*, r + 1 AS replicate,
+            ('0x' || substr(md5('bootstrap-7|' || "index" || '|' || (r // 8) || '|0'), 1 + 4 * (r % 8), 4))::INT AS drawn
+          FROM scored, range({REPLICATES}) t(r)),
+        weighted AS (
+          SELECT *, {_WEIGHT} AS w FROM replicates UNION ALL SELECT *, 0, 0, 1 FROM scored),
+        changes AS (SELECT *, (a - b) / (n / 2) / 1000000 AS change FROM ({_CHANGES}))""",
+    )
+    + f""" SELECT metric, (max(n) FILTER (replicate = 0) / 2)::BIGINT AS n,
+      round(max(b / (n / 2) / 1000000) FILTER (replicate = 0), 6) AS baseline,
+      round(max(a / (n / 2) / 1000000) FILTER (replicate = 0), 6) AS adapter,
+      round(max(change) FILTER (replicate = 0), 6) AS delta,
+      round(list_sort(list(change) FILTER (replicate > 0))[2], 6) AS low,
+      round(list_sort(list(change) FILTER (replicate > 0))[{REPLICATES - 1}], 6) AS high
+    FROM changes GROUP BY metric""",
+)
+def model_delta_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two models row by row, with an interval for every difference."""
+    base, tuned = two_models(spark, sf_dir)
+    scored = [score(rows, schema=SYNTHETIC_SCHEMA) for rows in (base, tuned)]
+    return compare_paired(*scored, replicates=REPLICATES, seed=7)
 
 
 LINE_FIELDS = """
