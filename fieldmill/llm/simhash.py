@@ -7,8 +7,7 @@ span too little to exclude every ``v``, so two fingerprints within the radius ag
 some mask: all such pairs meet in a table, without exception.  Only distinct fingerprints
 are linked; copies follow their fingerprint.
 
-The pipeline's stage is stricter: it links texts whose five-word shingles have a Jaccard
-similarity of at least 0.8, found by bands of minima and verified on the sets.
+The pipeline's stage calls the same operator with the same shingles and radius.
 """
 
 from __future__ import annotations
@@ -33,11 +32,6 @@ RADIUS = 3
 HOT = 4096
 #: A larger bucket looks up the neighbours of each fingerprint instead of comparing pairs.
 PAIRWISE = 8192
-#: The pipeline's near copies: words of a shingle, and bands of so many minima each.
-NEAR_SHINGLE = 5
-BANDS, ROWS = 32, 5
-#: Bits of the map that picks the texts whose shingles are compared.
-SLOTS = 1 << 22
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, block: int = 1 << 16) -> int:
@@ -71,12 +65,13 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of (doc_id, text), the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in stretches(batches):
             found = [fingerprint(text, shingle) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))],
                 ["doc_id", "fp"],
             )
+        release()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -253,182 +248,11 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def grams(text: str, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """The distinct XXH64 (seed 42) of a text's word shingles, in order; words as in
-    ``fingerprint``, and fewer words than a shingle are one."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = b" ".join(words)
-    ends = np.cumsum([len(word) + 1 for word in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    shorter = min(shingle, len(words)) - 1
-    spans = zip(starts[: len(words) - shorter].tolist(), ends[shorter:].tolist())
-    one = xxhash.xxh64_intdigest
-    return np.unique(np.array([one(data[a:b], 42) for a, b in spans], np.uint64))
-
-
-_draws = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
-_SALTS, _FACTORS = _draws[0], _draws[1] * np.uint64(2) + np.uint64(1)
-
-
-def bands(found: np.ndarray, block: int = 512) -> list[int]:
-    """A key for each of BANDS bands of ROWS minima; two sets of similarity s agree in a band
-    with probability s**ROWS.  An empty set has none."""
-    if not found.size:
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, found.size, block):
-        hashed = (found[at : at + block, None] ^ _SALTS) * _FACTORS
-        np.minimum(least, hashed.min(axis=0), out=least)
-    data = least.astype("<u8").tobytes()
-    size = 8 * ROWS
-    return [_signed(xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], i)) for i in range(BANDS)]
-
-
-def _set_key(found: np.ndarray) -> int:
-    return _signed(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 42))
-
-
-def near(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Places (i, j) of sets with Jaccard >= 0.8, each pair verified, that connect exactly what
-    all such pairs connect, without a cycle.  Pairs that are connected already are not compared."""
-    sizes = np.array([found.size for found in sets], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    used, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(used.size, np.int64)
-    group = np.arange(len(sets))
-    links = []
-    for i in range(len(sets) - 1):
-        behind = sizes[i + 1 :]
-        open_ = (group[i + 1 :] != group[i]) & (5 * np.minimum(behind, sizes[i]) >= 4 * np.maximum(behind, sizes[i]))
-        if not open_.any():
-            continue
-        mine = flat[starts[i] : starts[i] + sizes[i]]
-        marked[mine] = 1
-        shared = np.add.reduceat(marked[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
-        marked[mine] = 0
-        # s / (a + b - s) >= 4 / 5 in whole numbers
-        for j in (np.flatnonzero(open_ & (9 * shared >= 4 * (behind + sizes[i]))) + i + 1).tolist():
-            if group[j] != group[i]:
-                group[group == group[j]] = group[i]
-                links.append((i, j))
-    return links
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, grams) of the classes ``wanted`` (fp, t), from the texts whose hash is ``t``.
-
-    A bitmap of fixed size goes to the tasks first, so texts of other classes are neither
-    shingled nor shuffled; the join behind it is exact.
-    """
-    slots = wanted.select(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
-    bitmap = np.zeros(SLOTS, bool)
-    bitmap[slots.column("slot").to_numpy()] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.unpackbits(held.value).astype(bool)
-        for batch in batches:
-            keys = batch.column("t").to_numpy()
-            batch = batch.filter(pa.array(chosen[keys % SLOTS]))
-            for some in stretches(iter([batch])):
-                first = dict(zip(some.column("t").to_pylist(), some.column("text").to_pylist()))
-                found = [grams(text).astype("<u8").tobytes() for text in first.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(first), pa.int64()), pa.array(found, pa.binary())], ["t", "grams"]
-                )
-        release()
-
-    got = docs.select("t", "text").mapInArrow(run, "t long, grams binary")
-    got = got.groupBy("t").agg(F.min("grams").alias("grams"))
-    return got.join(wanted.hint("merge"), "t").select("fp", "grams")
-
-
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) links between classes (fp, t, bands) of texts (t, text), verified on their shingles.
-
-    A bucket with one class, or with the same classes as another, is dropped before a set is
-    read.  A bucket with more than HOT classes is dealt out as pairs of parts, so that every
-    pair still meets and no task holds the bucket whole.
-    """
-    keyed = classes.select("fp", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("members")
-    )
-    sizes = sizes.where("n > 1").groupBy("n", "members").agg(F.min("key").alias("key"))
-    parts = F.ceil(F.col("n") / HOT).cast("int")
-    shared = written(
-        keyed.join(sizes.select("key", parts.alias("parts")), "key"), "near-buckets"
-    )
-    wanted = shared.select("fp").distinct().join(classes.select("fp", "t"), "fp")
-    sets = written(_sets(docs, written(wanted, "near-wanted")), "near-sets")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = (
-        shared.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .where("parts = 1 OR own <> other")
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("fp")
-        fps = group["fp"].to_numpy(np.int64)
-        found = near([np.frombuffer(data, "<u8") for data in group["grams"]])
-        places = np.array(found, int).reshape(-1, 2)
-        return pd.DataFrame({"a": fps[places[:, 0]], "b": fps[places[:, 1]]})
-
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.join(sets, "fp").repartition(tasks, "key", "low", "high")
-    return met.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
-
-
-def near_grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of (doc_id, text): the least doc_id reachable over links of texts
-    whose sets of five-word shingles have Jaccard >= 0.8, the own id included.
-
-    Links are verified; a pair at 0.8 meets in no band with probability 4e-6, a nearer one
-    less.  Texts without a word are alike.  Null ids keep their row.
-    """
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stretches(batches):
-            found = [grams(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("t"),
-                    pa.array([_set_key(some) for some in found], pa.int64()),
-                    pa.array([bands(some) for some in found], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "t", "fp", "bands"],
-            )
-        release()
-
-    found = written(
-        docs.mapInArrow(run, "doc_id long, t long, fp long, bands array<long>"), "near-keys"
-    )
-    classes = written(
-        found.groupBy("fp").agg(
-            F.min("doc_id").alias("first"), F.min("t").alias("t"), F.min("bands").alias("bands")
-        ),
-        "near-classes",
-    )
-    member = components(near_links(docs, classes))
-    named = classes.join(member, classes.fp == member.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
-    )
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "component_id")
-    return found.select("doc_id", "fp").join(ids, "fp").select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The row of each group of near copies (``near_grouped``) with the least doc_id, all columns
-    kept; a stage's filter.
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The row of each component (``grouped``) with the least doc_id, all columns kept; a stage's
+    filter.
 
     Rows that repeat the id stay together; rows with a null id stay as they are.
     """
-    found = near_grouped(texts(docs)).where("doc_id <> component_id")
-    return keeping(docs, found)
+    found = grouped(texts(docs), shingle, radius)
+    return keeping(docs, found.where("doc_id <> component_id").select("doc_id"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 
 import corpus_pipeline
-from fieldmill.llm import decontaminate, packing, queries, substring
+from fieldmill.llm import decontaminate, packing, queries, simhash, substring
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +41,22 @@ def test_near_copies_leave_no_equal_texts(stages):
     assert texts.nunique() == len(texts)
 
 
+def test_near_copies_are_the_components_of_the_operator(stages):
+    before, after = dict(stages)["toxicity"], dict(stages)["near_copies"]
+    pairs = [(int(d), simhash.fingerprint(t or "")) for d, t in zip(before.doc_id, before.text)]
+    root = {d: d for d, _ in pairs}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, fa), (b, fb) in itertools.combinations(pairs, 2):
+        if (fa ^ fb).bit_count() <= 3:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    assert sorted(after.doc_id) == sorted({top(d) for d in root})
+
+
 def test_no_passage_is_left_twice(stages):
     before, after = dict(stages)["near_copies"], dict(stages)["repeats"]
     assert sorted(before.doc_id) == sorted(after.doc_id)
