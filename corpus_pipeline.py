@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word similarity >= 0.8) the document with the least id."""
+    """Of each group of near copies (three-word SimHash, 3 bits or fewer) the document with the least id."""
     ship_package(spark)
     return simhash.deduplicated(docs)
 
