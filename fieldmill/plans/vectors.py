@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmill.operators.spectrum import singular_spectrum
 from fieldmill.operators.vectors import energy_spectrum, group_norms, norms_by_class, top_norms
 from fieldmill.plans.base import query, table
 
@@ -75,20 +76,31 @@ def spectrum_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "spectrum_moments",
-    """WITH cells AS (
+_MOMENTS_SQL = """WITH cells AS (
       SELECT label, a.i AS i, b.i AS j, sum(a.x * b.x) AS cell FROM embeddings,
         LATERAL (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x) a,
         LATERAL (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x) b GROUP BY ALL)
     SELECT label, round(sum(CASE WHEN i = j THEN cell ELSE 0 END), 4) AS second,
-      round(sum(cell * cell), 4) AS fourth FROM cells GROUP BY label""",
-)
+      round(sum(cell * cell), 4) AS fourth FROM cells GROUP BY label"""
+
+
+@query("spectrum_moments", _MOMENTS_SQL)
 def spectrum_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of the squares and fourth powers of a spectrum, which a Gram matrix holds as its
     trace and the sum of its squared cells."""
+    return _moments(label_spectrum(spark, sf_dir))
+
+
+@query("singular_moments", _MOMENTS_SQL)
+def singular_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same moments of the spectrum that comes from QR factors instead of a Gram matrix."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "embedding")
+    return _moments(singular_spectrum(rows, "embedding", "label"))
+
+
+def _moments(spectrum: DataFrame) -> DataFrame:
     square = F.col("sigma") * F.col("sigma")
-    return label_spectrum(spark, sf_dir).groupBy("label").agg(
+    return spectrum.groupBy("label").agg(
         F.round(F.sum(square), 4).alias("second"),
         F.round(F.sum(square * square), 4).alias("fourth"),
     )
