@@ -46,6 +46,8 @@ from fieldmill.plans.base import (
     with_answer,
     with_sql,
 )
+from fieldmill.session import work_folder
+from fieldmill.sources.bucketed import write_bucketed, zip_bucketed
 from fieldmill.sources.samples import spread
 
 SUMMARY = """
@@ -129,6 +131,18 @@ def evaluate_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("evaluate_zip_bucketed", f"{SCORED} SELECT {SUMMARY} FROM scored")
+def evaluate_zip_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions and golds written once as bucketed tables, then zipped without a shuffle."""
+    rows = answers(spark, sf_dir)
+    names = []
+    for side in ("raw", "gold"):
+        place = work_folder(spark, f"bucketed-{side}")
+        names.append("bucketed_" + place.rsplit("/", 1)[1].replace("-", "_"))
+        write_bucketed(rows.select("index", side), names[-1], path=place)
+    return summarize(score(zip_bucketed(spark, *names), schema=SYNTHETIC_SCHEMA))
+
+
 @query(
     "model_delta",
     with_sql(
