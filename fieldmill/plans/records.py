@@ -17,6 +17,7 @@ from fieldmill.functions.schema import schema_prompts
 from fieldmill.functions.tables import register_sql
 from fieldmill.functions.text import plan_downscale, strip_thousands, top_key
 from fieldmill.operators.batching import dense_index
+from fieldmill.operators.leakage import canonical_leakage
 from fieldmill.operators.pairs import first_n, first_n_ordered
 from fieldmill.operators.predict import predict
 from fieldmill.operators.scoring import leakage, score, summarize
@@ -420,6 +421,26 @@ def leakage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage(rows.where(even), rows.where(~even), "text")
 
 
+@query(
+    "leakage_canonical",
+    """WITH keyed AS (SELECT event_id % 2 AS odd,
+      'json:{"props":{"k":' || (props->>'$.k') || '},"user":' || user_id || '}' AS line FROM events)
+    SELECT sha256(line) AS content, count(*) FILTER (odd = 0) AS n_train,
+      count(*) FILTER (odd = 1) AS n_eval
+    FROM keyed WHERE line IS NOT NULL GROUP BY line HAVING n_train > 0 AND n_eval > 0""",
+)
+def leakage_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and properties of events with even and odd ids; the odd ones come with their keys
+    turned round, other blanks and the user as a decimal number."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    user, odd = F.col("user_id").cast("string"), F.col("event_id") % 2 != 0
+    plain = F.concat(F.lit('{"props": '), F.col("props"), F.lit(', "user": '), user, F.lit("}"))
+    turned = F.concat(F.lit('{"user":'), user, F.lit('.0,"props":'), F.col("props"), F.lit("}"))
+    return canonical_leakage(
+        rows.where(~odd).select(plain.alias("line")), rows.where(odd).select(turned.alias("line")), "line"
+    )
+
+
 # ----------------------------------------------------------------- image plans
 
 
