@@ -21,6 +21,8 @@ MARKS = "#$%&*!|<>{}[]=~^@_"
 THRESHOLD = 0.5
 #: Weight of each measure's logarithmic ratio.
 TEMPER = 0.7
+#: A site that holds more than one row in so many is looked up by broadcast.
+HOT_SHARE = 1000
 
 
 def measures() -> dict[str, Column]:
@@ -138,23 +140,43 @@ def sites(labelled: DataFrame, share: float) -> DataFrame:
     )
 
 
+def looked_up(rows: DataFrame, sites: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with the columns of ``sites`` (one row per ``keys``), null where there is none.
+
+    A key of more than one row in HOT_SHARE is hot.  There are fewer than HOT_SHARE of those,
+    whatever the input, so they are broadcast and their rows stay where they are; the other
+    rows are shuffled, and no key among them is large.
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(
+        F.col("__n") * HOT_SHARE > rows.agg(F.count("*")).scalar()
+    )
+    hot = written(hot.select(*keys), "quality-hot")
+    frequent = written(hot.join(sites, list(keys), "left"), "quality-hot-sites")
+    often = rows.join(F.broadcast(frequent), list(keys))
+    rest = rows.join(F.broadcast(hot), list(keys), "left_anti").join(sites, list(keys), "left")
+    return often.unionByName(rest)
+
+
 def judged(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """``rows`` of ``described`` with ``prior``, ``evidence`` and ``score``, the posterior that a
     row is good.  ``labelled`` are such rows with ``label``; 1 is good, null labels teach nothing.
 
     A path without labels takes its host's prior, a host without labels that of all; without any
-    label every prior is 0.5.  The join's right side has one row per site.
+    label every prior is 0.5.  Priors are settled per site, then every row looks up its site's.
     """
     known = labelled.where(F.col("label").isNotNull())
     found = evidence(known)
-    places = sites(known, found.share)
+    places = written(sites(known, found.share), "quality-sites")
     paths = places.where("path IS NOT NULL").withColumnRenamed("prior", "path_prior")
     hosts = places.where("path IS NULL").select("host", F.col("prior").alias("host_prior"))
-    prior = F.coalesce("path_prior", "host_prior", F.lit(found.share))
-    held = rows.join(paths, ["host", "path"], "left").join(hosts, "host", "left")
-    held = held.withColumn("prior", prior).withColumn("evidence", found.column())
+    every = rows.select("host", "path").distinct().join(paths, ["host", "path"], "left")
+    priors = looked_up(written(every, "quality-places"), hosts, "host").select(
+        "host", "path", F.coalesce("path_prior", "host_prior", F.lit(found.share)).alias("prior")
+    )
+    held = looked_up(rows, written(priors, "quality-priors"), "host", "path")
+    held = held.withColumn("evidence", found.column())
     odds = F.log(F.col("prior") / (1 - F.col("prior"))) + F.col("evidence")
-    return held.withColumn("score", 1 / (1 + F.exp(-odds))).drop("path_prior", "host_prior")
+    return held.withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

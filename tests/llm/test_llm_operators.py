@@ -594,6 +594,65 @@ def test_quality(spark, odd, empty):
     assert quality.judged(strange.where("false"), look).count() == 0
 
 
+def _worth(groups):
+    """Rows a parent's share is worth, from (good, n, share) of each group."""
+    beyond = sum((g - n * p) ** 2 - n * p * (1 - p) for g, n, p in groups)
+    most = sum(n * (n - 1) * p * (1 - p) for g, n, p in groups)
+    return 1 / min(max(beyond / most, 1e-6), 0.999) - 1 if most and beyond > 0 else 1e6
+
+
+@pytest.mark.parametrize("share_of_hot", [1000, 2, 1])
+def test_quality_against_brute_force(spark, monkeypatch, share_of_hot):
+    """Evidence, both shrinkages and posterior of every row; all, one or no site is hot."""
+    monkeypatch.setattr(quality, "HOT_SHARE", share_of_hot)
+    draw = random.Random(16)
+    rows = []
+    for i in range(400):
+        host = "h0" if draw.random() < 0.6 else f"h{draw.randrange(1, 5)}"
+        path = "p0" if host == "h0" else f"p{draw.randrange(4)}"
+        good = draw.random() < {"h0": 0.8, "h1": 0.2}.get(host, 0.3 + 0.15 * int(path[1]))
+        text = " ".join(draw.choice(["word", "Plain", "line.", "7", "$$", "END!"][3 * (not good and draw.random() < 0.7):]) for _ in range(draw.randint(0, 40)))
+        label = int(good) if host != "h4" and draw.random() < 0.7 else None
+        rows.append((i, text, host, path, label))
+    data = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, label int")
+    look = quality.described(data, F.col("text"), F.col("host"), F.col("path"), "doc_id", "label")
+    bins = [r.asDict() for r in look.collect()]
+    names = [c for c in look.columns if c.startswith("m_")]
+    known = [r for r in bins if r["label"] is not None]
+    n, n_good = len(known), sum(r["label"] for r in known)
+    share = (n_good + 0.5) / (n + 1)
+
+    def ratio(name, cell):
+        cells = {r[name] for r in known}
+        if cell not in cells:
+            return 0.0
+        good = sum(r["label"] for r in known if r[name] == cell)
+        bad = sum(1 - r["label"] for r in known if r[name] == cell)
+        half = 0.5 * len(cells)
+        return math.log((good + 0.5) / (n_good + half)) - math.log((bad + 0.5) / (n - n_good + half))
+
+    ratios = {(name, r[name]): ratio(name, r[name]) for name in names for r in bins}
+
+    by_host, by_path = collections.defaultdict(list), collections.defaultdict(list)
+    for r in known:
+        by_host[r["host"]].append(r["label"])
+        by_path[r["host"], r["path"]].append(r["label"])
+    strong = _worth([(sum(v), len(v), share) for v in by_host.values()])
+    host_prior = {h: (sum(v) + strong * share) / (len(v) + strong) for h, v in by_host.items()}
+    strong = _worth([(sum(v), len(v), host_prior[h]) for (h, _), v in by_path.items()])
+    path_prior = {k: (sum(v) + strong * host_prior[k[0]]) / (len(v) + strong) for k, v in by_path.items()}
+
+    found = {r.doc_id: r for r in quality.judged(look.drop("label"), look).collect()}
+    assert len(found) == len(rows)
+    for r in bins:
+        prior = path_prior.get((r["host"], r["path"]), host_prior.get(r["host"], share))
+        evidence = quality.TEMPER * sum(ratios[name, r[name]] for name in names)
+        posterior = 1 / (1 + (1 - prior) / prior * math.exp(-evidence))
+        got = found[r["doc_id"]]
+        assert got.prior == pytest.approx(prior) and got.evidence == pytest.approx(evidence)
+        assert got.score == pytest.approx(posterior)
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
