@@ -17,7 +17,7 @@ from fieldmill.sources.samples import read_samples
 
 # The aggregate of a whole table ends in one row; a small table is ranked or limited.
 ONE_ROW_OUT = {
-    "field_f1_summary", "evaluate_zip", "match_fields_f1", "predict", "latest_run", "sweep_rank",
+    "field_f1_summary", "evaluate_zip", "evaluate_zip_bucketed", "match_fields_f1", "predict", "latest_run", "sweep_rank",
     "first_n_ordered", "top_norms", "dense_index", "pad_batches", "pad_batches_left", "stream_eval", "preference_rows",
 }
 
