@@ -1,14 +1,15 @@
 """Language ID by hyperdimensional profiles.
 
-Every letter has a random vector of -1 and 1.  A trigram's vector binds (multiplies) the
-vectors of its letters, permuted (rolled) by their place; a text's vector bundles (adds) its
-trigrams' vectors, and a language's prototype bundles its texts.  A text gets the language
-whose prototype has the largest cosine with it.
+Every letter, of any script, has a random vector of -1 and 1 of its own.  A trigram's vector
+binds (multiplies) the vectors of its letters, permuted (rolled) by their place; a text's vector
+bundles (adds) its trigrams' vectors, and a language's prototype bundles its texts.  A text gets
+the language whose prototype has the largest cosine with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,25 @@ from pyspark.sql import functions as F
 from fieldmill.llm.common import share_of, table, texts
 
 DIMENSIONS = 512
-#: Letters fall into so many classes: the gap between words, a to z, and the others by code.
+#: Trigrams of the gap between words (0) and a to z (1 to 26) are numbers in this base; those
+#: with any other letter, which is its code point, are negative.
 CLASSES = 64
 UNDETERMINED = "und"
+_BITS = 21
 
 _vectors: list[np.ndarray] = []
 _classes: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Class of every code point: 0 for what is no letter."""
+    """Number of every code point: 0 for what is no letter, 1 to 26 for a to z, else itself."""
     if not _classes:
-        found = np.zeros(0x110000, np.uint8)
+        found = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             if chr(code).isalpha():
-                found[code] = 27 + code * 31 % (CLASSES - 27)
+                found[code] = code
+        # letters beyond a to z start far above the base; capitals are gone by then
+        found[: CLASSES * 2] = 0
         for code in range(26):
             found[ord("a") + code] = code + 1
         _classes.append(found)
@@ -40,7 +45,7 @@ def _letters() -> np.ndarray:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Bound pairs (first letter twice rolled, second once) and last letters."""
+    """Of gap and a to z: bound pairs (first letter twice rolled, second once) and letters."""
     if not _vectors:
         draws = np.random.Generator(np.random.PCG64(20))
         letter = draws.integers(0, 2, (CLASSES, DIMENSIONS), np.int8) * 2 - 1
@@ -49,26 +54,57 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _vectors[0], _vectors[1]
 
 
+@lru_cache(maxsize=1 << 14)
+def letter_vector(number: int) -> np.ndarray:
+    """The vector of a letter; beyond a to z it is drawn from the code point alone, so every task
+    has the same.  Held for the last 16,384 letters (8 MB), drawn again beyond."""
+    if number < CLASSES:
+        return _tables()[1][number]
+    draws = np.random.Generator(np.random.PCG64([20, number]))
+    return draws.integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
+
+
 def trigrams(text: str) -> np.ndarray:
     """Codes of all letter trigrams of a text, gaps collapsed to one; empty without a letter."""
     lowered = text.lower().encode("utf-32-le", "surrogatepass")
     found = _letters()[np.frombuffer(lowered, "<u4")]
-    found = np.concatenate(([np.uint8(0)], found, [np.uint8(0)]))
-    found = found[1:][(found[1:] != 0) | (found[:-1] != 0)].astype(np.int32)
+    found = np.concatenate(([0], found, [0]))
+    found = found[1:][(found[1:] != 0) | (found[:-1] != 0)].astype(np.int64)
     if not found.any():
-        return np.zeros(0, np.int32)
-    found = np.concatenate(([0], found, [0] if found[-1] else []))
-    found = found.astype(np.int32)
-    return (found[:-2] * CLASSES + found[1:-1]) * CLASSES + found[2:]
+        return np.zeros(0, np.int64)
+    found = np.concatenate(([0], found, [0] if found[-1] else [])).astype(np.int64)
+    a, b, c = found[:-2], found[1:-1], found[2:]
+    codes = (a * CLASSES + b) * CLASSES + c
+    wide = (a | b | c) >= CLASSES
+    if wide.any():
+        codes[wide] = -1 - ((((a << _BITS) | b) << _BITS) | c)[wide]
+    return codes
+
+
+def bound(codes: np.ndarray) -> np.ndarray:
+    """One vector per trigram: its letters' vectors, rolled by place and multiplied."""
+    pairs, last = _tables()
+    wide = codes < 0
+    plain = np.where(wide, 0, codes)
+    vectors = pairs[plain // CLASSES] * last[plain % CLASSES]
+    if wide.any():
+        packed = -1 - codes[wide]
+        mask = (1 << _BITS) - 1
+        parts = np.stack([packed >> 2 * _BITS, (packed >> _BITS) & mask, packed & mask])
+        numbers, at = np.unique(parts, return_inverse=True)
+        letter = np.stack([letter_vector(int(n)) for n in numbers])
+        one, two, three = at.reshape(parts.shape)
+        vectors[wide] = (
+            np.roll(letter, 2, axis=1)[one] * np.roll(letter, 1, axis=1)[two] * letter[three]
+        )
+    return vectors
 
 
 def bundle(codes: np.ndarray, counts: np.ndarray, block: int = 4096) -> np.ndarray:
     """Sum of the trigrams' vectors, in blocks so that memory stays bounded."""
-    pairs, last = _tables()
     total = np.zeros(DIMENSIONS)
     for at in range(0, codes.size, block):
-        some = codes[at : at + block]
-        vectors = pairs[some // CLASSES] * last[some % CLASSES]
+        vectors = bound(codes[at : at + block])
         total += counts[at : at + block].astype(np.float32) @ vectors.astype(np.float32)
     return total
 
@@ -77,6 +113,47 @@ def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(trigrams(text), return_counts=True)
 
 
+class _Profile:
+    """The exact bundle of many texts: trigrams of a to z as a table of counts, the others, of
+    which there is no small number, gathered and added up whenever they are many."""
+
+    MANY = 1 << 17
+
+    def __init__(self) -> None:
+        self.plain = np.zeros(CLASSES**3, np.int64)
+        self.total = np.zeros(DIMENSIONS, np.int64)
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        first = int(np.searchsorted(codes, 0))  # sorted: the negative ones come first
+        self.plain[codes[first:]] += counts[first:]
+        if first:
+            self.codes.append(codes[:first])
+            self.counts.append(counts[:first])
+            self.size += first
+            if self.size >= self.MANY:
+                self._settle()
+
+    def _settle(self) -> None:
+        codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+        self._sum(codes, np.bincount(at, np.concatenate(self.counts)).astype(np.int64))
+        self.codes, self.counts, self.size = [], [], 0
+
+    def _sum(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        for at in range(0, codes.size, 2048):
+            self.total += (bound(codes[at : at + 2048]) * counts[at : at + 2048, None]).sum(0)
+
+    def vector(self) -> np.ndarray:
+        if self.codes:
+            self._settle()
+        codes = np.flatnonzero(self.plain)
+        self._sum(codes, self.plain[codes])
+        self.plain[:] = 0
+        return self.total
+
+
 def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """One bundled vector per language of rows (text, lang); null languages teach nothing.
 
@@ -85,21 +162,15 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, np.ndarray] = {}
+        held: dict[str, _Profile] = {}
         for batch in batches:
             pairs = zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
             for text, lang in pairs:
                 codes, n = _counted(text)
                 if codes.size:
-                    counts.setdefault(lang, np.zeros(CLASSES**3, np.int64))[codes] += n
-        for lang, n in counts.items():
-            codes = np.flatnonzero(n)
-            pairs, last = _tables()
-            vector = np.zeros(DIMENSIONS, np.int64)
-            for at in range(0, codes.size, 2048):
-                some = codes[at : at + 2048]
-                bound = pairs[some // CLASSES] * last[some % CLASSES]
-                vector += (bound * n[some][:, None]).sum(0)
+                    held.setdefault(lang, _Profile()).add(codes, n)
+        for lang, profile in held.items():
+            vector = profile.vector()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * DIMENSIONS),
@@ -158,7 +229,11 @@ def identify(df: DataFrame, known: dict[str, np.ndarray]) -> DataFrame:
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred and score of every document.
+
+    Null and empty texts and those without a letter are ``und`` with score 0; rows with equal or
+    null ids each have their own result, a null id counting as held out or not by the empty text.
+    """
     documents = table(spark, sf_dir, "documents")
     held_out = share_of(F.col("doc_id").cast("long"), 4) == 2
     learned_from = documents.where(~held_out).select(

@@ -280,6 +280,38 @@ def test_language(spark, odd, empty):
     assert {(r.lang_pred, r.score) for r in alone.collect()} == {("und", 0.0)}
 
 
+def test_every_letter_has_its_own_vector(spark):
+    # letters 37 code points apart, which a table of 37 classes cannot tell from each other
+    here = "".join(chr(0x4E00 + at) for at in range(30))
+    there = "".join(chr(ord(c) + 37) for c in here)
+    rows = [(here, "one"), (there, "two")]
+    known = language.prototypes(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame([(1, here[3:20]), (2, there[3:20]), (3, "ß é ñ")], "doc_id long, text string")
+    found = {r.doc_id: r for r in language.identify(docs, known).collect()}
+    assert (found[1].lang_pred, found[2].lang_pred) == ("one", "two")
+    assert found[1].score > 0.5
+
+    def brute(text: str) -> np.ndarray:
+        letters = [0, *[ord(c) for c in text], 0]
+        return sum(
+            np.roll(language.letter_vector(a), 2).astype(int)
+            * np.roll(language.letter_vector(b), 1)
+            * language.letter_vector(c)
+            for a, b, c in zip(letters, letters[1:], letters[2:])
+        )
+
+    assert np.array_equal(known["one"], brute(here))
+    vector = brute(here[3:20])
+    cosine = vector @ known["one"] / np.linalg.norm(vector) / np.linalg.norm(known["one"])
+    assert abs(found[1].score - cosine) < 1e-6
+    many = language._Profile()
+    many.MANY = 8  # adds up whenever eight are gathered
+    for text in (here, there, "äöü und so", here):
+        many.add(*language._counted(text))
+    whole = sum(language.bundle(*language._counted(t)) for t in (here, there, "äöü und so", here))
+    assert np.array_equal(many.vector(), whole)
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
