@@ -276,36 +276,53 @@ def flatten_struct(col: Column, dtype: T.DataType) -> Column:
     )
 
 
-def _objects(text: Column) -> Column:
-    """The objects of a JSON list, or the one object there is, each as JSON text."""
+def _objects(text: Column, kind: str) -> Column:
+    """The objects of a JSON list, or the one object there is, as ``array<kind>``.
+
+    A list of nothing but objects is parsed once, straight into its type.  In any other list
+    each item's own type says whether it is an object; a string that looks like one is none.
+    """
     lone = F.startswith(F.ltrim(text), F.lit("{"))
     listed = F.when(lone, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    return F.filter(
-        F.from_json(listed, "array<string>"), lambda part: F.startswith(part, F.lit("{"))
+    kinds = F.try_variant_get(F.try_parse_json(listed), "$", "array<variant>")
+
+    def chosen(part: Column, item: Column) -> Column:
+        # items without a known type (an object that repeats a key) go by their first character
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), F.lit(True))
+        return F.when(F.startswith(part, F.lit("{")) & is_object, part)
+
+    nothing = F.array().cast("array<variant>")
+    parts = F.zip_with(
+        F.from_json(listed, "array<string>"), F.coalesce(kinds, nothing), chosen
     )
+    mixed = F.transform(F.array_compact(parts), lambda part: F.from_json(part, kind))
+    return F.array_compact(F.coalesce(F.from_json(listed, f"array<{kind}>"), mixed))
 
 
 def merge_objects(text: Column) -> Column:
-    """JSON object, or list of objects, as one ``map<string,string>``; the last key wins."""
-    parts = _objects(text)
-    maps = F.transform(parts, lambda part: F.from_json(part, "map<string,string>"))
+    """JSON object, or list of objects, as one ``map<string,string>``; the last key wins, in one
+    object as among several."""
+    pairs = F.flatten(F.transform(_objects(text, "map<string,string>"), lambda part: F.map_entries(part)))
+
+    def last_of_each(pairs: Column) -> Column:
+        return let(
+            lambda pairs, keys: F.map_from_entries(
+                F.filter(
+                    pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"])
+                )
+            ),
+            pairs=pairs,
+            keys=F.transform(pairs, lambda p: p["key"]),
+        )
+
     empty = F.create_map().cast("map<string,string>")
-    merged = F.aggregate(
-        maps,
-        empty,
-        lambda seen, new: F.map_concat(
-            F.map_filter(seen, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new
-        ),
-    )
-    return F.coalesce(merged, empty)
+    return F.coalesce(let(last_of_each, pairs=pairs), empty)
 
 
 def menu_items(text: Column) -> Column:
     """JSON list (or one object) of raw menu lines -> ``array<struct<name,count,price>>``."""
-    parts = _objects(text)
 
-    def item(part: Column) -> Column:
-        line = F.from_json(part, "nm string, cnt string, price string")
+    def item(line: Column) -> Column:
         return F.struct(
             F.coalesce(line["nm"], F.lit("")).alias("name"),
             F.coalesce(strip_thousands(line["cnt"]), F.lit("")).alias("count"),
@@ -313,14 +330,16 @@ def menu_items(text: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<name:string,count:string,price:string>>")
-    return F.coalesce(F.transform(parts, item), empty)
+    lines = _objects(text, "struct<nm:string,cnt:string,price:string>")
+    return F.coalesce(F.transform(lines, item), empty)
 
 
 def normalize_ground_truth(text: Column) -> Column:
     """Native twin of ``normalize_annotation`` for annotations whose leaves are strings."""
 
     def amount(group: Column, key: str) -> Column:
-        return F.coalesce(strip_thousands(F.element_at(group, F.lit(key))), F.lit(""))
+        last = F.try_element_at(F.array_compact(group[key]), F.lit(-1))
+        return F.coalesce(strip_thousands(last), F.lit(""))
 
     def target(menu: Column, subtotal: Column, total: Column) -> Column:
         return F.struct(
@@ -334,8 +353,8 @@ def normalize_ground_truth(text: Column) -> Column:
         return let(
             target,
             menu=menu_items(body["menu"]),
-            subtotal=merge_objects(body["sub_total"]),
-            total=merge_objects(body["total"]),
+            subtotal=_objects(body["sub_total"], "struct<subtotal_price:string,tax_price:string>"),
+            total=_objects(body["total"], "struct<total_price:string>"),
         )
 
     shape = "gt_parse struct<menu:string,sub_total:string,total:string>"

@@ -14,6 +14,7 @@ from fieldmill.functions.receipt import (
     VENDORS,
     flatten_struct,
     layout_lines,
+    merge_objects,
     minify_json,
     normalize_ground_truth,
     struct_members,
@@ -136,6 +137,35 @@ def test_normalize_annotation(spark):
         assert r.native == text
 
 
+def test_lists_that_hold_more_than_objects(spark):
+    groups = [
+        [{"subtotal_price": "5"}, "{x"],
+        ["{x", {"tax_price": "1,5", "subtotal_price": "2"}],
+        [json.dumps({"subtotal_price": "9"}), {"tax_price": "3"}, 4, None, [{"tax_price": "8"}]],
+        [{"subtotal_price": "1"}, {"subtotal_price": "2"}, {}],
+        {"subtotal_price": "7"},
+        [None, {"tax_price": "6"}],
+        ["none"],
+        [],
+    ]
+    menus = [["{x", {"nm": "a"}], [{"nm": "b", "cnt": "1,0"}, 3, json.dumps({"nm": "no"})]] * 4
+    texts = [annotation(menu=m, sub_total=g) for m, g in zip(menus, groups)]
+    # an object that repeats a key: the last one counts
+    texts.append('{"gt_parse": {"menu": [], "sub_total": {"tax_price": "1", "tax_price": "2"}}}')
+    df = spark.createDataFrame([(at, text) for at, text in enumerate(texts)], "i int, t string")
+    rows = df.select(
+        "i",
+        normalize_annotation(F.col("t"))["target_json"].alias("strict"),
+        minify_json(normalize_ground_truth(F.col("t"))).alias("native"),
+        F.from_json("t", "gt_parse struct<sub_total:string>")["gt_parse"]["sub_total"].alias("group"),
+    ).withColumn("merged", merge_objects(F.col("group")))
+    for row in rows.collect():
+        assert row.native == row.strict, texts[row.i]
+        want = json.loads(row.strict)
+        got = row.merged.get("subtotal_price", ""), row.merged.get("tax_price", "")
+        assert tuple("".join(v.split(",")) for v in got) == (want["subtotal"], want["tax"])
+
+
 def test_unusable_annotations_get_a_reason(spark):
     texts = [None, '{"gt_parse":null}', '{"gt_parse":[1]}', annotation(menu=None), annotation(menu=5)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
