@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 from fieldmill.functions.strict_json import is_value, leaves, parse_text, utf8
 
 
-@udtf(returnType="path string, value string", useArrow=True)
+@udtf(returnType="path string, value string", useArrow=False)
 class FlattenJson:
     """``SELECT t.id, f.* FROM t, LATERAL flatten_json(t.doc) f``"""
 
