@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmill.functions.binding import let
-from fieldmill.functions.draws import cut, digest, draw, shuffled
+from fieldmill.functions.draws import cut, digest, draw
 from fieldmill.functions.text import json_string, normalize_value, strip_thousands
 
 # Vocabulary, tax rates, page size and ranges of the synthetic domain.
@@ -88,30 +91,40 @@ def with_receipt(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     span = HIGHEST_CENTS - LOWEST_CENTS + 1
     drawn = df.withColumns(
         {
-            "_head": digest(salt, k),
-            "_order": digest(salt + "|order", k, blocks=4),
-            "_lines": digest(salt + "|lines", k, blocks=2),
+            "_head": digest(salt, k).cast("binary"),
+            "_order": digest(salt + "|order", k, blocks=4).cast("binary"),
+            "_lines": digest(salt + "|lines", k, blocks=2).cast("binary"),
         }
     )
-    head, order, lines = F.col("_head"), F.col("_order"), F.col("_lines")
-    count = F.lit(FEWEST_ITEMS) + draw(head, 19, 4, MOST_ITEMS - FEWEST_ITEMS + 1)
-    picks = F.arrays_zip(
-        F.slice(shuffled(order, len(PRODUCTS)), F.lit(1), count.cast("int")).alias("product"),
-        F.slice(cut(lines, 10), F.lit(1), count.cast("int")).alias("digits"),
+    head, lines = F.col("_head"), F.col("_lines")
+    # Spark interprets a lambda and all below it, while plain columns are compiled: the draws are
+    # plain columns, each referred to several times, so that none is inlined.  A step of many
+    # columns has one small ``let``: without a lambda Spark fuses the steps into one method, too
+    # large for the JVM to compile.
+    # Products in drawn order: six digits and the place decide, the name comes along.
+    order = F.sort_array(
+        F.array(
+            *[
+                F.concat(F.substring("_order", 1 + 6 * i, 6), F.lit(f"{i:02d}{name}".encode()))
+                for i, name in enumerate(PRODUCTS)
+            ]
+        )
     )
-    priced = drawn.withColumn(
-        "_items",
-        F.transform(
-            picks,
-            lambda pick: F.struct(
-                pick["product"].alias("product"),
-                (F.lit(1) + draw(pick["digits"], 1, 4, MOST_COUNT)).alias("count"),
-                (F.lit(LOWEST_CENTS) + draw(pick["digits"], 5, 6, span)).alias("unit"),
+    slots = range(MOST_ITEMS)
+    picked = drawn.withColumns(
+        {
+            "_order": order,
+            "_n": let(
+                lambda more: (F.lit(FEWEST_ITEMS) + more).cast("int"),
+                more=draw(head, 19, 4, MOST_ITEMS - FEWEST_ITEMS + 1),
             ),
-        ),
-    ).withColumn(
-        "_subtotal",
-        F.aggregate("_items", F.lit(0).cast("bigint"), lambda a, x: a + x["count"] * x["unit"]),
+            **{f"_count{j}": F.lit(1) + draw(lines, 1 + 10 * j, 4, MOST_COUNT) for j in slots},
+            **{f"_unit{j}": F.lit(LOWEST_CENTS) + draw(lines, 5 + 10 * j, 6, span) for j in slots},
+        }
+    )
+    sums = [F.when(F.col("_n") > j, F.col(f"_count{j}") * F.col(f"_unit{j}")).otherwise(F.lit(0)) for j in slots]
+    priced = picked.withColumns({f"_cents{j}": cents for j, cents in zip(slots, sums)}).withColumn(
+        "_subtotal", reduce(add, [F.col(f"_cents{j}") for j in slots])
     )
     rate = F.element_at(
         F.array(*[F.lit(p) for p in TAX_PERCENT]),
@@ -127,20 +140,27 @@ def with_receipt(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     receipt = F.struct(
         _pick(VENDORS, draw(head, 1, 6, len(VENDORS))).alias("vendor"),
         date.alias("date"),
-        F.transform(
-            "_items",
-            lambda x: F.struct(
-                _pick(PRODUCTS, x["product"]).alias("name"),
-                x["count"].cast("string").alias("count"),
-                money(x["count"] * x["unit"]).alias("price"),
+        F.slice(
+            F.array(
+                *[
+                    F.struct(
+                        F.substring(F.get("_order", F.lit(j)), 9, 99).cast("string").alias("name"),
+                        F.col(f"_count{j}").cast("string").alias("count"),
+                        money(F.col(f"_cents{j}")).alias("price"),
+                    )
+                    for j in slots
+                ]
             ),
+            F.lit(1),
+            F.col("_n"),
         ).alias("items"),
         money(F.col("_subtotal")).alias("subtotal"),
-        money(F.col("_tax")).alias("tax"),
+        let(lambda tax: money(tax), tax=F.col("_tax")).alias("tax"),
         money(F.col("_subtotal") + F.col("_tax")).alias("total"),
     )
     return taxed.withColumn("receipt", receipt).drop(
-        "_head", "_order", "_lines", "_items", "_subtotal", "_tax"
+        "_head", "_order", "_lines", "_n", "_subtotal", "_tax",
+        *[f"_{part}{j}" for part in ("count", "unit", "cents") for j in slots],
     )
 
 
@@ -193,7 +213,7 @@ def layout_lines(df: DataFrame, key: str = "index", seed: int = 0) -> DataFrame:
     below = F.lit(top) + count * 42
     # One jitter of four hex digits per item; the page's digits hold twelve of them, items
     # beyond draw their own.
-    own = F.slice(cut(F.substring(page, 13, 48), 4), F.lit(1), F.least(count, F.lit(12)))
+    own = F.slice(cut(F.substring(page, 13, 48), 4, 12), F.lit(1), F.least(count, F.lit(12)))
     further = F.transform(
         F.sequence(F.lit(12), count - 1),
         lambda i: F.substring(digest(f"receipt|{seed}|item", F.col(key), i), 1, 4),

@@ -87,7 +87,8 @@ def receipts_of(orders: DataFrame) -> DataFrame:
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One receipt per order: ``split, index, seed, receipt, target_json, members, ...``."""
-    return receipts_of(spread(table(spark, sf_dir, "orders").select("o_orderkey")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return receipts_of(spread(orders, orders.count()))
 
 
 def with_answer(rows: DataFrame, salt: str | Column = "0") -> DataFrame:

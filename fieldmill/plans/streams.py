@@ -18,6 +18,7 @@ from fieldmill.plans.base import (
 )
 from fieldmill.plans.scoring import SUMMARY
 from fieldmill.session import work_folder
+from fieldmill.sources.samples import task_count
 from fieldmill.streaming.first_samples import first_samples
 from fieldmill.streaming.scoring import (
     append_to,
@@ -36,8 +37,9 @@ def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).select("o_orderkey", "o_orderpriority").schema
     # A pattern, so that the table may be one file or a folder of files.
     orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/{{orders}}.parquet")
-    # Key rows are small: spreading them keeps all cores busy on a few-file batch.
-    spread = orders.repartition(spark.sparkContext.defaultParallelism)
+    # Key rows are small: spreading them keeps all cores busy on a few-file batch, and a batch of
+    # all there is in tasks of bounded size.
+    spread = orders.repartition(task_count(spark, spark.read.parquet(path).count()))
     return with_answer(receipts_of(spread)).select(
         F.col("o_orderpriority").alias("run_id"),
         ((F.col("seed") % 4 + 1) * 100).alias("step"),

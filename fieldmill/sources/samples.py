@@ -27,13 +27,24 @@ SAMPLE_COLUMNS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Rows a task gets at most where each row costs much, as drawing, answering and scoring do.
+ROWS_PER_TASK = 20_000
+
+
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many costly rows: no more than ROWS_PER_TASK in one, no core without one."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A scan with fewer partitions than cores is spread out before row-heavy work.
 
-    Big inputs already have many partitions and pass through unchanged.
+    Big inputs already have many partitions and pass through unchanged.  A scan is cut by bytes
+    and by row groups, so a narrow table gives tasks that grow with it; where ``rows``, the number
+    of its rows, is given, no task gets more than ROWS_PER_TASK of them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = task_count(df.sparkSession, rows or 0)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def read_samples(
