@@ -29,6 +29,8 @@ from fieldmill.functions.text import BLANKS
 # The interpreter refuses to read longer integers until it is told otherwise.
 _LONG_DIGITS = re.compile(r"\d{4301}")
 _NOT_NUMERIC = re.compile(r"[^\d.\-]")
+# Short enough that its own digits are what four decimals of the double print.
+_SHORT_NUMBER = re.compile(r"(?:0|[1-9][0-9]{0,10})(?:\.[0-9]{1,4})?")
 
 
 class MISSING:
@@ -94,6 +96,8 @@ def utf8(text: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def _canonical_leaf(text: str) -> str:
+    if _SHORT_NUMBER.fullmatch(text):
+        return text.rstrip("0").rstrip(".") if "." in text else text
     text = text.strip(BLANKS)
     digits = _NOT_NUMERIC.sub("", text)
     if any(c.isdigit() for c in digits):
@@ -117,12 +121,19 @@ def leaves(document: Any) -> Iterator[tuple[str, str]]:
     while todo:
         path, node = todo.pop()
         if isinstance(node, dict):
-            todo.extend((f"{path}.{key}" if path else key, child) for key, child in node.items())
+            parts = [(f"{path}.{key}" if path else key, child) for key, child in node.items()]
         elif isinstance(node, list):
             path += "[]"
-            todo.extend((path, child) for child in node)
+            parts = [(path, child) for child in node]
         else:
-            yield path, _canonical_leaf(node if isinstance(node, str) else str(node))
+            parts = [(path, node)]
+        for place, child in parts:
+            if isinstance(child, str):
+                yield place, _canonical_leaf(child)
+            elif isinstance(child, (dict, list)):
+                todo.append((place, child))
+            else:
+                yield place, _canonical_leaf(str(child))
 
 
 def _tokens(document: Any) -> list[str]:

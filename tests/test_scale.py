@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+from fieldmill.functions import strict_json
 from fieldmill.plans.base import receipts
+from fieldmill.plans.scoring import model_delta
 from fieldmill.sources import samples
 
 
@@ -31,3 +33,15 @@ def test_no_drawing_step_is_too_large_to_be_compiled(spark, sf_dir, capsys):
 def test_products_are_sorted_by_compiled_code(spark, sf_dir):
     plan = receipts(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "array_sort" not in plan and "regexp_extract_all" not in plan
+
+
+def test_two_models_share_the_drawing_of_their_receipts(spark, sf_dir):
+    plan = model_delta(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_short_numbers_take_no_pattern_substitution(monkeypatch):
+    monkeypatch.setattr(strict_json, "_NOT_NUMERIC", None)
+    leaf = strict_json._canonical_leaf.__wrapped__
+    texts = ["7.50", "0.00", "10", "0", "120.0500", "99999999999.9999"]
+    assert [leaf(t) for t in texts] == ["7.5", "0", "10", "0", "120.05", "99999999999.9999"]
