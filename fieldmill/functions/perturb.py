@@ -64,8 +64,8 @@ def remove_at(items: Column, at: Column) -> Column:
 def corrupt_digits(text: Column, hex_text: Column) -> Column:
     """Up to two different digits of the text change, each to another digit.
 
-    The text is cut at its digits and put together again, so the work grows with
-    its length and a position counts code points.
+    In a mask of the text every digit is a 0: it tells how many there are and where each one
+    stands, in code points.  The text is cut at two places only, so the work grows with its length.
     """
 
     def changed(digit: Column, h: Column, start: int) -> Column:
@@ -73,29 +73,48 @@ def corrupt_digits(text: Column, hex_text: Column) -> Column:
         fresh = draw(h, start, 4, F.when(value >= 0, F.lit(9)).otherwise(F.lit(10)))
         return F.when((value >= 0) & (fresh >= value), fresh + 1).otherwise(fresh).cast("string")
 
-    def change(digits: Column, h: Column, start: int, at: Column) -> Column:
-        return replace_at(digits, at, changed(F.get(digits, at), h, start))
-
-    def replaced(digits: Column, h: Column) -> Column:
-        count = F.size(digits)
+    def chosen(text: Column, h: Column, mask: Column, count: Column) -> Column:
         first = draw(h, 1, 6, F.greatest(count, F.lit(1))).cast("int")
         other = draw(h, 7, 6, F.greatest(count - 1, F.lit(1))).cast("int")
+        return let(located, text=text, h=h, mask=mask, count=count, first=first, other=other)
+
+    def located(
+        text: Column, h: Column, mask: Column, count: Column, first: Column, other: Column
+    ) -> Column:
+        def place(nth: Column) -> Column:
+            return F.length(F.call_function("substring_index", mask, F.lit("0"), nth + 1))
+
         second = other + F.when(other >= first, 1).otherwise(0)
-        once = change(digits, h, 13, first)
+        return let(spliced, text=text, h=h, count=count, at=place(first), too=place(second))
+
+    def spliced(text: Column, h: Column, count: Column, at: Column, too: Column) -> Column:
+        def digit(place: Column, start: int) -> Column:
+            return changed(F.substring(text, place + 1, F.lit(1)), h, start)
+
+        def pair(early: Column, one: Column, late: Column, two: Column) -> Column:
+            between = F.substring(text, early + 2, late - early - 1)
+            return F.concat(F.substring(text, F.lit(1), early), one, between, two, rest(late))
+
+        def rest(place: Column) -> Column:
+            return F.substring(text, place + 2, F.length(text))
+
+        one, two = digit(at, 13), digit(too, 17)
         return (
-            F.when(count == 0, digits)
-            .when(count == 1, once)
-            .otherwise(replace_at(once, second, changed(F.get(digits, second), h, 17)))
+            F.when(count == 0, text)
+            .when(count == 1, F.concat(F.substring(text, F.lit(1), at), one, rest(at)))
+            .when(at < too, pair(at, one, too, two))
+            .otherwise(pair(too, two, at, one))
         )
 
-    pieces = F.arrays_zip(
-        F.split(text, DIGIT).alias("between"),
-        let(replaced, digits=F.regexp_extract_all(text, F.lit(f"({DIGIT})"), F.lit(1)), h=hex_text)
-        .alias("digit"),
-    )
-    return F.array_join(
-        F.transform(pieces, lambda z: F.concat(z["between"], F.coalesce(z["digit"], F.lit("")))), ""
+    def masked(text: Column, h: Column, mask: Column) -> Column:
+        count = F.length(mask) - F.length(F.replace(mask, F.lit("0"), F.lit("")))
+        return let(chosen, text=text, h=h, mask=mask, count=count)
+
+    ascii_only = F.octet_length(text) == F.length(text)
+    mask = F.when(ascii_only, F.regexp_replace(text, "[1-9]", "0")).otherwise(
+        F.regexp_replace(text, DIGIT, "0")
     )
+    return let(masked, text=text, h=hex_text, mask=mask)
 
 
 def join_members(members: Column) -> Column:

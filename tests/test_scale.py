@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from fieldmill.functions import strict_json
+from fieldmill.functions.perturb import corrupt_digits
 from fieldmill.plans.base import receipts
 from fieldmill.plans.scoring import model_delta
 from fieldmill.sources import samples
@@ -45,3 +48,14 @@ def test_short_numbers_take_no_pattern_substitution(monkeypatch):
     leaf = strict_json._canonical_leaf.__wrapped__
     texts = ["7.50", "0.00", "10", "0", "120.0500", "99999999999.9999"]
     assert [leaf(t) for t in texts] == ["7.5", "0", "10", "0", "120.05", "99999999999.9999"]
+
+
+def test_changing_digits_does_not_cut_the_text_at_each_one(spark):
+    rows = spark.createDataFrame([("a1\U0001d7ce²b3",), ("no digit",), ("7",)], "t string")
+    changed = rows.select("t", corrupt_digits(F.col("t"), F.md5("t")).alias("c"))
+    for r in changed.collect():
+        places = [i for i, (a, b) in enumerate(zip(r.t, r.c, strict=True)) if a != b]
+        assert len(places) == min(2, sum(c.isdigit() for c in r.t))
+        assert all(r.t[i].isdigit() and r.c[i] in "0123456789" for i in places)
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "split(" not in plan
