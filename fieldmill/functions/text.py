@@ -39,7 +39,7 @@ def strip_thousands(col: Column) -> Column:
 
 def top_key(path: Column) -> Column:
     """``menu[].name`` -> ``menu``: everything before the first ``.`` or ``[``."""
-    return F.regexp_extract(path, r"^[^.\[]*", 0)
+    return F.substring_index(F.substring_index(path, ".", 1), "[", 1)
 
 
 def json_string(text: Column) -> Column:
