@@ -136,9 +136,61 @@ def leaves(document: Any) -> Iterator[tuple[str, str]]:
                 yield place, _canonical_leaf(str(child))
 
 
+class _Fields(dict):
+    """``path -> key -> text -> field`` of members met before; most recur from row to row.
+
+    Plain dictionaries, which cost a leaf least.  They hold short texts and start anew when full.
+    """
+
+    MOST, LONGEST = 1 << 16, 64
+
+    def __init__(self) -> None:
+        self.held = 0
+
+    def under(self, path: str) -> dict[str, dict[str, str]]:
+        if self.held >= self.MOST:
+            self.clear()
+            self.held = 0
+        return self.setdefault(path, {})
+
+    def made(self, keys: dict[str, dict[str, str]], path: str, key: str, text: str) -> str:
+        field = _token_head(f"{path}.{key}" if path else key) + _canonical_leaf(text)
+        if len(text) <= self.LONGEST and len(key) <= self.LONGEST and self.held < self.MOST:
+            keys.setdefault(key, {})[text] = field
+            self.held += 1
+        return field
+
+
+_fields = _Fields()
+
+
 def _tokens(document: Any) -> list[str]:
-    """The set of fields, each as one string."""
-    return list({_token_head(path) + value for path, value in leaves(document)})
+    """The set of fields, each as one string: ``leaves`` without a step of its own per leaf."""
+    found = set()
+    todo = [("", document)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict):
+            keys = _fields.under(path)
+            for key, child in node.items():
+                if isinstance(child, (dict, list)):
+                    todo.append((f"{path}.{key}" if path else key, child))
+                    continue
+                text = child if isinstance(child, str) else str(child)
+                try:
+                    found.add(keys[key][text])
+                except KeyError:
+                    found.add(_fields.made(keys, path, key, text))
+        elif isinstance(node, list):
+            path += "[]"
+            for child in node:
+                if isinstance(child, (dict, list)):
+                    todo.append((path, child))
+                else:
+                    found.add(_token_head(path) + _canonical_leaf(str(child)))
+        else:
+            found.add(_token_head(path) + _canonical_leaf(str(node)))
+    return list(found)
 
 
 def _compact(value: Any) -> str:

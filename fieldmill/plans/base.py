@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmill.functions.binding import let
 from fieldmill.functions.draws import digest, draw
 from fieldmill.functions.perturb import (
     KEPT_SHARE,
@@ -94,9 +95,12 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_answer(rows: DataFrame, salt: str | Column = "0") -> DataFrame:
     """Adds ``raw``: what a model of ten moods says about the receipt."""
     salt = F.lit(salt) if isinstance(salt, str) else salt
-    drawn = rows.withColumn("_h", digest("model", salt, F.col("seed"), blocks=2))
-    h, text, members, r = F.col("_h"), F.col("target_json"), F.col("members"), F.col("receipt")
-    mood = draw(F.substring(h, 33, 32), 1, 4, 10)
+    drawn = rows.withColumn("_h", digest("model", salt, F.col("seed"), blocks=2)).withColumn(
+        "_mood", draw(F.substring("_h", 33, 32), 1, 4, 10)
+    )
+    h, text, mood, r = F.col("_h"), F.col("target_json"), F.col("_mood"), F.col("receipt")
+    # three moods of ten rewrite members, and only they build them
+    members = struct_members(r, rows.schema["receipt"].dataType)
     loose = r.withField("vendor", F.concat(F.lit(" "), F.lower(r["vendor"]))).withField(
         "total", F.concat(F.lit("$"), r["total"], F.lit("0"))
     )
@@ -112,13 +116,13 @@ def with_answer(rows: DataFrame, salt: str | Column = "0") -> DataFrame:
         .when(mood == 2, prose_wrap(text, h))
         .when(mood == 3, truncate_json(text))
         .when(mood == 4, corrupt_digits(text, h))
-        .when(mood == 5, join_members(drop_key(members, h)))
-        .when(mood == 6, join_members(rename_key(members, h)))
+        .when(mood == 5, let(lambda members, h: join_members(drop_key(members, h)), members=members, h=h))
+        .when(mood == 6, let(lambda members, h: join_members(rename_key(members, h)), members=members, h=h))
         .when(mood == 7, minify_json(loose))
         .when(mood == 8, F.lit(REFUSAL))
         .otherwise(join_members(typed))
     )
-    return drawn.withColumn("raw", raw).drop("_h")
+    return drawn.withColumn("raw", raw).drop("_h", "_mood")
 
 
 def answers(spark: SparkSession, sf_dir: str, salt: str = "0") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from fieldmill.functions import strict_json
 from fieldmill.functions.perturb import corrupt_digits
-from fieldmill.plans.base import receipts
+from fieldmill.operators.scoring import key_counts
+from fieldmill.plans.base import answers, receipts
 from fieldmill.plans.scoring import model_delta
 from fieldmill.sources import samples
 
@@ -59,3 +60,48 @@ def test_changing_digits_does_not_cut_the_text_at_each_one(spark):
         assert all(r.t[i].isdigit() and r.c[i] in "0123456789" for i in places)
     plan = changed._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "split(" not in plan
+
+
+def test_fields_are_counted_per_key_without_a_lambda(spark):
+    rows = spark.createDataFrame(
+        [(["1:a1", "4:b[].x", "3:c.dy"], ["1:a1", "3:c.dz", "1:e2"]), ([], ["1:a1"]), (["1:a1"], [])],
+        "gold_fields array<string>, pred_fields array<string>",
+    )
+    counts = key_counts(rows)
+    found = sorted((r.field, r.tp, r.fp, r.fn) for r in counts.collect())
+    assert found == [
+        ("a", 0, 0, 1), ("a", 0, 1, 0), ("a", 1, 0, 0), ("b", 0, 0, 1), ("c", 0, 0, 1),
+        ("c", 0, 1, 0), ("e", 0, 1, 0),
+    ]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "regexp_extract" not in plan
+
+
+def test_members_are_built_only_for_the_answers_that_need_them(spark, sf_dir):
+    plan = answers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS members#" not in plan
+
+
+ODD = [
+    None, "x", 1.5, [], {}, [1, [" A ", {"b": True}], {"b": []}], {"": {"": "y"}, "k": "1,200.00"},
+    {"a.b": "c", "a": {"b": "c"}, "l": [{"n": "2 cokes"}, {"n": None}]}, {"long": "7" * 100},
+]
+
+
+def test_fields_met_before_are_not_made_again(monkeypatch):
+    monkeypatch.setattr(strict_json, "_fields", strict_json._Fields())
+    for document in ODD:
+        made = {f"{len(path)}:{path}{value}" for path, value in strict_json.leaves(document)}
+        assert sorted(strict_json._tokens(document)) == sorted(made)
+    monkeypatch.setattr(strict_json, "_canonical_leaf", None)
+    assert strict_json._tokens({"k": "1,200.00"}) == ["1:k1200"]
+
+
+def test_fields_kept_are_bounded(monkeypatch):
+    kept = strict_json._Fields()
+    kept.MOST = 10
+    monkeypatch.setattr(strict_json, "_fields", kept)
+    for i in range(100):
+        text = chr(97 + i % 26) + chr(97 + i // 26)
+        assert strict_json._tokens({f"k{i % 7}": text}) == [f"2:k{i % 7}{text}"]
+        assert sum(len(texts) for keys in kept.values() for texts in keys.values()) <= 10
