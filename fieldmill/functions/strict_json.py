@@ -193,9 +193,16 @@ def _tokens(document: Any) -> list[str]:
     return list(found)
 
 
+# Made once: ``json.dumps`` makes an encoder for every call that wants other than its own settings.
+_minified = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+_quoted = json.encoder.encode_basestring
+
+
 def _compact(value: Any) -> str:
+    text = _quoted(value) if isinstance(value, str) else _minified(value)
+    if text.isascii():
+        return text
     try:
-        text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
         text.encode("utf-8")
     except UnicodeEncodeError:
         text = json.dumps(value, separators=(",", ":"))
@@ -250,10 +257,10 @@ def _pairs(value: Any) -> list[dict[str, str]]:
     return [{"path": utf8(p), "value": v} for p, v in sorted(set(leaves(value)))]
 
 
-def _members(value: Any) -> list[dict[str, str]] | None:
+def _members(value: Any) -> list[tuple[str, str]] | None:
     if not isinstance(value, dict):
         return None
-    return [{"key": utf8(key), "value": _compact(child)} for key, child in value.items()]
+    return [(utf8(key), _compact(child)) for key, child in value.items()]
 
 
 # What a parse can give: type and function of the parsed value.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -105,3 +106,9 @@ def test_fields_kept_are_bounded(monkeypatch):
         text = chr(97 + i % 26) + chr(97 + i // 26)
         assert strict_json._tokens({f"k{i % 7}": text}) == [f"2:k{i % 7}{text}"]
         assert sum(len(texts) for keys in kept.values() for texts in keys.values()) <= 10
+
+
+def test_json_is_written_without_an_encoder_per_value(monkeypatch):
+    expected = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in [*ODD, "é\"\n"]]
+    monkeypatch.setattr(json, "dumps", None)
+    assert [strict_json._compact(v) for v in [*ODD, "é\"\n"]] == expected
